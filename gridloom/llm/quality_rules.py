@@ -138,28 +138,38 @@ def _prune(rule: Rule, rows: list[tuple[dict, bool]]) -> tuple[Rule, int, int]:
 
 def learn(rows: list[tuple[dict[str, float], bool]], precision: float = 0.98, support: int = 3, longest: int = 4, most: int = 12, cuts: int = 40) -> list[Rule]:
     """Sequential covering on (statistics, is bad); every third row is for pruning. Keeps only rules that on all rows
-    left are right at least ``precision`` of the time, the smoothed estimate included."""
+    left are right at least ``precision`` of the time, for ``support`` rows at least."""
     rules: list[Rule] = []
     while len(rules) < most and sum(bad for _, bad in rows) >= support:
         grow, test = [x for i, x in enumerate(rows) if i % 3], rows[::3]
         if not any(bad for _, bad in grow):
             break
-        rule, _, _ = _prune(_grow(grow, longest, cuts), test)
-        hit = [bad for r, bad in rows if rule.covers(r)]
-        p = sum(hit)
-        if not rule.conditions or p < support or p < precision * len(hit):
+        grown = _grow(grow, longest, cuts)
+        for rule in (_prune(grown, test)[0], grown):  # a head that pruning made too wide gives way to the whole
+            hit = [bad for r, bad in rows if rule.covers(r)]
+            if rule.conditions and support <= sum(hit) and precision * len(hit) <= sum(hit):
+                break
+        else:
             break
         rules.append(rule)
         rows = [x for x in rows if not rule.covers(x[0])]
     return rules
 
 
+def base_failed(prefix: str = "") -> Column:
+    """Too short, or over half of its words in repeated windows."""
+    return (F.col(f"{prefix}n_words") < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * F.col(f"{prefix}n_words"))
+
+
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from at most ``fit_rows`` labelled documents (label 0: bad)."""
+    """Learn from at most ``fit_rows`` labelled documents (label 0: bad), those that the base rules fail left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    # Hashes thin the labels to about the bound where they are, so that no task sends more than its share of it.
+    share = min(1.0, 0.95 * fit_rows / max(1, known.count()))
+    thinned = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
+    sample = thinned.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     ids = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    stats = statistics(ids.join(F.broadcast(sample), "_id")).select("_id", "_label", *FEATURES)
+    stats = statistics(ids.join(F.broadcast(sample), "_id")).where(~base_failed()).select("_id", "_label", *FEATURES)
     found = stats.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).collect()
     return learn([({f: float(r[f]) for f in FEATURES}, r["_label"] == 0) for r in found])
 
@@ -175,6 +185,5 @@ def verdict(rules: list[Rule], prefix: str = "") -> Column:
 def judge(documents: DataFrame, rules: list[Rule], text_col: str = "text", prefix: str = "") -> DataFrame:
     """``documents`` with the statistics, ``base_failed``, ``rule`` (0: none) and ``kept``."""
     out = statistics(documents, text_col, prefix)
-    n, again = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    out = out.withColumn(f"{prefix}base_failed", (n < 50) | (100 * again > 50 * n)).withColumn(f"{prefix}rule", verdict(rules, prefix))
+    out = out.withColumn(f"{prefix}base_failed", base_failed(prefix)).withColumn(f"{prefix}rule", verdict(rules, prefix))
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}rule") == 0))
