@@ -112,6 +112,21 @@ def decode(chosen: DataFrame, partitions: int | None = None) -> DataFrame:
     return spread.mapInArrow(run, CELLS)
 
 
+def decode_files(frame: DataFrame) -> DataFrame:
+    """Cells of whole files (path): for small files, or a stream of them; each file is one task's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                _, reader = open_reader(path)
+                for v in reader.variables():
+                    if v.supported:
+                        for block in reader.blocks(v):
+                            yield from cells(path, v.name, block, reader.read(v, block))
+
+    return frame.select("path").mapInArrow(run, CELLS)
+
+
 def cells(path: str, name: str, block: Block, values: np.ndarray) -> Iterator[pa.RecordBatch]:
     t, y, x = np.meshgrid(*(np.arange(a, a + n, dtype=np.int32) for a, n in zip((block.t, block.y, block.x), values.shape, strict=True)), indexing="ij")
     flat = np.ascontiguousarray(values, np.float32).ravel()
