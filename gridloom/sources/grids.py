@@ -145,3 +145,38 @@ def overlapping(frame: DataFrame, variables: list[str] | None = None, t: tuple[i
         if chosen is not None:
             frame = frame.where((F.col(name) <= chosen[1]) & (F.col(name) + F.col("n" + name) > chosen[0]))
     return frame
+
+
+def normalize(spark: SparkSession, paths: list[str], out: str, variables: list[str] | None = None) -> None:
+    """Any grid files as Parquet cells, one folder for each variable: later queries prune by Parquet statistics alone."""
+    chosen = overlapping(blocks(spark, paths), variables)
+    decode(chosen).sortWithinPartitions("t", "iy", "ix").write.mode("overwrite").partitionBy("variable").parquet(out)
+
+
+def chunk_index(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """Where an HDF5 variable's chunks are stored: coords, address, size, filter_mask."""
+    from gridloom.sources.hdf5 import Hdf5Reader
+
+    _, refs = Hdf5Reader(ByteSource(path)).chunk_map(variable)
+    rows = [(path, variable, list(map(int, r.coords)), r.address, r.size, r.filter_mask) for r in refs.values()]
+    return spark.createDataFrame(rows, "path string, variable string, coords array<long>, address long, size long, filter_mask int")
+
+
+def reduce_blocks(chosen: DataFrame, reducer, schema: str) -> DataFrame:
+    """Bring your own reduction: ``reducer(variable, block, values)`` gives rows of ``schema`` for each block, and
+    no cell leaves its task."""
+    import pandas as pd
+
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for row in frame.to_dict("records"):
+                _, reader = _cached(row["path"])
+                variable = find(reader.variables(), row["variable"])
+                block = Block(*(row[k] for k in ("t", "nt", "y", "ny", "x", "nx", "token")))
+                rows += list(reducer(variable, block, reader.read(variable, block)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return chosen.mapInPandas(run, schema)

@@ -17,6 +17,7 @@ import numpy as np
 from gridloom.errors import SourceError, UnsupportedFormatError
 from gridloom.functions.times import TimeUnits, calendar_of
 from gridloom.sources import codecs
+from gridloom.sources.cf import describe_axes
 from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Block, Variable
 from gridloom.sources.netcdf3 import LAT_NAMES, LON_NAMES, TIME_NAMES, decode
@@ -458,7 +459,11 @@ class Hdf5Reader:
             tn, _ = self._axis("t", nt)
             times = self._times(tn) if len(d.shape) > 2 and tn in self.datasets else []
             attrs = {k: str(v) for k, v in d.attrs.items()}
-            out.append(Variable(name, (nt, ny, nx), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), ((tn,) if len(d.shape) > 2 else ()) + (yn, xn), attrs=attrs, warnings=warnings))
+            own = [self.datasets[n].attrs if n in self.datasets else {} for n in (yn, xn)]
+            mapping = str(d.attrs.get("grid_mapping", ""))
+            crs, y, x, more, supported = describe_axes(self.datasets[mapping].attrs if mapping in self.datasets else None, *own, y, x)
+            dims = ((tn,) if len(d.shape) > 2 else ()) + (yn, xn)
+            out.append(Variable(name, (nt, ny, nx), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), dims, crs, attrs, warnings + more, supported))
         return out
 
     def _times(self, name: str) -> list[float]:

@@ -9,6 +9,7 @@ import numpy as np
 from gridloom.errors import SourceError, UnsupportedFormatError
 from gridloom.functions.times import TimeUnits
 from gridloom.functions.units import DEFAULT_FILL
+from gridloom.sources.cf import describe_axes
 from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Block, Variable
 
@@ -137,7 +138,10 @@ class NetCDF3Reader:
             times = self._times(names[0]) if len(sizes) == 3 and self._role(names[0]) == "t" else []
             attrs = {k: str(a) for k, a in v["attrs"].items()}
             y, x = (self._axis(n, size) for n, size in zip(names[-2:], sizes[-2:], strict=True))
-            out.append(Variable(v["name"], (nt, *sizes[-2:]), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), tuple(names), attrs=attrs, warnings=warnings))
+            own = [self.vars[n]["attrs"] if n in self.vars else {} for n in names[-2:]]
+            mapping = self.vars.get(str(v["attrs"].get("grid_mapping", "")), {}).get("attrs")
+            crs, y, x, more, supported = describe_axes(mapping, *own, y, x)
+            out.append(Variable(v["name"], (nt, *sizes[-2:]), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), tuple(names), crs, attrs, warnings + more, supported))
         return out
 
     def _axis(self, name: str, size: int) -> list[float]:

@@ -14,6 +14,7 @@ import numpy as np
 from gridloom.errors import SourceError, UnsupportedFormatError
 from gridloom.functions.times import TimeUnits
 from gridloom.sources import codecs
+from gridloom.sources.cf import describe_axes
 from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Block, Variable
 
@@ -276,7 +277,10 @@ class ZarrReader:
             y, x = (self._axis(folder + d, n) for d, n in zip(dims[-2:], a.shape[-2:], strict=True))
             times = self._times(folder + dims[0], nt) if len(a.shape) > 2 else []
             attrs = {k: str(v) for k, v in a.attrs.items()}
-            out.append(Variable(name, (nt, *a.shape[-2:]), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), tuple(map(str, dims)), attrs=attrs, warnings=warnings))
+            own = [self.arrays[folder + d].attrs if folder + d in self.arrays else {} for d in dims[-2:]]
+            mapping = folder + str(a.attrs.get("grid_mapping", ""))
+            crs, y, x, more, supported = describe_axes(self.arrays[mapping].attrs if mapping in self.arrays else None, *own, y, x) if any(own) else ({}, y, x, [], True)
+            out.append(Variable(name, (nt, *a.shape[-2:]), y, x, times, attrs.get("units", ""), attrs.get("long_name", ""), tuple(map(str, dims)), crs, attrs, warnings + more, supported))
         return out
 
     def _guess(self, shape: list[int]) -> list[str]:
