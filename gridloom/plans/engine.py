@@ -7,6 +7,7 @@ decoding of what is left, and DataFrame operators.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -183,3 +184,18 @@ class Trimmed:
     format: str
     warnings: list[str]
     stats: dict[str, int]
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str):
+    """Jobs started inside carry the tag; ``spark.sparkContext.cancelJobsWithTag(tag)``, from any thread, stops them."""
+    spark.addTag(tag)
+    try:
+        yield
+    finally:
+        spark.removeTag(tag)
+
+
+def grid_to_image(grid: Grid, ramp="viridis", vmin: float | None = None, vmax: float | None = None) -> bytes:
+    """A raster as a PNG, transparent where there is no value."""
+    return encoders.png(encoders.rgba(grid.to_array(), ramp, vmin, vmax))
