@@ -261,3 +261,22 @@ def mercator_y(lat: Number) -> Number:
 
 def inverse_mercator_y(y: Number) -> Number:
     return degrees(2 * atan(exp(y)) - math.pi / 2)
+
+
+def display_box(box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """A box as a web map takes it: within -180..180 and the latitudes that Mercator shows.
+
+    A grid on 0..360 that spans over half the globe is moved half a turn as a whole; other boxes are turned edge by
+    edge, and one that then crosses the antimeridian is cut at it.
+    """
+    west, south, east, north = box
+    if 0 <= west and east > 180 and east - west > 180:
+        west, east = west - 180, east - 180
+    elif west < -180 or east > 180:
+        west, east = ((v + 180) % 360 - 180 for v in (west, east))
+        if east <= west:
+            west = -180.0
+    west, east = max(-180.0, west), min(180.0, east)
+    if east <= west:
+        west, east = -180.0, 180.0
+    return west, max(south, -MERCATOR_MAX_LAT), east, min(north, MERCATOR_MAX_LAT)

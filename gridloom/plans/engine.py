@@ -138,6 +138,20 @@ class Grid:
         return [north - (k + 0.5) * (north - south) / self.height for k in range(self.height)], [west + (k + 0.5) * (east - west) / self.width for k in range(self.width)]
 
 
+def extract_output(source: Dataset, fmt: str, **options) -> bytes:
+    """A point's series straight to a file format; the format is checked before anything is read."""
+    sinks.resolve_format(fmt, "series")
+    return encode_series(source.extract(**options), fmt)
+
+
+def extract_grid_output(source: Dataset, fmt: str, **options) -> bytes:
+    """A raster straight to a file format, ``png`` included."""
+    if fmt.lower() == "png":
+        return grid_to_image(source.extract_grid(**options))
+    sinks.resolve_format(fmt, "grid")
+    return encode_grid(source.extract_grid(**options), fmt)
+
+
 def detect(path: str) -> str | None:
     return detect_format(path)
 

@@ -53,6 +53,13 @@ def test_columns_and_numbers_agree(spark):
         assert (r.x, r.y) == pytest.approx(crs.forward(lat, lon))
 
 
+def test_display_box():
+    m = projections.MERCATOR_MAX_LAT
+    assert projections.display_box((0, -90, 359.75, 90)) == (-180, -m, 179.75, m)
+    assert projections.display_box((200, 0, 220, 10)) == (-160, 0, -140, 10) and projections.display_box((170, 0, 190, 10)) == (-180, 0, -170, 10)
+    assert projections.display_box((-10, 0, 10, 10)) == (-10, 0, 10, 10)
+
+
 def test_outline_of_polar_box():
     west, south, east, north = projections.from_epsg(3413).bounds_wgs84((-1e6, -2e6, 1e6, -1e6))
     assert -100 < west < east < 20 and 60 < south < north < 90

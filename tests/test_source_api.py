@@ -45,4 +45,7 @@ def test_tags_and_image(spark, store):
     with engine.cancellable(spark, "some-query"):
         assert "some-query" in spark.getTags()
         image = engine.grid_to_image(engine.Dataset(spark, path).extract_grid("v", (-0.5, -0.5, 5.5, 3.5), 6, 4))
+    data = engine.Dataset(spark, path)
+    assert engine.extract_grid_output(data, "png", variable="v", box=(-0.5, -0.5, 5.5, 3.5), width=6, height=4) == image
+    assert engine.extract_output(data, "csv", variable="v", lat=1, lon=2).count(b"\n") == 5
     assert image.startswith(b"\x89PNG") and "some-query" not in spark.getTags()
