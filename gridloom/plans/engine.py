@@ -99,8 +99,10 @@ class Dataset:
                     cells = cells.where(F.col(column) == chosen[0])
             py, px = (F.element_at(F.array(*map(F.lit, a)), F.col(c) + 1) if chosen is None else F.lit(a[chosen[0]]) for a, c, chosen in ((v.y, "iy", y), (v.x, "ix", x)))
             clat, clon = v.projection().inverse(px, py)
-            time = F.timestamp_seconds(F.element_at(F.array(*(F.lit(float(s)) for s in v.times)), F.col("t") + 1)) if v.times else F.lit(None).cast("timestamp")
-            rows = cells.select(F.lit(name).alias("variable"), "t", time.alias("time"), clat.alias("lat"), clon.alias("lon"), "value")
+            # One row for each step of the axis, joined where the cells are.
+            axis = self.spark.createDataFrame([(k, float(s)) for k, s in enumerate(v.times) if low <= k <= high], "t int, seconds double")
+            cells = cells.join(F.broadcast(axis), "t", "left")
+            rows = cells.select(F.lit(name).alias("variable"), "t", F.timestamp_seconds("seconds").alias("time"), clat.alias("lat"), clon.alias("lon"), "value")
             out = rows if out is None else out.unionByName(rows)
         return out
 

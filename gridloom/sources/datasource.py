@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from gridloom.sources import grids
-from gridloom.sources.model import Block, find
+from gridloom.sources.model import Block
 
 #: Column to the block fields that bound it.
 SPANS = {"t": ("t", "nt"), "iy": ("y", "ny"), "ix": ("x", "nx")}
@@ -77,8 +77,8 @@ class GridReader(DataSourceReader):
     def read(self, partition: BlockPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing was left
             return
-        _, reader = grids.open_reader(partition.path)
-        v = find(reader.variables(), partition.variable)
+        reader, variables = grids.cached(partition.path)
+        v = variables[partition.variable]
         yield from grids.cells(partition.path, v.name, partition.block, reader.read(v, partition.block))
 
 

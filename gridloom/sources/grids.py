@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.errors import UnsupportedFormatError
 from gridloom.sources.detect import detect_format
 from gridloom.sources.files import ByteSource
-from gridloom.sources.model import Block, Reader, find
+from gridloom.sources.model import Block, Reader, Variable
 
 BLOCKS = "path string, variable string, t int, nt int, y int, ny int, x int, nx int, token string"
 CELLS = "path string, variable string, t int, iy int, ix int, value float"
@@ -46,8 +46,14 @@ def open_reader(source: ByteSource | str | bytes) -> tuple[str, Reader]:
 
 
 @lru_cache(maxsize=8)
-def _cached(path: str) -> tuple[str, Reader]:
-    return open_reader(path)
+def _opened(path: str, size: int) -> tuple[Reader, dict[str, Variable]]:
+    _, reader = open_reader(path)
+    return reader, {v.name: v for v in reader.variables()}
+
+
+def cached(path: str) -> tuple[Reader, dict[str, Variable]]:
+    """A file's reader and variables, kept for the next blocks of the same task or worker."""
+    return _opened(path, ByteSource(path).size)
 
 
 def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -104,8 +110,8 @@ def decode(chosen: DataFrame, partitions: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                _, reader = _cached(row["path"])
-                variable = find(reader.variables(), row["variable"])
+                reader, variables = cached(row["path"])
+                variable = variables[row["variable"]]
                 block = Block(*(row[k] for k in ("t", "nt", "y", "ny", "x", "nx", "token")))
                 yield from cells(row["path"], variable.name, block, reader.read(variable, block))
 
@@ -173,8 +179,8 @@ def reduce_blocks(chosen: DataFrame, reducer, schema: str) -> DataFrame:
         for frame in batches:
             rows = []
             for row in frame.to_dict("records"):
-                _, reader = _cached(row["path"])
-                variable = find(reader.variables(), row["variable"])
+                reader, variables = cached(row["path"])
+                variable = variables[row["variable"]]
                 block = Block(*(row[k] for k in ("t", "nt", "y", "ny", "x", "nx", "token")))
                 rows += list(reducer(variable, block, reader.read(variable, block)))
             yield pd.DataFrame(rows, columns=names)

@@ -311,3 +311,27 @@ def test_text_sinks(spark, folder, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     features = rows.select(sinks.feature(F.lit(-93.0), F.lit(31.0), F.struct("t", "value")).alias("feature"))
     assert len(json.loads(sinks.feature_collection(features))["features"]) == 3
+
+
+def section3(template, body):
+    return struct.pack(">IBBIBBH", 0, 3, 0, 0, 0, 0, template) + body
+
+
+def test_grib_projected_grids():
+    """A known Lambert grid (3 km, North America) and a polar one, by their published corners."""
+    micro = lambda v: int(round(v * 1e6))
+    sphere = struct.pack(">BBIBIBI", 6, 0, 0, 0, 0, 0, 0)
+    body = sphere + struct.pack(">IIIIBIIIIBB", 1799, 1059, micro(21.138123), micro(237.280472), 8, micro(38.5), micro(262.5), 3_000_000, 3_000_000, 0, 64)
+    y, x, crs = grib2.grid(grib2.Message(0, 0, 0, {3: section3(30, body + struct.pack(">IIII", micro(38.5), micro(38.5), 0, 0))}))
+    assert (x[0], y[0], x[-1], y[-1]) == pytest.approx((-2697520.14, -1587306.15, 2696479.86, 1586693.85), abs=1)
+    from gridloom.functions.projections import CRS
+
+    assert CRS(**crs).inverse(x[0], y[0]) == pytest.approx((21.138123, 237.280472))
+    body = sphere + struct.pack(">IIIIBIIIIBB", 135, 95, micro(30.0), micro(187.0), 8, micro(60.0), micro(225.0), 45_000_000, 45_000_000, 0, 64)
+    y, x, crs = grib2.grid(grib2.Message(0, 0, 0, {3: section3(20, body)}))
+    lat, lon = CRS(**crs).inverse(x[0], y[0])
+    assert crs["north"] and (lat, lon % 360) == pytest.approx((30.0, 187.0)) and len(x) == 135 and y[1] - y[0] == 45_000
+    values = np.arange(6.0)
+    message = grib2.Message(0, 0, 0, {3: section3(0, sphere + struct.pack(">IIIIIIBIIIIB", 3, 2, 0, 0, micro(10), micro(0), 48, micro(0), micro(20), micro(10), micro(10), 16))})
+    assert grib2.ordered(values, message).tolist() == [[0, 1, 2], [5, 4, 3]]  # every other row runs back
+    assert grib2.grid(message)[:2] == ([10.0, 0.0], [0.0, 10.0, 20.0])
