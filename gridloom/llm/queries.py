@@ -57,7 +57,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = source_mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most_copies=3)
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), most_copies=3, with_documents=False)
     return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
 
 

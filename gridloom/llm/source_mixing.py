@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import partitions
+from gridloom.llm.storage import cut, partitions
 
 SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 #: Size classes for each doubling of the size.
@@ -53,8 +53,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most_copies: int, shar
     return rows.select("_key", "_source_size", F.least("_cap", F.coalesce(F.col("_first.level") * F.col("_w"), F.col("_cap"))).alias("_target"))
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_copies: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0) -> DataFrame:
-    """_doc (all columns of ``documents``), _id, _size, _source_size, _target, _copies (0 to ``most_copies``)."""
+def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most_copies: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, with_documents: bool = True) -> DataFrame:
+    """_doc (all columns of ``documents``, unless left out), _id, _size, _source_size, _target, _copies (0 to ``most_copies``)."""
     salts = max(16, partitions(documents.sparkSession))
     key = F.struct(F.col(source_col).isNull().alias("missing"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
     size = size_of(F.col(text_col))
@@ -62,7 +62,11 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     rows = rows.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * CLASSES).cast("int"))
     rows = rows.withColumn("_mark", F.xxhash64("_id", "_text", F.lit(seed))).withColumn("_salt", F.pmod("_mark", F.lit(salts)).cast("int"))
 
+    # Texts are measured once if only sizes go on, else twice: for the small table of counts, and where they are dealt.
+    if not with_documents:
+        rows = cut(rows.drop("_doc"))
     counted = rows.groupBy("_key", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    counted = cut(counted) if with_documents else counted
     wanted = targets(counted.groupBy("_key").agg(F.sum("_words").alias("_source_size")), weights, most_copies, share)
     line = W.partitionBy("_key").orderBy("_class", "_salt").rowsBetween(W.unboundedPreceding, -1)
     groups = counted.withColumn("_before", F.coalesce(F.sum("_n").over(line), F.lit(0))).join(wanted, "_key").select(
@@ -75,7 +79,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most
     upto = (F.col("_before") + F.col("_rank")).cast("double")
     copies = F.floor(upto * expected + offset) - F.floor((upto - 1) * expected + offset)
     copies = F.least(F.greatest(copies, F.floor(expected)), F.ceil(expected)).cast("int")  # rounding of the product can't add a copy
-    return ranked.select("_doc", "_id", "_size", "_source_size", "_target", copies.alias("_copies"))
+    return ranked.select(*["_doc"] * with_documents, "_id", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
