@@ -51,23 +51,24 @@ class Template:
 
 def fold_events(log: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages of every conversation."""
-    row = F.struct("seq", "kind", "role", "text")
+    # Conversation and turn as keys without nulls: what is joined by them stays where it is for the grouping by them.
+    keys = ["_none", "_conv", "turn"]
     events = log.select(
-        "conv_id", F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce(F.col("turn").cast("long"), F.col("seq").cast("long"), F.lit(0)).alias("turn"),
-        F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("event", row).drop("kind", "role", "text")
-    resets = F.max(F.when(F.col("event.kind") != "delta", F.col("seq")))
-    # One narrow row for each regeneration; a turn is void up to the last one of an earlier turn.
-    again = events.where("event.kind = 'regenerate'").groupBy("conv_id", "turn").agg(F.max("seq").alias("at"))
-    turns = events.groupBy("conv_id", "turn").agg(resets.alias("reset"))
-    marks = turns.select("conv_id", "turn", F.lit(None).cast("long").alias("at"), "reset").unionByName(again.withColumn("reset", F.lit(None).cast("long")))
-    earlier = W.partitionBy("conv_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
-    bounds = marks.withColumn("void", F.max("at").over(earlier)).where("at is null").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reset", "void")
-    live = events.join(bounds, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left").where(
-        (F.col("seq") >= F.coalesce("reset", F.lit(-(1 << 62)))) & (F.col("seq") > F.coalesce("void", F.lit(-(1 << 62))))
-    )
-    pieces = F.sort_array(F.collect_list("event"))
-    folded = live.groupBy("conv_id", "turn").agg(pieces.alias("events"))
+        F.col("conv_id").isNull().alias("_none"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_conv"), "conv_id",
+        F.coalesce(F.col("turn").cast("long"), F.col("seq").cast("long"), F.lit(0)).alias("turn"),
+        F.struct(
+            F.coalesce(F.col("seq").cast("long"), F.lit(0)).alias("seq"), F.coalesce("kind", F.lit("message")).alias("kind"),
+            F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        ).alias("event"),
+    )
+    # One narrow row for each turn, with its last reset and regeneration; a turn is void up to the last one of an earlier turn.
+    kind, seq = F.col("event.kind"), F.col("event.seq")
+    turns = events.groupBy(*keys).agg(F.max(F.when(kind != "delta", seq)).alias("_reset"), F.max(F.when(kind == "regenerate", seq)).alias("_again"))
+    earlier = W.partitionBy("_none", "_conv").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    bounds = turns.withColumn("_void", F.max("_again").over(earlier)).drop("_again")
+    never = F.lit(-(1 << 62))
+    live = events.join(bounds, keys).where((seq >= F.coalesce("_reset", never)) & (seq > F.coalesce("_void", never)))
+    folded = live.groupBy(*keys).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("event")).alias("events"))
     whole = F.aggregate("events", F.lit(-1), lambda at, e: F.when(e["kind"] != "delta", at + 1).otherwise(at))
     last_reset = F.aggregate(F.sequence(F.lit(0), F.size("events") - 1), F.lit(0), lambda at, i: F.when(F.get("events", i)["kind"] != "delta", i).otherwise(at))
     kept = F.slice("events", last_reset + 1, F.size("events"))
