@@ -201,7 +201,7 @@ def test_chunked_tokenisation_is_exact():
     from hypothesis import strategies as st
 
     encoders = [ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"), True), ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), False)]
-    piece = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\x1c", "\x85", "\u2003", "\u200b", "'s", "'re", "don't", "ab,", "é!!", "e\u0301", "\u0301", "日本", "12", "½", "İ", "Σς", "<|endoftext|>", "...", "$%", "x", "\ufb01", "\U0001f600", "\0"])
+    piece = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\x1c", "\x85", "\u2003", "\u200b", "'s", "'re", "don't", "ab,", "é!!", "e\u0301", "\u0301", "日本", "12", "½", "İ", "Σς", "ÀÉÿß", "Schön", "naïve,", " WORD", "ªº", "<|endoftext|>", "...", "$%", "x", "\ufb01", "\U0001f600", "\0"])
 
     @settings(max_examples=400, database=None, deadline=None)
     @given(st.lists(st.one_of(piece, st.text(max_size=3)), max_size=10))
