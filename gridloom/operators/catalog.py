@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import VariableNotFoundError
+from gridloom.plans.joins import broadcast_checked
 
 Box = tuple[float, float, float, float]
 
@@ -106,11 +107,12 @@ def parameter_table(spark: SparkSession, rows: tuple = PARAMETERS) -> DataFrame:
 def name_parameters(messages: DataFrame, table: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """``messages`` with name and units: a centre's own entry first, then the common table, else an honest label.
 
-    Both tables are dimension tables of a fixed size; Spark broadcasts them by their statistics.
+    Both tables are broadcast if they are as small as dimension tables should be.
     """
+    table = broadcast_checked(table)
     out = messages.join(table.select(*KEY, F.col("name").alias("_name"), F.col("units").alias("_units")), list(KEY), "left")
     if local is not None:
-        out = out.join(local.select("centre", *KEY, F.col("name").alias("_own"), F.col("units").alias("_own_units")), ["centre", *KEY], "left")
+        out = out.join(broadcast_checked(local).select("centre", *KEY, F.col("name").alias("_own"), F.col("units").alias("_own_units")), ["centre", *KEY], "left")
     else:
         out = out.withColumns({"_own": F.lit(None).cast("string"), "_own_units": F.lit(None).cast("string")})
     label = F.format_string("Unknown (discipline=%d, category=%d, number=%d)", *KEY)

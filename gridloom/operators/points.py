@@ -45,7 +45,8 @@ def squared_degrees(lat: Column, lon: Column, at: tuple[float, float]) -> Column
 def nearest(points: DataFrame, targets: list[tuple[float, float]], distance=squared_degrees, id_col: str = "event_id") -> DataFrame:
     """For each (lat, lon) target the nearest point, the smaller id at equal distance: query, distance, and all columns.
 
-    All targets share one pass and one partial aggregate; nothing is joined.
+    All targets share one pass and one partial aggregate; nothing is joined. All columns are carried along: select
+    the needed ones first.
     """
     found = points.agg(*(F.min_by(F.struct("*"), F.struct(distance(F.col("lat"), F.col("lon"), at).alias("d"), id_col)).alias(f"q{k}") for k, at in enumerate(targets)))
     each = F.array(*(F.struct(F.lit(k).alias("query"), F.lit(at[0]).alias("at_lat"), F.lit(at[1]).alias("at_lon"), F.col(f"q{k}").alias("p")) for k, at in enumerate(targets)))
@@ -61,7 +62,7 @@ def station_series(points: DataFrame, at: tuple[float, float], value: str = "val
 
     The station is found first (one row to the driver), so that its rows are a pushed-down range filter.
     """
-    best = nearest(points.where("lat is not null and lon is not null"), [at], id_col=id_col).select("lat", "lon").first()
+    best = nearest(points.where("lat is not null and lon is not null").select(id_col, "lat", "lon"), [at], id_col=id_col).select("lat", "lon").first()
     if best is None or best.lat is None:
         return points.where(F.lit(False)).select("ts", "lat", "lon", value)
     near = points.where(F.col("lat").between(best.lat - tolerance, best.lat + tolerance) & F.col("lon").between(best.lon - tolerance, best.lon + tolerance))

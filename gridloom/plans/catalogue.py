@@ -95,7 +95,7 @@ _TARGETS_SQL = "t(query, at_lat, at_lon) AS (VALUES (0, 31.4::DOUBLE, -93.2::DOU
 @query(f"""WITH {{points}}, {_TARGETS_SQL}, d AS (SELECT query, event_id, lat, lon, value, row_number() OVER (PARTITION BY query ORDER BY (lat - at_lat) * (lat - at_lat) + (lon - at_lon) * (lon - at_lon), event_id) AS k FROM points, t)
   SELECT CAST(query AS INTEGER) AS query, event_id, lat, lon, value FROM d WHERE k = 1""")
 def nearest_point(spark, sf_dir):
-    return points.nearest(read_points(spark, sf_dir), TARGETS).select("query", "event_id", "lat", "lon", "value")
+    return points.nearest(read_points(spark, sf_dir).select("event_id", "lat", "lon", "value"), TARGETS).select("query", "event_id", "lat", "lon", "value")
 
 
 _HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1, pow(sin((radians(lat) - radians({0})) / 2), 2) + cos(radians(lat)) * cos(radians({0})) * pow(sin((radians(lon) - radians({1})) / 2), 2))))"
@@ -104,7 +104,7 @@ _HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1, pow(sin((radians(lat) - radians
 @query(f"""WITH {{points}}, {_TARGETS_SQL}, d AS (SELECT query, event_id, lat, lon, value, row_number() OVER (PARTITION BY query ORDER BY {_HAVERSINE.format("at_lat", "at_lon")}, event_id) AS k FROM points, t)
   SELECT CAST(query AS INTEGER) AS query, event_id, lat, lon, value FROM d WHERE k = 1""")
 def nearest_point_haversine(spark, sf_dir):
-    return points.nearest(read_points(spark, sf_dir), TARGETS, points.by_haversine).select("query", "event_id", "lat", "lon", "value")
+    return points.nearest(read_points(spark, sf_dir).select("event_id", "lat", "lon", "value"), TARGETS, points.by_haversine).select("query", "event_id", "lat", "lon", "value")
 
 
 @query(f"""WITH {{points}} SELECT event_id, round({_HAVERSINE.format("48.85", "2.35")}, 3) AS metres FROM points""")
