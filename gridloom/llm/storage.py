@@ -45,10 +45,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark, there = df.sparkSession, run_dir(df.sparkSession, label)
     df.write.parquet(there)
-    atexit.register(_remove, spark, there)
+    remove_at_exit(spark, there)
     return spark.read.schema(df.schema).parquet(there)
 
 
+def remove_at_exit(spark: SparkSession, there: str) -> None:
+    atexit.register(_remove, spark, there)
+
+
 def _remove(spark: SparkSession, there: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may have gone first
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(there)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import filesystem, partitions, run_dir
+from gridloom.llm.storage import filesystem, partitions, remove_at_exit, run_dir
 from gridloom.llm.tokens import encoder
 
 #: Sequences in a record batch.
@@ -173,6 +173,8 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def encode_documents(df: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
-    """Write the files to a new folder in the shared one and read every document back from them."""
+    """Write the files to a new folder in the shared one and read every document back from them. The folder goes when
+    the session's Python ends; ``write_shards`` keeps what it writes."""
     folder = run_dir(df.sparkSession, "token-shards")
+    remove_at_exit(df.sparkSession, folder)
     return read_documents(write_shards(df, tokenizer, end_id, folder, **options), folder)
