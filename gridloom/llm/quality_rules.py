@@ -32,13 +32,12 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    return let(F.btrim(text, F.lit(SPACES)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACE)))
 
 
 def count_of(text: Column, others: str) -> Column:
     """Code points of ``text`` outside the class of ``others``."""
-    return F.coalesce(F.char_length(F.regexp_replace(text, others, "")), F.lit(0)).cast("long")
+    return F.char_length(F.regexp_replace(text, others, "")).cast("long")
 
 
 def repeated_windows(hashes: Column, width: int = 3) -> Column:
@@ -57,20 +56,30 @@ def repeated_windows(hashes: Column, width: int = 3) -> Column:
 
 
 def statistics(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with the five base counts and the further statistics of ``FEATURES`` (names get ``prefix``)."""
+    """``df`` with the five base counts and the further statistics of ``FEATURES`` (names get ``prefix``).
+
+    The counts come out of a generator of one row, which a later filter on them can't be pushed through: each is
+    computed once a text, however often it is used. One pass leaves the characters that are counted, others count in these.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumns({
-        f"{prefix}n_words": F.size(words(text)).cast("long"),
-        f"{prefix}word_chars": count_of(text, SPACE),
-        f"{prefix}n_symbols": count_of(text, r"[^#*$%&|<>]+"),
-        f"{prefix}n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-        f"{prefix}n_repeat_words": let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: repeated_windows(h)),
-        f"{prefix}n_lines": F.size(lines).cast("long"),
-        f"{prefix}n_upper": count_of(text, r"[^\p{Lu}]+"),
-        f"{prefix}n_bangs": count_of(text, r"[^!]+"),
-        f"{prefix}n_pipes": count_of(text, r"[^|]+"),
-    })
+    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D#*$%&|<>!\p{Lu}]+", "")
+    counts = F.struct(
+        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("all"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_windows(h)).alias("again"))).alias(f"{prefix}_quality_w"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again"))).alias(f"{prefix}_quality_l"),
+        let(marks, lambda m: F.struct(
+            count_of(m, r"[^\x20\x09-\x0D]+").alias("space"), count_of(m, r"[^#*$%&|<>]+").alias("symbols"), count_of(m, r"[^!]+").alias("bangs"),
+            count_of(m, r"[^|]+").alias("pipes"), count_of(m, r"[^\p{Lu}]+").alias("upper"),
+        )).alias(f"{prefix}_quality_m"),
+        F.char_length(text).cast("long").alias(f"{prefix}_quality_n"),
+    )
+    found = df.select("*", F.inline(F.array(counts)))
+    w, l, m = (lambda name, part=part: F.col(f"{prefix}_quality_{part}")[name] for part in "wlm")
+    out = found.withColumns({
+        f"{prefix}n_words": w("all"), f"{prefix}word_chars": F.col(f"{prefix}_quality_n") - m("space"), f"{prefix}n_symbols": m("symbols"),
+        f"{prefix}n_dup_lines": l("again"), f"{prefix}n_repeat_words": w("again"), f"{prefix}n_lines": l("all"),
+        f"{prefix}n_upper": m("upper"), f"{prefix}n_bangs": m("bangs"), f"{prefix}n_pipes": m("pipes"),
+    }).drop(*(f"{prefix}_quality_{part}" for part in "wlmn"))
     n, chars = F.greatest(F.col(f"{prefix}n_words"), F.lit(1)), F.greatest(F.col(f"{prefix}word_chars"), F.lit(1))
     return out.withColumns({
         f"{prefix}symbol_rate": F.col(f"{prefix}n_symbols") / n, f"{prefix}upper_rate": F.col(f"{prefix}n_upper") / chars,
