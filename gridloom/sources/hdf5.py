@@ -302,7 +302,7 @@ class Hdf5File:
         h = self.source.read(heap, 142)
         if h[:4] != b"FRHP":
             raise UnsupportedFormatError("a fractal heap was due")
-        id_size, flags = number(h, 5, 2), h[9]
+        id_size = number(h, 5, 2)
         width, start, largest, bits = number(h, 110, 2), number(h, 112), number(h, 120), number(h, 128, 2)
         root, rows = number(h, 132), number(h, 140, 2)
         offset_size, length_size = -(-bits // 8), -(-min(largest, number(h, 10, 4)).bit_length() // 8)
@@ -314,7 +314,7 @@ class Hdf5File:
 
         def walk(address: int, n_rows: int, base: int) -> None:
             head = 13 + offset_size
-            n = sum(width for r in range(n_rows))
+            n = width * n_rows
             children = self.source.read(address + head, 8 * n)
             at = base
             for k in range(n):
@@ -334,7 +334,6 @@ class Hdf5File:
             blocks.append((0, start, root))
         else:
             walk(root, rows, 0)
-        del flags
         out = []
         for record in self._records(tree):
             key = record[id_at : id_at + id_size]

@@ -199,9 +199,6 @@ def test_codecs():
 def spatially_packed(values, order):
     """Template 5.3 by hand: one group an element run of 4."""
     x = np.array(values, np.int64)
-    d = x.copy()
-    for k in range(order):
-        d[order if order == 1 else k + 1 :] = d[order if order == 1 else k + 1 :] if k else d[order if order == 1 else k + 1 :]
     diffs = np.diff(x, order)
     low = int(diffs.min())
     stored = np.concatenate([np.zeros(order, np.int64), diffs - low])
