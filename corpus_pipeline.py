@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import best_fit_packing, quality_rules, simhash, source_mixing, storage
+from gridloom.llm import best_fit_packing, near_copies, quality_rules, source_mixing, storage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.dedup(docs, radius=2)
+    """One document of each group of near copies: five-word shingles, likeness 0.8 or more."""
+    return near_copies.dedup(docs, similarity=0.8, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
