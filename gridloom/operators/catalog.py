@@ -81,11 +81,11 @@ def needed_dimensions(variables_with_dims: DataFrame, kept: list[str], name: str
     return variables_with_dims.where(F.col(name).isin(kept)).select(F.explode(dims).alias("dim")).distinct()
 
 
-def pick_overview(overviews: DataFrame, width: int, height: int) -> DataFrame:
-    """The smallest image with at least the size asked for, or else the largest. Top 1 of a few rows."""
+def pick_overview(overviews: DataFrame, width: int, height: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The smallest image with at least the size asked for, or else the largest; ``ties`` order equal ones. Top 1 of a few rows."""
     enough = (F.col("width") >= width) & (F.col("height") >= height)
     area = F.col("width") * F.col("height")
-    return overviews.orderBy(F.when(enough, 0).otherwise(1), F.when(enough, area).otherwise(-area)).limit(1)
+    return overviews.orderBy(F.when(enough, 0).otherwise(1), F.when(enough, area).otherwise(-area), *ties).limit(1)
 
 
 #: The part of the WMO parameter table (discipline 0, and a land and an ocean sample) that common products use.

@@ -331,6 +331,12 @@ def auto_range(spark, sf_dir):
     return statistics.auto_range(p, by=("event_type",))
 
 
+@query("""SELECT event_type, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS vmin, CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS vmax FROM events GROUP BY event_type""")
+def auto_range_all(spark, sf_dir):
+    """As auto_range, over every row."""
+    return statistics.auto_range(read_points(spark, sf_dir), by=("event_type",))
+
+
 @query("""WITH {cells} SELECT min(value) AS vmin, max(value) AS vmax FROM cells WHERE t IN (0, 10, 19, 29)""")
 def frame_global_range(spark, sf_dir):
     return statistics.auto_range(read_cells(spark, sf_dir).where(F.col("t").isin(sequences.evenly_chosen(30, 4))))
@@ -533,6 +539,13 @@ def bbox_intersection(spark, sf_dir):
     return catalog.intersect_boxes(boxes, (-20.0, -30.0, 60.0, 20.0))
 
 
+@query("""WITH {points}, b AS (SELECT user_id, min(lon) AS a, min(lat) AS s, max(lon) AS e, max(lat) AS n FROM points GROUP BY 1), c AS (SELECT user_id, greatest(a, -20) AS min_lon, greatest(s, -30) AS min_lat, least(e, 60) AS max_lon, least(n, 20) AS max_lat FROM b) SELECT * FROM c WHERE max_lon > min_lon AND max_lat > min_lat""")
+def bbox_intersection_all(spark, sf_dir):
+    """As bbox_intersection, over every row."""
+    boxes = read_points(spark, sf_dir).groupBy("user_id").agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"))
+    return catalog.intersect_boxes(boxes, (-20.0, -30.0, 60.0, 20.0))
+
+
 @query("""SELECT DISTINCT event_type AS variable FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE value > 380)""")
 def missing_variables(spark, sf_dir):
     p = read_points(spark, sf_dir).withColumnRenamed("event_type", "variable")
@@ -546,6 +559,15 @@ def concatenated_sources(spark, sf_dir):
     return a.unionByName(b)
 
 
+@query("""SELECT CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS source_id, event_id, value FROM events""")
+def concatenated_sources_all(spark, sf_dir):
+    """As concatenated_sources, with a third part for the rows that the other two leave."""
+    p, part = read_points(spark, sf_dir).select("event_id", "value"), F.coalesce(F.col("event_id") % 3, F.lit(2))
+    a, b = (p.where(part == k).select(F.lit(s).alias("source_id"), "event_id", "value") for k, s in enumerate("ab"))
+    rest = p.where(~part.isin(0, 1)).select(F.lit("c").alias("source_id"), "event_id", "value")
+    return a.unionByName(b).unionByName(rest)
+
+
 @query("""SELECT DISTINCT unnest(CASE event_type WHEN 'click' THEN ['t', 'lat', 'lon'] WHEN 'view' THEN ['lat', 'lon', 'level'] ELSE ['station'] END) AS dim FROM events WHERE event_type IN ('click', 'view')""")
 def needed_dimensions(spark, sf_dir):
     dims = F.when(F.col("event_type") == "click", F.array(*map(F.lit, ("t", "lat", "lon")))).when(F.col("event_type") == "view", F.array(*map(F.lit, ("lat", "lon", "level")))).otherwise(F.array(F.lit("station")))
@@ -577,6 +599,14 @@ def overview_pick(spark, sf_dir):
     return best.select("k", "width", "height")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey % 40 + 1 AS width, o_orderkey % 30 + 1 AS height FROM orders) SELECT k, width, height FROM o ORDER BY CASE WHEN width >= 20 AND height >= 11 THEN 0 ELSE 1 END, CASE WHEN width >= 20 AND height >= 11 THEN width * height ELSE -width * height END, k LIMIT 1""")
+def overview_pick_all(spark, sf_dir):
+    """As overview_pick, over every row."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40 + 1).alias("width"), (F.col("o_orderkey") % 30 + 1).alias("height"))
+    best = catalog.pick_overview(o.groupBy("width", "height").agg(F.min("k").alias("k")), 20, 11, ties=("k",))
+    return best.select("k", "width", "height")
+
+
 _PARAM_VALUES = ", ".join(f"({d}, {c}, {n}, '{name}', '{unit}')" for d, c, n, name, unit in catalog.PARAMETERS)
 
 
