@@ -50,14 +50,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fingerprints as signed longs."""
+    """(doc_id, key, fp): fingerprints as signed longs; key is a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).astype(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).astype(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "key", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def masks(radius: int, keep: int = 3) -> list[int]:
@@ -183,27 +184,32 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def roots_of(hashed: DataFrame, radius: int = 2) -> DataFrame:
+    """(_fp, root, component_id) of every fingerprint of ``hashed``: a class goes by its fingerprint, a group by the smallest one
+    (root), so that no id can stand for another; the smallest doc_id is only carried beside."""
+    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    roots = components(shard_edges(classes.select("fp", F.col("fp").alias("id")), radius))
+    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), "id"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("_fp", "root", "component_id")
+
+
 def group(hashed: DataFrame, radius: int = 2) -> DataFrame:
     """``hashed`` (doc_id, fp) with component_id, the smallest doc_id of its group."""
     hashed = cut(hashed)
-    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    # A class whose ids are all null still links: it goes by a number of its own, above all ids.
-    numbered = classes.select("fp", F.coalesce(F.col("id"), F.lit((1 << 62) - 1) - F.pmod(F.xxhash64("fp"), F.lit(1 << 61))).alias("id"))
-    roots = components(shard_edges(numbered, radius))
-    named = numbered.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
-    real = F.when(F.col("component_id") < (1 << 61), F.col("component_id"))
-    return hashed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", real.alias("component_id"))
+    return hashed.join(roots_of(hashed, radius), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, **columns) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    return group(fingerprints(df, **columns), radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return group(fingerprints(df, **columns).select("doc_id", "fp"), radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup(df: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group: that of the smallest id. Rows without an id stay, as they can't be told apart."""
-    named = df.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"))
-    groups = near_duplicates(df, radius, id_col=id_col, text_col=text_col)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = named.join(first, F.col("_id") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["_id"]).unionByName(named.where("_id is null")).select("_doc.*")
+    """``df`` with one row of each group: that of the smallest id, and of the smallest text hash among equal ids. Rows
+    without an id stay, as they can't be told apart."""
+    named = df.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"))
+    hashed = cut(fingerprints(df, id_col, text_col))
+    rows = hashed.where("doc_id is not null").join(roots_of(hashed, radius), F.col("fp") == F.col("_fp"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_first")).select(F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
+    kept = named.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.unionByName(named.where("_id is null")).select("_doc.*")
