@@ -79,8 +79,10 @@ def fold_events(log: DataFrame) -> DataFrame:
 
 
 def messages_as_events(messages: DataFrame) -> DataFrame:
-    """Whole messages, one row a turn, as an event log."""
-    return messages.select("conv_id", F.col("turn").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.lit("message").alias("kind"), "role", "text")
+    """Whole messages as an event log. A conversation's rows are numbered by turn, then role and text, so that rows with
+    one turn, or with none, stay separate messages; rows without a turn come last."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").cast("long").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))) - 1
+    return messages.select("conv_id", place.cast("long").alias("seq"), place.cast("long").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
 def render(messages: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
