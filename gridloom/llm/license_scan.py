@@ -1,9 +1,9 @@
-"""Operator 2: licence passages by matching statistics on a generalised suffix automaton.
+"""Operator 2: licence passages by matching statistics on suffix automata.
 
-The automaton is built over the words of all licence templates. A text streams through it word by word; the
-matching statistic at a word is the length of the longest run of words that ends there and stands in some
-template. Maximal runs of at least ``least`` words are traced to where they stand in each template, and runs in
-rising template order are chained into spans, which tolerate changed names and dates between runs. A template
+An automaton is built over the words of each licence template. A text streams through them word by word; the
+matching statistic at a word is the length of the longest run of words that ends there and stands in the
+template. A template's own maximal runs of at least ``least`` words are traced to where they stand in it, whether
+or not another template carries them on, and runs in rising template order are chained into spans, which tolerate changed names and dates between runs. A template
 whose chain covers enough of it labels the text. Beside this, fixed short phrases label a text wherever their
 words stand consecutively.
 
@@ -127,14 +127,14 @@ class Automaton:
 
 
 class Scanner:
-    """Automaton, word numbers and template lengths for a set of templates and phrases."""
+    """Automata, word numbers and template lengths for a set of templates and phrases."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], least: int, gap: int, cover: float):
         self.labels = [label for label, _ in templates]
         sequences = [words_of(text) for _, text in templates]
         self.sizes = [len(s) for s in sequences]
         self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
-        self.automaton = Automaton([[self.numbers[w] for w in s] for s in sequences])
+        self.automata = [Automaton([[self.numbers[w] for w in s]]) for s in sequences]
         self.phrases = [(words_of(phrase), label) for phrase, label in phrases]
         self.least, self.gap, self.cover = least, gap, cover
         self.shortest = min([least, *self.sizes])
@@ -166,10 +166,9 @@ class Scanner:
                 stop += 1
             if stop - at >= self.shortest:
                 stretch = [self.numbers[words[k]] for k in known[at:stop]]
-                for end, n, state in self.automaton.runs(stretch, known[at], self.shortest):
-                    for template, last in self.automaton.places[state]:
-                        if n >= self.least or n == self.sizes[template]:
-                            runs.setdefault(template, []).append((end - n, last + 1 - n, n))
+                for template, automaton in enumerate(self.automata):
+                    for end, n, state in automaton.runs(stretch, known[at], min(self.least, self.sizes[template])):
+                        runs.setdefault(template, []).extend((end - n, last + 1 - n, n) for _, last in automaton.places[state])
             at = stop
         found = []
         for template, pieces in runs.items():
