@@ -86,9 +86,9 @@ class Sketches:
             np.add.at(self.key, cells, keys * factor)
             np.add.at(self.check, cells, checks * factor)
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray]:
-        """Recovered digests by document (how many), and whether a document's sketch came out empty."""
-        found = np.zeros(len(self.sizes), np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Recovered digests as (document, digest, side: 1 or -1), and whether a document's sketch came out empty."""
+        found = []
         of_cell = np.repeat(np.arange(len(self.sizes)), self.sizes)
         open_cells = np.flatnonzero(np.abs(self.count) == 1)
         while len(open_cells):
@@ -105,11 +105,12 @@ class Sketches:
             new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])
             docs, keys, signs = docs[new], keys[new], signs[new]
             self.add(docs, keys, -signs)
-            found += np.bincount(docs, minlength=len(found))
+            found.append((docs, keys, signs))
             touched = np.unique(homes(keys, self.first[docs], self.sizes[docs] // 3))
             open_cells = touched[np.abs(self.count[touched]) == 1]
         full = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        return found, np.bincount(of_cell[full], minlength=len(found)) == 0
+        docs, keys, signs = (np.concatenate([*x, np.empty(0, t)]) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.uint64, np.int64), strict=True))
+        return docs, keys, signs, np.bincount(of_cell[full], minlength=len(self.sizes)) == 0
 
 
 def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,10 +130,9 @@ def fingerprints(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
     return [base64.b64encode(len(s).to_bytes(4, "little") + data[i * size : (i + 1) * size]).decode() for i, s in enumerate(sets)]
 
 
-def likeness(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """Jaccard likeness of paired digest sets, from what peeling the subtracted sketches recovers."""
+def peeled(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pairs, pair of a digest, digest, side) of the pairs whose subtracted sketches came out empty, round by round."""
     a, b = (np.array([len(s) for s in sets], np.int64) for sets in (left, right))
-    differ = np.zeros(len(left), np.int64)
     todo = np.arange(len(left))
     # A sketch with fewer cells than the sizes differ by can't be peeled: such sizes are passed over.
     size = np.full(len(left), cells, np.int64)
@@ -143,14 +143,51 @@ def likeness(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS
         for sets, sign in ((left, 1), (right, -1)):
             doc, keys = flat([sets[i] for i in todo.tolist()])
             sketches.add(doc, keys, np.full(len(keys), sign, np.int64))
-        found, done = sketches.peel()
-        differ[todo[done]] = found[done]
+        docs, keys, signs, done = sketches.peel()
+        whole = done[docs]
+        yield todo[done], todo[docs[whole]], keys[whole], signs[whole]
         todo = todo[~done]
         size[todo] *= 2
+
+
+def likeness(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
+    """Jaccard likeness of paired digest sets, from what peeling the subtracted sketches recovers."""
+    a, b = (np.array([len(s) for s in sets], np.int64) for sets in (left, right))
+    differ = np.zeros(len(left), np.int64)
+    for _, pairs, _, _ in peeled(left, right, cells):
+        differ += np.bincount(pairs, minlength=len(differ))
     union = (a + b + differ) / 2
     return np.where(union > 0, ((a + b - differ) / 2) / np.maximum(union, 1), 1.0)
 
 
+def recovered(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair the digests only on the left and only on the right, sorted, from peeling."""
+    out = [(np.empty(0, np.uint64), np.empty(0, np.uint64))] * len(left)
+    for _, pairs, keys, signs in peeled(left, right, cells):
+        order = np.lexsort((keys, pairs))
+        pairs, keys, signs = pairs[order], keys[order], signs[order]
+        bounds = np.flatnonzero(np.diff(pairs, prepend=-1))
+        for start, stop in zip(bounds.tolist(), np.append(bounds, len(pairs))[1:].tolist(), strict=True):
+            own, side = keys[start:stop], signs[start:stop]
+            out[pairs[start]] = (own[side == 1], own[side == -1])
+    return out
+
+
+def versions(df: DataFrame, id_col: str = "doc_id", old_col: str = "old", new_col: str = "new") -> DataFrame:
+    """(doc_id, removed, added) of pairs of versions: the digests only of the old and only of the new text, as signed longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                ids, old, new = (c.to_pylist() for c in batch.slice(at, 1000).columns)
+                sides = recovered([digests(t) for t in old], [digests(t) for t in new])
+                columns = [pa.array([pair[k].astype(np.int64) for pair in sides], pa.list_(pa.int64())) for k in (0, 1)]
+                yield pa.record_batch([pa.array(ids, pa.int64()), *columns], names=["doc_id", "removed", "added"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((old_col, "old"), (new_col, "new"))))
+    return rows.mapInArrow(run, "doc_id long, removed array<long>, added array<long>")
+
+
 def compare(texts: list[str], following: list[str], own: list[np.ndarray] | None = None, theirs: list[np.ndarray] | None = None) -> list[list]:
     """The result columns behind doc_id for documents and their successors."""
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
