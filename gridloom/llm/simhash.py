@@ -5,11 +5,12 @@ over half of the shingles' XXH64. Fingerprints that differ in at most ``radius``
 reach.
 
 Distinct fingerprints are dealt into shards: of 5 blocks of bits, two fingerprints within 2 bits agree in 3 at least, so
-each goes to the 10 shards named by its choices of 3 blocks, and no link is lost. A shard's BK-tree keys children by
-their integer distance to the parent; a search at distance d follows only the edges from d - radius to d + radius. Trees
-are built and searched where their shard is, and not broadcast, since nothing bounds the number of fingerprints. A
-shard passes on, for each member, its smallest reachable member; groups then come from rounds of hooking and
-contraction on these edges.
+each goes to the 10 shards named by its choices of 3 blocks, and no link is lost. A shard of more than ``SHARD``
+fingerprints is dealt again in the same way by the bits it leaves open (26 at radius 2), after which 11 bits are open and a
+shard holds 2048 at most. A shard's BK-tree keys children by their integer distance to the parent; a search at
+distance d follows only the edges from d - radius to d + radius. Trees are built and searched where their shard is,
+and not broadcast, since nothing bounds the number of fingerprints. A shard passes on, for each member, its smallest
+reachable member; groups then come from rounds of hooking and contraction on these edges.
 
 Edge cases: a null or empty text has fingerprint zero and links like any other; fewer than three words are one shingle; a
 null id never names a group unless all its ids are null; repeated rows get the same group; an empty table gives an empty
@@ -24,14 +25,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut, partitions
+from gridloom.llm.storage import cut, even
 
 SEED, WIDTH = 42, 3
-#: Searches (query, node) advanced together: bounds a task's memory.
-FRONTIER = 1 << 20
+#: Searches (query, node) advanced together. At most 5 times as many wait on each level of a tree.
+FRONTIER = 1 << 16
+#: Fingerprints of a shard beyond which it is dealt again.
+SHARD = 2048
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,11 +64,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
-def masks(radius: int, keep: int = 3) -> list[int]:
-    """Bit masks of all choices of ``keep`` among ``radius + keep`` blocks, as signed longs."""
-    bounds = [round(64 * k / (radius + keep)) for k in range(radius + keep + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
-    return [int(np.array(sum(c), np.uint64).astype(np.int64)) for c in combinations(blocks, keep)]
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def masks(radius: int, keep: int = 3, among: int = (1 << 64) - 1) -> list[int]:
+    """Bit masks of all choices of ``keep`` among ``radius + keep`` blocks of the bits ``among``."""
+    places = [b for b in range(64) if among >> b & 1]
+    bounds = [round(len(places) * k / (radius + keep)) for k in range(radius + keep + 1)]
+    blocks = [sum(1 << b for b in places[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, keep)]
 
 
 class BKTrees:
@@ -94,22 +102,30 @@ class BKTrees:
 
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of elements of one run within the radius; each pair once, in parts."""
-        every = np.arange(len(self.fps))
-        stack = [(every[k : k + FRONTIER], self.roots[k : k + FRONTIER]) for k in range(0, len(every), FRONTIER)]
-        while stack:
-            query, node = stack.pop()
+        steps = np.arange(-radius, radius + 1)
+        stack: list[tuple[np.ndarray, np.ndarray]] = []
+        begun = 0
+        while stack or begun < len(self.fps):
+            if not stack:
+                every = np.arange(begun, min(begun + FRONTIER, len(self.fps)))
+                stack, begun = [(every, self.roots[every])], begun + len(every)
+            own = [stack.pop()]
+            while stack and sum(len(q) for q, _ in own) + len(stack[-1][0]) <= FRONTIER:  # small parts go on together
+                own.append(stack.pop())
+            query, node = (np.concatenate(x) for x in zip(*own, strict=True))
             distance = np.bitwise_count(self.fps[query] ^ self.fps[node]).astype(np.int64)
             near = (distance <= radius) & (query > node)
             if near.any():
                 yield query[near], node[near]
-            for step in range(-radius, radius + 1):
-                key = node * 65 + distance + step
-                at = np.searchsorted(self.keys, key)
-                hit = (distance + step > 0) & (at < len(self.keys))
-                hit[hit] = self.keys[at[hit]] == key[hit]
-                if hit.any():
-                    q, v = query[hit], self.nodes[at[hit]]
-                    stack += [(q[k : k + FRONTIER], v[k : k + FRONTIER]) for k in range(0, len(q), FRONTIER)]
+            edge = distance[:, None] + steps
+            asked = edge > 0
+            key = (node[:, None] * 65 + edge)[asked]
+            query = np.repeat(query, asked.sum(axis=1))
+            at = np.searchsorted(self.keys, key)
+            hit = at < len(self.keys)
+            hit[hit] = self.keys[at[hit]] == key[hit]
+            query, node = query[hit], self.nodes[at[hit]]
+            stack += [(query[k : k + FRONTIER], node[k : k + FRONTIER]) for k in range(0, len(query), FRONTIER)]
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,9 +141,22 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def shard_edges(classes: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v), v < u: within every shard, each member with the smallest member that links reach; ids of ``classes`` (fp, id)."""
-    shards = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(radius))]))
-    dealt = classes.select("id", "fp", shards.alias("s")).select("s.k", "s.bits", "fp", "id")
-    dealt = dealt.repartition(partitions(classes.sparkSession), "k", "bits").sortWithinPartitions("k", "bits", "id")
+    wide = masks(radius)
+    every, fine = (1 << 64) - 1, [[m | n for n in masks(radius, among=((1 << 64) - 1) ^ m)] for m in wide]
+
+    def named(masks_of: Column) -> Column:
+        return F.transform(masks_of, lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("bits")))
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*[F.lit(signed(v & every)).cast("long") for v in values])
+
+    dealt = classes.select("id", "fp", F.explode(named(longs(wide))).alias("s")).select("id", "fp", "s.mask", "s.bits")
+    # The shards to deal again are at most len(wide) / SHARD of the fingerprints; the join's way is chosen by their size.
+    large = dealt.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD).select("mask", "bits", F.lit(True).alias("large"))
+    again = F.create_map(*[x for m, own in zip(wide, fine, strict=True) for x in (F.lit(signed(m)).cast("long"), longs(own))])
+    shards = F.when(F.col("large"), named(F.element_at(again, F.col("mask")))).otherwise(F.array(F.struct("mask", "bits")))
+    dealt = dealt.join(large, ["mask", "bits"], "left").select("id", "fp", F.explode(shards).alias("s")).select("s.mask", "s.bits", "fp", "id")
+    dealt = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "id")
 
     def edges(ks: np.ndarray, bits: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
         runs = np.cumsum(np.concatenate([[0], (ks[1:] != ks[:-1]) | (bits[1:] != bits[:-1])]))
@@ -163,19 +192,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of an edge the smallest node that edges reach.
 
     A round hooks each node to its smallest neighbour, follows that once, and contracts the edges to what their ends
-    became. Every node with a smaller neighbour goes away, so rounds are few; each is cut, and nothing comes to
-    the driver but whether edges are left.
+    became. Every node with a smaller neighbour goes away, so rounds are few; each is cut once, as one table of its
+    map and the edges left, and nothing comes to the driver but whether edges are left.
     """
     maps: list[DataFrame] = []
     left = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not left.isEmpty():
         both = left.select("u", "v").unionAll(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooked = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("up")))
+        hooked = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("up"))
         upper = hooked.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = cut(hooked.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("root")))
-        maps.append(step)
+        step = hooked.join(upper, "up", "left").select("node", F.coalesce("top", "up").alias("root"))
         ends = left.join(step.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-        left = cut(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        rest = ends.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
+        done = cut(step.select("node", "root", F.lit(True).alias("mapped")).unionAll(rest.select("node", "root", F.lit(False))))
+        maps.append(done.where("mapped").select("node", "root"))
+        left = done.where("not mapped").select(F.col("node").alias("u"), F.col("root").alias("v"))
     if not maps:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = maps[0]
@@ -187,15 +218,15 @@ def components(edges: DataFrame) -> DataFrame:
 def roots_of(hashed: DataFrame, radius: int = 2) -> DataFrame:
     """(_fp, root, component_id) of every fingerprint of ``hashed``: a class goes by its fingerprint, a group by the smallest one
     (root), so that no id can stand for another; the smallest doc_id is only carried beside."""
-    classes = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    classes = hashed.groupBy("fp").agg(F.min("doc_id").alias("id"))
     roots = components(shard_edges(classes.select("fp", F.col("fp").alias("id")), radius))
-    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), "id"))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), "id")
     return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("_fp", "root", "component_id")
 
 
 def group(hashed: DataFrame, radius: int = 2) -> DataFrame:
     """``hashed`` (doc_id, fp) with component_id, the smallest doc_id of its group."""
-    hashed = cut(hashed)
+    hashed = cut(even(hashed))
     return hashed.join(roots_of(hashed, radius), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -208,7 +239,7 @@ def dedup(df: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str
     """``df`` with one row of each group: that of the smallest id, and of the smallest text hash among equal ids. Rows
     without an id stay, as they can't be told apart."""
     named = df.select(F.struct("*").alias("_doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"))
-    hashed = cut(fingerprints(df, id_col, text_col))
+    hashed = cut(even(fingerprints(df, id_col, text_col)))
     rows = hashed.where("doc_id is not null").join(roots_of(hashed, radius), F.col("fp") == F.col("_fp"))
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("_first")).select(F.col("_first.doc_id").alias("_id"), F.col("_first.key").alias("_key"))
     kept = named.join(first, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])

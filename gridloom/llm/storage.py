@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Checkpoint folders of this process, each with a name of its own.
+_KEPT: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
@@ -33,11 +37,23 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
+    """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation.
+
+    The session's own checkpoints go when its Python ends.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if (there := spark.sparkContext.getCheckpointDir()) not in _KEPT:
+        _KEPT.add(there)
+        remove_at_exit(spark, there)
     return df.checkpoint()
 
 
+def even(df: DataFrame) -> DataFrame:
+    """``df`` in partitions of the advisory size, whatever they were: few and whole files for what is cut next."""
+    return df.hint("rebalance")
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: like ``cut``, smaller for many rows.
 
