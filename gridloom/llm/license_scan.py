@@ -1,11 +1,12 @@
-"""Operator 2: licence passages by matching statistics on suffix automata.
+"""Operator 2: licence passages by matching statistics on a generalised suffix automaton.
 
-An automaton is built over the words of each licence template. A text streams through them word by word; the
-matching statistic at a word is the length of the longest run of words that ends there and stands in the
-template. A template's own maximal runs of at least ``least`` words are traced to where they stand in it, whether
-or not another template carries them on, and runs in rising template order are chained into spans, which tolerate changed names and dates between runs. A template
+One automaton is built over the words of all licence templates. A text streams through it word by word; the
+matching statistic at a word is the length of the longest run of words that ends there and stands in a template, and
+the suffix links above the state reached hold the longest run of every other template. A template's own maximal runs of
+at least ``least`` words, whether or not another template carries them on, are traced to where they stand in it, and
+runs in rising template order are chained into spans, which tolerate changed names and dates between runs. A template
 whose chain covers enough of it labels the text. Beside this, fixed short phrases label a text wherever their
-words stand consecutively.
+words stand consecutively. Time and memory grow in proportion to a text.
 
 Edge cases: a null or empty text has no words, no span, score 0; repeated and tied rows are judged alike, one
 output row for each input row; an empty table gives an empty one; other columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 #: Phrases that label a text wherever they stand.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening, grant or notice passages of common licences, with the label of each.
+#: Whole short licences, and opening, grant or notice passages and lines of common ones, with the label of each.
 TEMPLATES = {
     "mit-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
@@ -47,6 +48,47 @@ TEMPLATES = {
     ),
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "mit-whole": (
+        "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-3-whole": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        "specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, "
+        "OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc-whole": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+        "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "zlib-whole": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim "
+        "that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, "
+        "and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "unlicense-whole": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights "
+        "to this software under copyright law."
+    ),
+    "boost-whole": (
+        "Boost Software License - Version 1.0. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, "
+        "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all "
+        "derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."
+    ),
     "apache-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-line": "This work is licensed under the GNU General Public License, version 3.",
     "mit-line": "Released under the MIT License.",
@@ -125,19 +167,54 @@ class Automaton:
         if held >= least:
             yield at + len(words), held, state
 
+    def carriers(self, least: list[int]) -> list[list[tuple[int, int, int]]]:
+        """For each state (template, length, state): of every template with a run of ``least[template]`` words among the
+        suffixes of the state's longest run, that run's length (0: as long as what was matched) and state."""
+        found: list[list[tuple[int, int, int]]] = [[] for _ in self.step]
+        for state in sorted(range(1, len(self.step)), key=self.length.__getitem__):
+            above = self.link[state]
+            mine = {k for k, _ in self.places[state] if self.length[state] >= least[k]}
+            found[state] = [(k, 0, state) for k in sorted(mine)] + [(k, n or self.length[above], s) for k, n, s in found[above] if k not in mine]
+        return found
+
+    def runs_by_template(self, words: list[int], at: int, least: list[int], carriers: list[list[tuple[int, int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, end, length, state) of every template's own maximal runs in a stretch that starts at word ``at``."""
+        state = held = 0
+        open_runs: dict[int, tuple[int, int]] = {}
+        for k, word in enumerate(words):
+            while state > 0 and word not in self.step[state]:
+                state = self.link[state]
+                held = self.length[state]
+            state, held = (self.step[state][word], held + 1) if word in self.step[state] else (0, 0)
+            if carriers[state] or open_runs:
+                now = {t: (n or held, s) for t, n, s in carriers[state] if (n or held) >= least[t]}
+                for t, (n, s) in open_runs.items():
+                    if t not in now or now[t][0] != n + 1:
+                        yield t, at + k, n, s
+                open_runs = now
+        for t, (n, s) in open_runs.items():
+            yield t, at + len(words), n, s
+
 
 class Scanner:
-    """Automata, word numbers and template lengths for a set of templates and phrases."""
+    """The automaton, word numbers and template lengths for a set of templates and phrases."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...], least: int, gap: int, cover: float):
         self.labels = [label for label, _ in templates]
         sequences = [words_of(text) for _, text in templates]
         self.sizes = [len(s) for s in sequences]
         self.numbers = {w: k for k, w in enumerate(dict.fromkeys(w for s in sequences for w in s))}
-        self.automata = [Automaton([[self.numbers[w] for w in s]]) for s in sequences]
+        self.automaton = Automaton([[self.numbers[w] for w in s] for s in sequences])
         self.phrases = [(words_of(phrase), label) for phrase, label in phrases]
         self.least, self.gap, self.cover = least, gap, cover
+        self.least_of = [min(least, n) for n in self.sizes]
         self.shortest = min([least, *self.sizes])
+        self.carriers = self.automaton.carriers(self.least_of)
+        own: list[dict[int, list[int]]] = [{} for _ in self.automaton.places]
+        for state, places in enumerate(self.automaton.places):
+            for template, last in places:
+                own[state].setdefault(template, []).append(last)
+        self.lasts = own
 
     def places(self, words: list[bytes]) -> list[tuple[int, int, str]]:
         """(start, end, label) of every place where a phrase's words stand consecutively."""
@@ -166,9 +243,8 @@ class Scanner:
                 stop += 1
             if stop - at >= self.shortest:
                 stretch = [self.numbers[words[k]] for k in known[at:stop]]
-                for template, automaton in enumerate(self.automata):
-                    for end, n, state in automaton.runs(stretch, known[at], min(self.least, self.sizes[template])):
-                        runs.setdefault(template, []).extend((end - n, last + 1 - n, n) for _, last in automaton.places[state])
+                for template, end, n, state in self.automaton.runs_by_template(stretch, known[at], self.least_of, self.carriers):
+                    runs.setdefault(template, []).extend((end - n, last + 1 - n, n) for last in self.lasts[state][template])
             at = stop
         found = []
         for template, pieces in runs.items():
@@ -176,20 +252,26 @@ class Scanner:
         return sorted(found)
 
     def chain(self, template: int, pieces: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, float]]:
-        """Greedy chains in text order: the next run lies after the last in text and template, at most ``gap`` words on."""
-        while pieces:
-            start, place, n = pieces[0]
-            covered, rest = n, []
-            end, done = start + n, place + n
-            for s, p, m in pieces[1:]:
-                if s >= end and p >= done and s - end <= self.gap and p - done <= self.sizes[template]:
-                    covered, end, done = covered + m, s + m, p + m
-                else:
-                    rest.append((s, p, m))
-            if covered >= self.cover * self.sizes[template]:
-                yield start, end, self.labels[template], covered / self.sizes[template]
-                rest = [x for x in rest if x[0] >= end]
-            pieces = rest
+        """Chains by one sweep in text order. A run carries on the oldest open chain that it lies behind in text and template,
+        at most ``gap`` words on in the text, or else opens one; chains further behind are closed, so only those of the
+        last ``gap`` words are ever looked at. Of closed chains that cover enough, those that begin within an
+        earlier one are left out."""
+        size, closed, going = self.sizes[template], [], []
+        for s, p, m in pieces:
+            if going and any(s - c[1] > self.gap for c in going):
+                closed += [c for c in going if s - c[1] > self.gap]
+                going = [c for c in going if s - c[1] <= self.gap]
+            for c in going:  # start, end, place behind the end, words covered
+                if s >= c[1] and p >= c[2] and p - c[2] <= size:
+                    c[1:] = s + m, p + m, c[3] + m
+                    break
+            else:
+                going.append([s, s + m, p + m, m])
+        last = 0
+        for start, end, _, covered in sorted(closed + going, key=lambda c: (c[0], -c[3])):
+            if covered >= self.cover * size and start >= last:
+                last = end
+                yield start, end, self.labels[template], covered / size
 
 
 @lru_cache(maxsize=4)
