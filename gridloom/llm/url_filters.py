@@ -1,7 +1,7 @@
 """Operator 7: URL rules by host suffix and path prefix, looked up through hashes.
 
-Each URL is expanded into expressions: every suffix of its host at a dot, with every prefix of its path whose length
-some rule's path has. Rules and expressions meet in an equi-join on a short prefix of their SHA-256; full digests then
+Each URL is expanded into expressions: every suffix of its host with as many labels as some rule's host has, with every
+prefix of its path whose length some rule's path has; no other can be a rule, so a URL costs its length and a part for each rule size. Rules and expressions meet in an equi-join on a short prefix of their SHA-256; full digests then
 confirm, and the longest rule that fits wins (host and path together; at equal length the longer host).
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and fits no rule; repeated pages are judged
@@ -28,6 +28,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def labels_of(host: Column) -> Column:
+    """Number of parts between dots; 1 at least."""
+    return F.char_length(host) - F.char_length(F.translate(host, ".", "")) + 1
+
+
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(host, path, verdict) rows as a rule table."""
     return spark.createDataFrame(rules, "host string, path string, verdict string")
@@ -41,12 +46,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         "host", "path", F.when(F.col("blocks"), "block").otherwise("allow").alias("said"), F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("digest")
     ).withColumn("short", spread)
     lengths = sorted(r[0] for r in known.select(F.char_length("path")).distinct().collect())  # bounded by the longest path
+    depths = sorted(r[0] for r in known.select(labels_of(F.col("host"))).distinct().collect())  # and by the longest host
     few = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     table = known.select(F.col("short").alias("r_short"), F.col("digest").alias("r_digest"), F.concat("host", "path").alias("rule"), "said", F.struct((F.char_length("host") + F.char_length("path")).alias("size"), F.char_length("host").alias("host_size")).alias("precedence"))
 
     host, path = host_and_path(F.col(url_col))
-    parts = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    deep = F.filter(F.array(*[F.lit(n) for n in depths]).cast("array<int>"), lambda n: n <= labels_of(F.col("host")))
+    suffixes = F.transform(deep, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.char_length("path"))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda n: F.concat(h, F.lit("\n"), F.substring(F.col("path"), F.lit(1), n)))))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
