@@ -4,8 +4,10 @@ A pre-token is a stretch of text whose pieces don't depend on what stands around
 the vocabulary spans two classes of characters (checked against the vocabulary when it is loaded). Each distinct
 pre-token of the corpus is counted once; documents' pre-token frequencies are joined to these counts and summed.
 
-The join has two exact parts. ``HEAD`` most frequent short pre-tokens, a table of fixed size, are looked up where the
-text is read; all others leave as (row, pre-token, frequency) rows and meet their counts in a shuffled join.
+A pre-token goes by its text, or, if that is longer than ``LONG`` characters, by its SHA-256, so that keys are short
+whatever the text. The join has two exact parts. The ``HEAD`` most frequent keys, a table of fixed size, are looked up
+where the text is read; all others leave as (row, key, frequency) rows and meet their counts in a shuffled join. A key
+outside the head has at most a ``HEAD``-th of all occurrences or so, so that no key of the join is hot.
 
 Edge cases: a null or empty text has no tokens; repeated rows are counted apart; special strings are ordinary text;
 texts of one character only, or without blanks, are single pre-tokens of any length; an empty table gives an empty
@@ -14,6 +16,7 @@ one; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.storage import stage
 
-#: Pre-tokens in the broadcast table, and the longest of them in characters: at most about 20 MB.
-HEAD, HEAD_LENGTH = 100_000, 40
+#: Keys in the broadcast table, at most about 20 MB of them.
+HEAD = 100_000
+#: Longer pre-tokens, in characters, go by their digest and are counted where they are read.
+LONG = 40
+#: Distinct keys that a task holds before it passes them on.
+HELD = 300_000
 
 BLANK = "▁"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -65,52 +72,66 @@ class PieceCounter:
         return [len(ids) - 2 for ids in self.model.encode(["\n" + t for t in tokens], num_threads=1)]
 
 
+def key_of(token: str) -> str:
+    """The token, or what stands for a long one: no token has a line feed before anything else."""
+    return token if len(token) <= LONG else "\n#" + hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
 def distinct_counts(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """(token, frequency, n_tokens): every distinct pre-token of the corpus with its number of pieces, counted once."""
+    """(token, frequency, n_tokens): the key of every distinct pre-token of the corpus with its number of pieces. Pieces
+    are counted once for each; for long ones once in each part of the texts, as their characters stay there."""
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = counter(model), Counter()
+        own, seen, pieces = counter(model), Counter(), {}
 
         def emit() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["token", "frequency"])
+            names = ["token", "frequency", "n_tokens"]
+            out = pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64()), pa.array([pieces.get(k) for k in seen], pa.int64())], names=names)
             seen.clear()
+            pieces.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(own.pretokens(text.as_py() or ""))
-                if len(seen) > 300_000:  # bounded memory: what went out is summed after the shuffle
+                for token, n in Counter(own.pretokens(text.as_py() or "")).items():
+                    seen[key := key_of(token)] += n
+                    if len(token) > LONG and key not in pieces:
+                        pieces[key] = own.count([token])[0]
+                if len(seen) > HELD:  # bounded memory: what went out is summed after the shuffle
                     yield emit()
         yield emit()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model)
         for batch in batches:
-            yield batch.append_column("n_tokens", pa.array(own.count(batch.column(0).to_pylist()), pa.int64()))
+            keys, known = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            counted = iter(own.count([k for k, n in zip(keys, known, strict=True) if n is None]))
+            yield pa.record_batch([*batch.columns[:2], pa.array([next(counted) if n is None else n for n in known], pa.int64())], names=["token", "frequency", "n_tokens"])
 
-    by_part = df.select(F.col(text_col).alias("text")).mapInArrow(frequencies, "token string, frequency long")
-    return by_part.groupBy("token").agg(F.sum("frequency").alias("frequency")).mapInArrow(pieces, "token string, frequency long, n_tokens long")
+    fields = "token string, frequency long, n_tokens long"
+    by_part = df.select(F.col(text_col).alias("text")).mapInArrow(frequencies, fields)
+    return by_part.groupBy("token").agg(F.sum("frequency").alias("frequency"), F.max("n_tokens").alias("n_tokens")).mapInArrow(pieces, fields)
 
 
 def most_frequent(known: DataFrame) -> dict[str, int]:
-    """Pieces of the most frequent short pre-tokens, ``HEAD`` at most.
+    """Pieces of the most frequent keys, ``HEAD`` at most.
 
     The cut is taken from a histogram of frequencies in eighths of doublings (some hundreds of rows), so that no task
-    sends more than its share of the table to the driver. Pre-tokens below the cut take the joined way.
+    sends more than its share of the table to the driver. Keys below the cut take the joined way.
     """
-    short = known.where(F.char_length("token") <= HEAD_LENGTH).withColumn("class", F.floor(F.log2("frequency") * 8).cast("int"))
+    known = known.withColumn("class", F.floor(F.log2("frequency") * 8).cast("int"))
     cut, total = None, 0
-    for r in sorted(short.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+    for r in sorted(known.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         total += r["n"]
         if total > HEAD:
             break
         cut = r["class"]
-    return {} if cut is None else {r[0]: r[1] for r in short.where(F.col("class") >= cut).select("token", "n_tokens").collect()}
+    return {} if cut is None else {r[0]: r[1] for r in known.where(F.col("class") >= cut).select("token", "n_tokens").collect()}
 
 
 def count_tokens(df: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,8 +147,8 @@ def count_tokens(df: DataFrame, model: str, limit: int = 4096, id_col: str = "do
             for text in batch.column(3):
                 total = 0
                 for token, n in Counter(own.pretokens(text.as_py() or "")).items():
-                    if (pieces := lookup(token)) is None:
-                        tokens.append(token)
+                    if (pieces := lookup(key := key_of(token))) is None:
+                        tokens.append(key)
                         times.append(n)
                     else:
                         total += n * pieces
