@@ -8,7 +8,8 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Checkpoint folders of this process, each with a name of its own.
@@ -87,3 +88,12 @@ def filesystem(uri: str):
     if match := re.match(r"file:/+", uri):
         return fs.LocalFileSystem(), "/" + uri[match.end() :]
     return (fs.LocalFileSystem(), os.path.abspath(uri)) if "://" not in uri else fs.FileSystem.from_uri(uri)
+
+
+def range_of(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are at most ``value`` (0 for null), by halving steps."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    known = F.array(*[F.lit(b) for b in bounds]).cast("array<long>")
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= value, at + step).otherwise(at))
