@@ -1,13 +1,21 @@
 """Operator 5: best-fit packing of tokenised documents into sequences of bounded length.
 
 Documents become pieces of at most ``capacity`` ids; only longer documents are cut, from their end, so that the
-first piece may be shorter. Pieces are placed by best-fit decreasing, in bulk-synchronous supersteps over piece
-lengths from the longest down. A superstep sweeps the sorted gaps upwards from the successor of the length, gives
-each gap class as many pieces as it holds, and puts the shrunken gaps back for the next superstep. Pieces of one
-length are interchangeable, as are gaps of one class, so a superstep needs only counts: at most ``capacity`` counts
-in all, whatever the number of documents. Conflicts are settled by rank: piece number r of its length takes slot r of
-the ranges that the sweep gave out. The table of ranges is bounded as well (see ``plan``), hence broadcast. Ranks
-come from a two-level count (salted groups, then prefix sums of group counts), so no length is one task's.
+first piece may be shorter. Pieces over half the capacity open a sequence each. All others are placed in
+bulk-synchronous rounds over one table of pieces without a place and gaps of open sequences:
+
+* The table is ordered by size, pieces before gaps of the same size. A sweep upwards lets every gap take the largest
+  piece below it that no smaller gap has taken, as brackets close. Nothing is swept in one task: with ``rank`` (the place
+  among rows of the same kind and size) and the counts of sizes, each row's depth of nesting follows, and a piece and
+  the gap behind it at one depth belong together. Conflicts are thus settled by rank, and each gap takes one piece a round.
+* Gaps shrink by what they took. Those too small for the smallest piece left are retired.
+* Once all pieces left are at most ``capacity / 16``, every second sweep is one over running sums instead: pieces and
+  gaps lie end to end in order of size, and a piece goes to the gap that it wholly lies in, so that a gap takes many.
+* When no gap has room, as many sequences open as the pieces left need at least, and it goes on.
+
+Rounds follow from the pieces that a sequence holds, not from their number. Ranks come from a two-level count (salted
+groups, then sums of group counts), a depth has at most two rows of a size, and tables of sizes have at most
+``capacity`` rows, so no length is one task's; only such sizes and sums of them come to the driver.
 
 Edge cases: a null or empty text is a document of its end id alone; repeated rows are separate documents; null ids
 pack like others; ties in length go by salt, id and contents; an empty table gives no pieces; other columns are ignored.
@@ -18,14 +26,15 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut, partitions
+from gridloom.llm.storage import cut, even, partitions, range_of
 from gridloom.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -61,7 +70,8 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, i
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Supersteps on counts of pieces by length: rows (length, rank from, rank to, first sequence, pieces for each
+    """What best-fit decreasing, one piece at a time, comes to, found from the counts of lengths: a measure to hold the
+    rounds against, not used by them. Rows (length, rank from, rank to, first sequence, pieces for each
     sequence, offset of the first of them).
 
     Gaps are ranges of sequences with the same remaining room, kept sorted by room. A sweep uses up each range it
@@ -108,47 +118,102 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(pieces: DataFrame, by: str = "length") -> DataFrame:
-    """``pieces`` with ``rank``, from 0 and without gaps among those of the same ``by``.
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rows`` (kind, id, size, ...) with ``rank``, from 0 and without gaps among those of the same kind and size.
 
-    Rows are dealt by (by, salt); a group's offset is the sum of the groups before it, from a table of counts.
+    Rows are dealt by (kind, size, salt); a group's offset is the sum of the groups before it, from a table of counts.
     """
-    spark = pieces.sparkSession
-    salts = max(16, partitions(spark))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    local = salted.withColumn("_local", F.row_number().over(W.partitionBy(by, "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    counts = salted.groupBy(by, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(by).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(F.col(by).alias("_by"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return local.join(offsets, (F.col(by) == F.col("_by")) & (F.col("_salt") == F.col("_s"))).withColumn("rank", F.col("_before") + F.col("_local")).drop("_by", "_s", "_before", "_local", "_salt")
+    salts = max(16, partitions(rows.sparkSession))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    local = salted.withColumn("local", F.row_number().over(W.partitionBy("kind", "size", "salt").orderBy("id")) - 1)
+    counts = salted.groupBy("kind", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("kind", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("kind", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return local.join(offsets, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("local")).drop("salt", "local", "before")
+
+
+#: Rows of the rounds' table: pieces without a place (their key and length), gaps (their sequence and room), and places.
+PIECE, GAP, PLACE = 0, 1, 2
+STATE = ("kind", "id", "size", "sequence", "offset")
+
+
+def state_row(kind: int, id_of: Column, size: Column, sequence: Column | None = None, offset: Column | None = None) -> Column:
+    values = (F.lit(kind), id_of.cast("long"), size.cast("int"), (sequence if sequence is not None else F.lit(None)).cast("long"), (offset if offset is not None else F.lit(None)).cast("long"))
+    return F.struct(*(v.alias(n) for v, n in zip(values, STATE, strict=True)))
+
+
+def sweep(rows: DataFrame, capacity: int) -> DataFrame:
+    """One round of successor sweeps over pieces and gaps."""
+    counts = rows.groupBy("size").agg(F.count(F.when(F.col("kind") == PIECE, 1)).alias("pieces"), F.count(F.when(F.col("kind") == GAP, 1)).alias("gaps"))
+    upwards = W.orderBy("size").rowsBetween(W.unboundedPreceding, 0)  # over at most ``capacity`` rows
+    counts = counts.withColumn("sum", F.sum(F.col("pieces") - F.col("gaps")).over(upwards)).withColumn("least", F.min("sum").over(upwards))
+    counts = counts.withColumn("depth", F.col("sum") - F.least(F.lit(0), "least"))  # of brackets still open behind a size
+    counts = counts.select("size", "pieces", F.lag("depth", 1, 0).over(W.orderBy("size")).alias("below"))
+    deep = ranked(rows).join(F.broadcast(counts), "size").withColumn(
+        "depth", F.when(F.col("kind") == PIECE, F.col("below") + F.col("rank") + 1).otherwise(F.col("below") + F.col("pieces") - F.col("rank"))
+    )
+    # At each depth pieces and gaps take turns; gaps at no depth find nothing, and each is a group of its own.
+    alone = F.when(F.col("depth") < 1, F.col("id"))
+    turns = W.partitionBy(F.greatest("depth", F.lit(0)), alone).orderBy("size", "kind")
+    met = deep.select("kind", "id", "size", F.lead("id").over(turns).isNotNull().alias("goes"), F.lag("id").over(turns).alias("got"), F.lag("size").over(turns).alias("took"))
+    size, taken = F.col("size"), F.col("got").isNotNull()
+    after = F.array(state_row(GAP, F.col("id"), size - F.col("took")), state_row(PLACE, F.col("got"), F.col("took"), F.col("id"), capacity - size))
+    return met.where((F.col("kind") == GAP) | ~F.col("goes")).select(
+        F.explode(F.when(F.col("kind") == PIECE, F.array(state_row(PIECE, F.col("id"), size))).when(taken, after).otherwise(F.array(state_row(GAP, F.col("id"), size)))).alias("s")
+    ).select("s.*")
+
+
+def fill(rows: DataFrame, capacity: int, longest: int) -> DataFrame:
+    """One round of sweeps over running sums, for gaps of room for the ``longest`` piece."""
+    rows = rows.where((F.col("kind") == PIECE) | (F.col("size") >= longest))
+    counts = {kind: sorted((r["size"], r["n"]) for r in rows.where(F.col("kind") == kind).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()) for kind in (PIECE, GAP)}
+    bases = {kind: np.cumsum([0] + [size * n for size, n in own]).tolist() for kind, own in counts.items()}  # where each size begins
+    order = ranked(rows)
+    starts = F.create_map(*[F.lit(x).cast("long") for (size, _), base in zip(counts[PIECE], bases[PIECE], strict=False) for x in (size, base)])
+    at = (F.element_at(starts, F.col("size").cast("long")) + F.col("rank") * F.col("size")).alias("at")
+    pieces = order.where(F.col("kind") == PIECE).select("id", "size", at).withColumn("class", range_of(F.col("at"), bases[GAP]))
+    rooms = F.array(*[F.lit(size) for size, _ in counts[GAP]]).cast("array<int>")
+    base = F.array(*map(F.lit, bases[GAP])).cast("array<long>")
+    pieces = pieces.withColumn("room", F.get(rooms, F.col("class") - 1)).withColumn("into", F.col("at") - F.get(base, F.col("class") - 1))
+    pieces = pieces.withColumn("nth", F.floor(F.col("into") / F.col("room"))).withColumn("fits", F.coalesce(F.col("into") % F.col("room") + F.col("size") <= F.col("room"), F.lit(False)))
+    gaps = order.where(F.col("kind") == GAP).select(F.col("id").alias("sequence"), F.col("size").alias("room"), F.col("rank").alias("nth"))
+    found = pieces.where("fits").select("id", "size", "at", "room", "nth").join(gaps, ["room", "nth"])
+    behind = F.sum("size").over(W.partitionBy("sequence").orderBy("at"))  # at most ``capacity`` rows
+    placed = found.select(state_row(PLACE, F.col("id"), F.col("size"), F.col("sequence"), capacity - F.col("room") + behind - F.col("size")).alias("s"))
+    left = gaps.join(found.groupBy("sequence").agg(F.sum("size").alias("took")), "sequence", "left")
+    return placed.unionAll(pieces.where("not fits").select(state_row(PIECE, F.col("id"), F.col("size")))).unionAll(
+        left.select(state_row(GAP, F.col("sequence"), F.col("room") - F.coalesce("took", F.lit(0))))
+    ).select("s.*")
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with ``sequence_id`` and ``offset``."""
     spark = pieces.sparkSession
-    pieces = cut(pieces)  # lengths are needed twice, the tokenizer once
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    rows = plan(counts, capacity)
-    by_length: dict[int, list[tuple]] = {}
-    for length, *found in rows:
-        by_length.setdefault(length, []).append(found)
-    table = spark.sparkContext.broadcast({length: np.array(found, np.int64).T for length, found in by_length.items()})
     columns = pieces.columns
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
-            for length in np.unique(lengths).tolist():
-                rows_of = lengths == length
-                low, _, first, each, base = table.value[length]
-                at = np.searchsorted(low, ranks[rows_of], "right") - 1
-                own = ranks[rows_of] - low[at]
-                sequence[rows_of], offset[rows_of] = first[at] + own // each[at], base[at] + own % each[at] * length
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns] + [pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked(pieces).mapInArrow(slots, fields + ", sequence_id long, offset long")
+    pieces = cut(even(pieces)).withColumn("_key", F.monotonically_increasing_id())  # rows stay as they were cut
+    key, length = F.col("_key"), F.col("length")
+    opens = length * 2 > capacity
+    begun = pieces.select(F.explode(F.when(opens, F.array(state_row(PLACE, key, length, key, F.lit(0)), state_row(GAP, key, capacity - length))).otherwise(F.array(state_row(PIECE, key, length)))).alias("s"))
+    state = begun.select("s.*")
+    placed = [state.where(F.col("kind") == PLACE)]
+    made, filled = 0, False
+    while True:
+        open_pieces, gaps = state.where(F.col("kind") == PIECE), state.where(F.col("kind") == GAP)
+        size = F.when(F.col("kind") == PIECE, F.col("size"))
+        left = state.agg(F.count(size).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("total"), F.max(F.when(F.col("kind") == GAP, F.col("size"))).alias("room")).first()
+        if not left.n:
+            break
+        room = left.room or 0
+        if room < left.least:
+            new, room = -(-left.total // capacity), capacity
+            gaps = spark.range(new).select(state_row(GAP, -F.col("id") - 1 - made, F.lit(capacity)).alias("s")).select("s.*")
+            made += new
+        rows = open_pieces.unionAll(gaps.where(F.col("size") >= left.least)).select("kind", "id", "size")
+        filled = not filled and left.most * 16 <= capacity and room >= left.most
+        state = cut(fill(rows, capacity, left.most) if filled else sweep(rows, capacity))
+        placed.append(state.where(F.col("kind") == PLACE))
+    places = reduce(DataFrame.unionAll, placed).select(F.col("id").alias("_key"), F.col("sequence").alias("sequence_id"), "offset")
+    return pieces.join(places, "_key").select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, **columns) -> DataFrame:
