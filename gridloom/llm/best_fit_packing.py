@@ -9,8 +9,9 @@ bulk-synchronous rounds over one table of pieces without a place and gaps of ope
   among rows of the same kind and size) and the counts of sizes, each row's depth of nesting follows, and a piece and
   the gap behind it at one depth belong together. Conflicts are thus settled by rank, and each gap takes one piece a round.
 * Gaps shrink by what they took. Those too small for the smallest piece left are retired.
-* Once all pieces left are at most ``capacity / 16``, every second sweep is one over running sums instead: pieces and
-  gaps lie end to end in order of size, and a piece goes to the gap that it wholly lies in, so that a gap takes many.
+* Once all pieces left are at most ``capacity / 16``, or a twentieth of the first ones, every second sweep is one over
+  running sums instead: pieces and gaps lie end to end in order of size, and a piece goes to the gap that it wholly
+  lies in, so that a gap takes many.
 * When no gap has room, as many sequences open as the pieces left need at least, and it goes on.
 
 Rounds follow from the pieces that a sequence holds, not from their number. Ranks come from a two-level count (salted
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut, even, partitions, range_of
+from gridloom.llm.storage import cut, even, range_of
 from gridloom.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -118,17 +119,21 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-def ranked(rows: DataFrame) -> DataFrame:
+#: Rows of the rounds' table for each task.
+TASK_ROWS = 100_000
+
+
+def ranked(rows: DataFrame, tasks: int) -> DataFrame:
     """``rows`` (kind, id, size, ...) with ``rank``, from 0 and without gaps among those of the same kind and size.
 
-    Rows are dealt by (kind, size, salt); a group's offset is the sum of the groups before it, from a table of counts.
+    Rows are dealt by (kind, size, salt), with a salt for each of ``tasks``; a group's offset is the sum of the groups
+    before it, from a table of counts.
     """
-    salts = max(16, partitions(rows.sparkSession))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int"))
     local = salted.withColumn("local", F.row_number().over(W.partitionBy("kind", "size", "salt").orderBy("id")) - 1)
-    counts = salted.groupBy("kind", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    counts = salted.groupBy("kind", "size", "salt").agg(F.count(F.lit(1)).alias("n")).coalesce(tasks)
     before = W.partitionBy("kind", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("kind", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = counts.select("kind", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).coalesce(tasks)
     return local.join(offsets, ["kind", "size", "salt"]).withColumn("rank", F.col("before") + F.col("local")).drop("salt", "local", "before")
 
 
@@ -142,16 +147,17 @@ def state_row(kind: int, id_of: Column, size: Column, sequence: Column | None =
     return F.struct(*(v.alias(n) for v, n in zip(values, STATE, strict=True)))
 
 
-def sweep(rows: DataFrame, capacity: int) -> DataFrame:
-    """One round of successor sweeps over pieces and gaps."""
-    counts = rows.groupBy("size").agg(F.count(F.when(F.col("kind") == PIECE, 1)).alias("pieces"), F.count(F.when(F.col("kind") == GAP, 1)).alias("gaps"))
+def sweep(rows: DataFrame, capacity: int, tasks: int = 1) -> DataFrame:
+    """One round of successor sweeps over pieces and gaps, by ``tasks`` tasks a stage: what its rows need, since
+    shuffles of more would leave more files than rows."""
+    counts = rows.groupBy("size").agg(F.count(F.when(F.col("kind") == PIECE, 1)).alias("pieces"), F.count(F.when(F.col("kind") == GAP, 1)).alias("gaps")).coalesce(1)
     upwards = W.orderBy("size").rowsBetween(W.unboundedPreceding, 0)  # over at most ``capacity`` rows
     counts = counts.withColumn("sum", F.sum(F.col("pieces") - F.col("gaps")).over(upwards)).withColumn("least", F.min("sum").over(upwards))
     counts = counts.withColumn("depth", F.col("sum") - F.least(F.lit(0), "least"))  # of brackets still open behind a size
     counts = counts.select("size", "pieces", F.lag("depth", 1, 0).over(W.orderBy("size")).alias("below"))
-    deep = ranked(rows).join(F.broadcast(counts), "size").withColumn(
+    deep = ranked(rows, tasks).join(F.broadcast(counts), "size").withColumn(
         "depth", F.when(F.col("kind") == PIECE, F.col("below") + F.col("rank") + 1).otherwise(F.col("below") + F.col("pieces") - F.col("rank"))
-    )
+    ).coalesce(tasks)
     # At each depth pieces and gaps take turns; gaps at no depth find nothing, and each is a group of its own.
     alone = F.when(F.col("depth") < 1, F.col("id"))
     turns = W.partitionBy(F.greatest("depth", F.lit(0)), alone).orderBy("size", "kind")
@@ -160,15 +166,15 @@ def sweep(rows: DataFrame, capacity: int) -> DataFrame:
     after = F.array(state_row(GAP, F.col("id"), size - F.col("took")), state_row(PLACE, F.col("got"), F.col("took"), F.col("id"), capacity - size))
     return met.where((F.col("kind") == GAP) | ~F.col("goes")).select(
         F.explode(F.when(F.col("kind") == PIECE, F.array(state_row(PIECE, F.col("id"), size))).when(taken, after).otherwise(F.array(state_row(GAP, F.col("id"), size)))).alias("s")
-    ).select("s.*")
+    ).select("s.*").coalesce(tasks)
 
 
-def fill(rows: DataFrame, capacity: int, longest: int) -> DataFrame:
+def fill(rows: DataFrame, capacity: int, longest: int, tasks: int = 1) -> DataFrame:
     """One round of sweeps over running sums, for gaps of room for the ``longest`` piece."""
     rows = rows.where((F.col("kind") == PIECE) | (F.col("size") >= longest))
     counts = {kind: sorted((r["size"], r["n"]) for r in rows.where(F.col("kind") == kind).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()) for kind in (PIECE, GAP)}
     bases = {kind: np.cumsum([0] + [size * n for size, n in own]).tolist() for kind, own in counts.items()}  # where each size begins
-    order = ranked(rows)
+    order = ranked(rows, tasks).coalesce(tasks)
     starts = F.create_map(*[F.lit(x).cast("long") for (size, _), base in zip(counts[PIECE], bases[PIECE], strict=False) for x in (size, base)])
     at = (F.element_at(starts, F.col("size").cast("long")) + F.col("rank") * F.col("size")).alias("at")
     pieces = order.where(F.col("kind") == PIECE).select("id", "size", at).withColumn("class", range_of(F.col("at"), bases[GAP]))
@@ -177,13 +183,13 @@ def fill(rows: DataFrame, capacity: int, longest: int) -> DataFrame:
     pieces = pieces.withColumn("room", F.get(rooms, F.col("class") - 1)).withColumn("into", F.col("at") - F.get(base, F.col("class") - 1))
     pieces = pieces.withColumn("nth", F.floor(F.col("into") / F.col("room"))).withColumn("fits", F.coalesce(F.col("into") % F.col("room") + F.col("size") <= F.col("room"), F.lit(False)))
     gaps = order.where(F.col("kind") == GAP).select(F.col("id").alias("sequence"), F.col("size").alias("room"), F.col("rank").alias("nth"))
-    found = pieces.where("fits").select("id", "size", "at", "room", "nth").join(gaps, ["room", "nth"])
+    found = pieces.where("fits").select("id", "size", "at", "room", "nth").join(gaps, ["room", "nth"]).coalesce(tasks)
     behind = F.sum("size").over(W.partitionBy("sequence").orderBy("at"))  # at most ``capacity`` rows
     placed = found.select(state_row(PLACE, F.col("id"), F.col("size"), F.col("sequence"), capacity - F.col("room") + behind - F.col("size")).alias("s"))
-    left = gaps.join(found.groupBy("sequence").agg(F.sum("size").alias("took")), "sequence", "left")
+    left = gaps.join(found.groupBy("sequence").agg(F.sum("size").alias("took")).coalesce(tasks), "sequence", "left")
     return placed.unionAll(pieces.where("not fits").select(state_row(PIECE, F.col("id"), F.col("size")))).unionAll(
         left.select(state_row(GAP, F.col("sequence"), F.col("room") - F.coalesce("took", F.lit(0))))
-    ).select("s.*")
+    ).select("s.*").coalesce(tasks)
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -196,23 +202,26 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     begun = pieces.select(F.explode(F.when(opens, F.array(state_row(PLACE, key, length, key, F.lit(0)), state_row(GAP, key, capacity - length))).otherwise(F.array(state_row(PIECE, key, length)))).alias("s"))
     state = begun.select("s.*")
     placed = [state.where(F.col("kind") == PLACE)]
-    made, filled = 0, False
+    made, filled, first = 0, False, None
     while True:
         open_pieces, gaps = state.where(F.col("kind") == PIECE), state.where(F.col("kind") == GAP)
-        size = F.when(F.col("kind") == PIECE, F.col("size"))
-        left = state.agg(F.count(size).alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("total"), F.max(F.when(F.col("kind") == GAP, F.col("size"))).alias("room")).first()
+        size, room = F.when(F.col("kind") == PIECE, F.col("size")), F.when(F.col("kind") == GAP, F.col("size"))
+        left = state.agg(F.count(size).alias("n"), F.count(room).alias("gaps"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("total"), F.max(room).alias("room")).first()
+        first = first or left
         if not left.n:
             break
-        room = left.room or 0
-        if room < left.least:
-            new, room = -(-left.total // capacity), capacity
-            gaps = spark.range(new).select(state_row(GAP, -F.col("id") - 1 - made, F.lit(capacity)).alias("s")).select("s.*")
-            made += new
-        rows = open_pieces.unionAll(gaps.where(F.col("size") >= left.least)).select("kind", "id", "size")
-        filled = not filled and left.most * 16 <= capacity and room >= left.most
-        state = cut(fill(rows, capacity, left.most) if filled else sweep(rows, capacity))
+        widest, n_gaps = left.room or 0, left.gaps
+        if widest < left.least:
+            n_gaps, widest = -(-left.total // capacity), capacity
+            gaps = spark.range(n_gaps, numPartitions=1 + n_gaps // TASK_ROWS).select(state_row(GAP, -F.col("id") - 1 - made, F.lit(capacity)).alias("s")).select("s.*")
+            made += n_gaps
+        tasks = 1 + (left.n + n_gaps) // TASK_ROWS
+        rows = open_pieces.unionAll(gaps.where(F.col("size") >= left.least)).select("kind", "id", "size").coalesce(tasks)
+        few = left.most * 16 <= capacity or left.n * 20 <= first.n
+        filled = not filled and few and widest >= left.most
+        state = cut(fill(rows, capacity, left.most, tasks) if filled else sweep(rows, capacity, tasks))
         placed.append(state.where(F.col("kind") == PLACE))
-    places = reduce(DataFrame.unionAll, placed).select(F.col("id").alias("_key"), F.col("sequence").alias("sequence_id"), "offset")
+    places = reduce(DataFrame.unionAll, placed).select(F.col("id").alias("_key"), F.col("sequence").alias("sequence_id"), "offset").coalesce(1 + (first.n + first.gaps) // TASK_ROWS)
     return pieces.join(places, "_key").select(*columns, "sequence_id", "offset")
 
 
