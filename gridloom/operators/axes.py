@@ -7,7 +7,10 @@ at the cost of the axis' and the raster's edge lengths. The big table then sees
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,13 +92,25 @@ def monotonic(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
 def unique_coordinates(points: DataFrame, coordinate: str, tolerance: float = 1e-9) -> DataFrame:
     """Distinct coordinates in order with their index, those within ``tolerance`` of the last kept one dropped.
 
-    Whether a coordinate is kept depends on the one kept before, so the distinct values, one edge of a grid, are
-    folded in order; with tolerance 0 they are only numbered.
+    Whether a coordinate is kept depends on the one kept before, so the distinct values, one edge of a grid, pass in
+    order through one task, which holds no more than a batch of them.
     """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = -np.inf, 0
+        for batch in batches:
+            values, kept, at = batch.column(0).to_numpy(), [], 0
+            while at < len(values):
+                if not (n or kept) or values[at] - last > tolerance:
+                    last = values[at]
+                    kept.append(last)
+                # The next to keep lies further on than the tolerance; what is nearer needs no look.
+                at = max(at + 1, int(np.searchsorted(values, last + tolerance - 4 * np.spacing(abs(last) + tolerance), "left")))
+            yield pa.record_batch([pa.array(range(n, n + len(kept)), pa.int32()), pa.array(kept, pa.float64())], names=["i", coordinate])
+            n += len(kept)
+
     distinct = points.where(F.col(coordinate).isNotNull() & ~F.isnan(coordinate)).select(F.col(coordinate).cast("double").alias("c")).distinct()
-    ordered = distinct.agg(F.sort_array(F.collect_list("c")).alias("all"))
-    kept = F.aggregate("all", F.array().cast("array<double>"), lambda out, c: F.when((F.size(out) == 0) | (c - F.element_at(out, -1) > tolerance), F.array_append(out, c)).otherwise(out))
-    return ordered.select(F.posexplode(F.col("all") if tolerance == 0 else kept).alias("i", coordinate))
+    return distinct.repartition(1).sortWithinPartitions("c").mapInArrow(fold, f"i int, `{coordinate}` double")
 
 
 def pixel_map(spark: SparkSession, names: tuple[str, str], indices: list[int | None]) -> DataFrame:

@@ -10,6 +10,8 @@ from gridloom.functions.geo import bin_index, haversine
 from gridloom.functions.units import finite
 
 Box = tuple[float, float, float, float]
+#: Targets of ``nearest`` that are columns of one aggregate.
+MANY = 32
 
 
 def in_box(lat: Column, lon: Column, box: Box) -> Column:
@@ -45,16 +47,23 @@ def squared_degrees(lat: Column, lon: Column, at: tuple[float, float]) -> Column
 def nearest(points: DataFrame, targets: list[tuple[float, float]], distance=squared_degrees, id_col: str = "event_id") -> DataFrame:
     """For each (lat, lon) target the nearest point, the smaller id at equal distance: query, distance, and all columns.
 
-    All targets share one pass and one partial aggregate; nothing is joined. All columns are carried along: select
-    the needed ones first.
+    All targets share one pass and one partial aggregate; nothing is joined. Beyond ``MANY`` targets they are a list that
+    each row meets, grouped by target before anything is shuffled, so that the plan doesn't grow with them. All
+    columns are carried along: select the needed ones first.
     """
+    if len(targets) > MANY:
+        known = F.array(*(F.struct(F.lit(k).alias("query"), F.lit(float(at[0])).alias("at_lat"), F.lit(float(at[1])).alias("at_lon")) for k, at in enumerate(targets)))
+        pairs = points.select(F.struct("*").alias("p"), F.explode(known).alias("q"))
+        d = distance(F.col("p.lat"), F.col("p.lon"), (F.col("q.at_lat"), F.col("q.at_lon")))
+        best = pairs.groupBy("q").agg(F.min_by("p", F.struct(d.alias("d"), F.col(f"p.{id_col}"))).alias("p"))
+        return best.select("q.query", "q.at_lat", "q.at_lon", "p.*")
     found = points.agg(*(F.min_by(F.struct("*"), F.struct(distance(F.col("lat"), F.col("lon"), at).alias("d"), id_col)).alias(f"q{k}") for k, at in enumerate(targets)))
     each = F.array(*(F.struct(F.lit(k).alias("query"), F.lit(at[0]).alias("at_lat"), F.lit(at[1]).alias("at_lon"), F.col(f"q{k}").alias("p")) for k, at in enumerate(targets)))
     return found.select(F.explode(each).alias("q")).select("q.query", "q.at_lat", "q.at_lon", "q.p.*")
 
 
-def by_haversine(lat: Column, lon: Column, at: tuple[float, float]) -> Column:
-    return haversine(lat, lon, F.lit(at[0]), F.lit(at[1]))
+def by_haversine(lat: Column, lon: Column, at: tuple) -> Column:
+    return haversine(lat, lon, *(x if isinstance(x, Column) else F.lit(x) for x in at))
 
 
 def station_series(points: DataFrame, at: tuple[float, float], value: str = "value", id_col: str = "event_id", tolerance: float = 1e-9) -> DataFrame:

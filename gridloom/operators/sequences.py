@@ -36,10 +36,17 @@ def frame_budget(width: int, height: int, budget: int = 256 << 20) -> int:
 def ranked_subset(messages: DataFrame, t1: int | None, t2: int | None, by: tuple[str, ...] = ("variable",), time: str = "valid_time", place: str = "start") -> DataFrame:
     """Messages whose time's rank within their variable (from 0) lies in t1..t2, in file order.
 
-    Ranks count messages; a message that shares its time with another ranks by its place.
+    Ranks count messages; a message that shares its time with another ranks by its place. They are taken within a day
+    and shifted by the messages of the days before, so that no task orders a whole variable.
     """
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(time, place)) - 1
-    ranked = messages.withColumn("time_index", rank)
+    at = F.col(time)
+    day = F.to_date(at) if dict(messages.dtypes)[time].startswith(("timestamp", "date")) else F.floor(at / 86400)
+    dealt = messages.withColumn("_day", day)
+    days = dealt.groupBy(*by, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = days.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    dealt = dealt.withColumn("_k", F.row_number().over(W.partitionBy(*by, "_day").orderBy(time, place)) - 1)
+    same = [dealt[c].eqNullSafe(before[c]) for c in (*by, "_day")]
+    ranked = dealt.join(before, same).select(*(dealt[c] for c in messages.columns), (F.col("_before") + F.col("_k")).cast("int").alias("time_index"))
     if t1 is not None:
         ranked = ranked.where(F.col("time_index") >= t1)
     if t2 is not None:

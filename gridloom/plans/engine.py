@@ -54,7 +54,7 @@ class Dataset:
     def cube(self, name: str | None = None, t: tuple[int, int] | None = None, y: tuple[int, int] | None = None, x: tuple[int, int] | None = None) -> Cube:
         """The variable as a cube, of its blocks only those that hold the index ranges."""
         v = self.variable(name)
-        chosen = grids.overlapping(grids.blocks(self.spark, [self.path]), [v.name], t, y, x)
+        chosen = grids.blocks(self.spark, [self.path], [v.name], t, y, x)
         return Cube(grids.decode(chosen).select("t", "iy", "ix", F.col("value").cast("double").alias("value")), Axis(v.y), Axis(v.x), list(map(int, v.times)) or list(range(v.shape[0])), v.projection())
 
     def steps(self, v: Variable, t1: int | None, t2: int | None, date: str | None, dates: tuple[str, str] | None) -> tuple[int, int]:
@@ -97,7 +97,14 @@ class Dataset:
             for column, chosen in (("iy", y), ("ix", x)):
                 if chosen:
                     cells = cells.where(F.col(column) == chosen[0])
-            py, px = (F.element_at(F.array(*map(F.lit, a)), F.col(c) + 1) if chosen is None else F.lit(a[chosen[0]]) for a, c, chosen in ((v.y, "iy", y), (v.x, "ix", x)))
+            # An axis is a table of its own, joined where the cells are, as long as it may be.
+            places = []
+            for axis, c, chosen in ((v.y, "iy", y), (v.x, "ix", x)):
+                if chosen is None:
+                    table = self.spark.createDataFrame(list(enumerate(map(float, axis))), f"{c} int, _{c} double")
+                    cells = cells.join(F.broadcast(table), c)
+                places.append(F.col(f"_{c}") if chosen is None else F.lit(float(axis[chosen[0]])))
+            py, px = places
             clat, clon = v.projection().inverse(px, py)
             # One row for each step of the axis, joined where the cells are.
             axis = self.spark.createDataFrame([(k, float(s)) for k, s in enumerate(v.times) if low <= k <= high], "t int, seconds double")

@@ -1,13 +1,66 @@
-"""Byte ranges of files: local paths, any URI that Arrow's file systems know, or bytes already at hand."""
+"""Byte ranges of files: local paths, http(s) addresses, any URI that Arrow's file systems know, or bytes already at hand."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
+import tempfile
+import time
+import urllib.error
+import urllib.request
+import uuid
 
 from gridloom.errors import SourceError
 
 
+class HttpFile:
+    """Ranges of a file behind http(s). Servers that don't know ranges send it whole, once."""
+
+    ATTEMPTS, PATIENCE = 4, 60
+
+    def __init__(self, url: str):
+        self.url, self.whole = url, None
+        status, headers, data = self._get("bytes=0-0")
+        if status == 206 and re.search(r"/\d+$", headers.get("Content-Range", "")):
+            self.length = int(headers["Content-Range"].rpartition("/")[2])
+        else:
+            self.whole, self.length = data if status == 200 else self._get(None)[2], 0
+            self.length = len(self.whole)
+
+    def _get(self, wanted: str | None) -> tuple[int, dict, bytes]:
+        """One answer; what may pass (a server's fault, a broken connection) is tried again, later each time."""
+        for attempt in range(self.ATTEMPTS):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(self.url, headers={"Range": wanted} if wanted else {}), timeout=self.PATIENCE) as answer:
+                    return answer.status, dict(answer.headers), answer.read()
+            except urllib.error.HTTPError as e:
+                if e.code == 416:  # an empty file has no first byte
+                    return 200, {}, b""
+                if e.code < 500 and e.code != 429 or attempt + 1 == self.ATTEMPTS:
+                    raise
+            except OSError:
+                if attempt + 1 == self.ATTEMPTS:
+                    raise
+            time.sleep(0.2 * 2**attempt)
+        raise OSError(self.url)
+
+    def size(self) -> int:
+        return self.length
+
+    def read_at(self, length: int, offset: int) -> bytes:
+        if not length:
+            return b""
+        if self.whole is not None:
+            return self.whole[offset : offset + length]
+        status, _, data = self._get(f"bytes={offset}-{offset + length - 1}")
+        data = data[offset : offset + length] if status == 200 else data
+        if len(data) != length:
+            raise OSError(f"{len(data)} of {length} bytes came")
+        return data
+
+
 class ByteSource:
     """Random access by (offset, length); what was asked for but isn't there is an error."""
 
@@ -20,8 +73,11 @@ class ByteSource:
 
         public = re.sub(r"^file:/+", "/", uri)
         try:
-            system, path = (fs.LocalFileSystem(), os.path.abspath(public)) if "://" not in public else fs.FileSystem.from_uri(uri)
-            self.file = system.open_input_file(path)
+            if re.match("https?://", public):
+                self.file = HttpFile(public)
+            else:
+                system, path = (fs.LocalFileSystem(), os.path.abspath(public)) if "://" not in public else fs.FileSystem.from_uri(uri)
+                self.file = system.open_input_file(path)
             self.data, self.size = None, self.file.size()
         except (OSError, ValueError) as e:
             raise SourceError(f"can't open {uri}: {e}") from e
@@ -42,3 +98,51 @@ class ByteSource:
 
     def all(self) -> bytes:
         return self.read(0, self.size)
+
+
+def is_folder(uri: str) -> bool:
+    """Whether the path, local or of an Arrow file system, is a folder."""
+    from pyarrow import fs
+
+    public = re.sub(r"^file:/+", "/", uri)
+    if re.match("https?://", public):
+        return False
+    system, path = (fs.LocalFileSystem(), os.path.abspath(public)) if "://" not in public else fs.FileSystem.from_uri(uri)
+    return system.get_file_info(path).type == fs.FileType.Directory
+
+
+def put(uri: str, data: bytes) -> str:
+    """Write a file whole, with the folders above it; its path."""
+    from pyarrow import fs
+
+    public = re.sub(r"^file:/+", "/", uri)
+    system, path = (fs.LocalFileSystem(), os.path.abspath(public)) if "://" not in public else fs.FileSystem.from_uri(uri)
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(data)
+    return uri
+
+
+def scratch(spark) -> str:
+    """A new folder below the one that executors share (``spark.checkpoint.dir``); it goes when Python ends. Where the
+    setting is missing, a local session takes a temporary one, and a cluster fails."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SourceError("set spark.checkpoint.dir to a folder that all executors share")
+        there = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, there, ignore_errors=True)
+    out = f"{there.rstrip('/')}/gridloom-files-{uuid.uuid4().hex}"
+    atexit.register(_remove, out)
+    return out
+
+
+def _remove(uri: str) -> None:
+    from pyarrow import fs
+
+    public = re.sub(r"^file:/+", "/", uri)
+    try:
+        system, path = (fs.LocalFileSystem(), public) if "://" not in public else fs.FileSystem.from_uri(uri)
+        system.delete_dir(path)
+    except OSError:
+        pass

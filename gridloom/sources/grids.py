@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import UnsupportedFormatError
 from gridloom.sources.detect import detect_format
-from gridloom.sources.files import ByteSource
+from gridloom.sources.files import ByteSource, is_folder
 from gridloom.sources.model import Block, Reader, Variable
 
 BLOCKS = "path string, variable string, t int, nt int, y int, ny int, x int, nx int, token string"
@@ -35,9 +35,14 @@ def open_reader(source: ByteSource | str | bytes) -> tuple[str, Reader]:
     """(format, reader) of a grid file."""
     from gridloom.sources import geotiff, grib2, hdf5, netcdf3, references, zarr
 
+    if isinstance(source, str) and is_folder(source):  # a store of many files, or an index
+        folder = source.rstrip("/")
+        return ("references", references.open_index(folder)) if folder.endswith(".refs") else ("zarr", zarr.ZarrReader(zarr.FolderStore(folder)))
     source = source if isinstance(source, ByteSource) else ByteSource(source)
     kind = detect_format(source)
     if kind is None and source.head(1) == b"{":
+        if (found := json.loads(source.all())).get("refs") is not None:
+            return "references", references.open_json(found, source.uri.rpartition("/")[0] + "/")
         return "refs", references.RefsV1Reader(source, source.uri.rpartition("/")[0] + "/")
     makers = {"grib2": grib2.Grib2Reader, "netcdf3": netcdf3.NetCDF3Reader, "tiff": geotiff.GeoTiffReader, "zarr": lambda s: zarr.ZarrReader(zarr.ZipStore(s)), "netcdf4": hdf5.Hdf5Reader}
     if kind not in makers:
@@ -53,7 +58,7 @@ def _opened(path: str, size: int) -> tuple[Reader, dict[str, Variable]]:
 
 def cached(path: str) -> tuple[Reader, dict[str, Variable]]:
     """A file's reader and variables, kept for the next blocks of the same task or worker."""
-    return _opened(path, ByteSource(path).size)
+    return _opened(path, 0 if is_folder(path) else ByteSource(path).size)
 
 
 def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -86,8 +91,16 @@ def scan(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
     return frame.select("path").mapInArrow(run, CATALOG)
 
 
-def blocks(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
-    """One row for each block of each supported variable."""
+Range = tuple[int, int] | None
+
+
+def meets(first: int, n: int, chosen: Range) -> bool:
+    return chosen is None or (first <= chosen[1] and first + n > chosen[0])
+
+
+def blocks(spark: SparkSession, paths: list[str] | DataFrame, variables: list[str] | None = None, t: Range = None, y: Range = None, x: Range = None) -> DataFrame:
+    """One row for each block of the supported variables, or of those named, that holds any of the index ranges. What is
+    left out never becomes a row."""
     frame = paths if isinstance(paths, DataFrame) else _paths(spark, paths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,17 +108,29 @@ def blocks(spark: SparkSession, paths: list[str] | DataFrame) -> DataFrame:
         types = [pa.string(), pa.string(), *[pa.int32()] * 6, pa.string()]
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                _, reader = open_reader(path)
-                for v in reader.variables():
-                    if v.supported and (rows := [(path, v.name, *asdict(b).values()) for b in reader.blocks(v)]):
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                reader, found = cached(path)
+                for v in found.values():
+                    if not v.supported or (variables is not None and v.name not in variables):
+                        continue
+                    rows = [(path, v.name, *asdict(b).values()) for b in reader.blocks(v) if meets(b.t, b.nt, t) and meets(b.y, b.ny, y) and meets(b.x, b.nx, x)]
+                    for at in range(0, len(rows), BATCH):
+                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[at : at + BATCH], strict=True), types, strict=True)], names=names)
 
     return frame.select("path").mapInArrow(run, BLOCKS)
 
 
+#: Cells that a task decodes at most, if blocks are smaller: 128 MB of values.
+CELLS_PER_TASK = 1 << 25
+
+
 def decode(chosen: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cells of blocks: path, variable, t, iy, ix, value (null where missing). Blocks are dealt evenly first."""
-    spread = chosen.repartition(partitions or chosen.sparkSession.sparkContext.defaultParallelism * 2, "path", "variable", "t", "y", "x")
+    """Cells of blocks: path, variable, t, iy, ix, value (null where missing). Blocks are dealt evenly first, to as many
+    tasks as their cells need and no fewer than twice the cores."""
+    if partitions is None:
+        cells_of = F.col("nt").cast("long") * F.col("ny") * F.col("nx")
+        total = chosen.agg(F.sum(cells_of)).first()[0] or 0
+        partitions = max(chosen.sparkSession.sparkContext.defaultParallelism * 2, -(-total // CELLS_PER_TASK))
+    spread = chosen.repartition(partitions, "path", "variable", "t", "y", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

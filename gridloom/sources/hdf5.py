@@ -46,10 +46,10 @@ class Dataset:
 
     def __init__(self, file: Hdf5File, found: list[tuple[int, bytes]]):
         self.file = file
-        self.shape, self.dtype, self.filters, self.layout = (), None, [], None
+        self.shape, self.most, self.dtype, self.filters, self.layout = (), (), None, [], None
         for kind, body in found:
             if kind == DATASPACE:
-                self.shape = dataspace(body)
+                self.shape, self.most = dataspace(body), most_dims(body)
             elif kind == DATATYPE:
                 self.dtype = datatype(body)
             elif kind == FILTERS:
@@ -83,18 +83,24 @@ class Dataset:
             return
         at = 5 + b[3] * b[4]
         kind = b[at]
-        grid = [-(-n // c) for n, c in zip(self.shape, self.chunks, strict=True)]
-        every = [tuple(i * c for i, c in zip(index, self.chunks, strict=True)) for index in itertools.product(*map(range, grid))]
         if kind == 1:
             filtered = bool(b[2] & 2)
             address = number(b, at + 1 + 12 * filtered)
             if address != NOWHERE:
-                yield ChunkRef(every[0], address, number(b, at + 1) if filtered else size, number(b, at + 9, 4) if filtered else 0)
+                yield ChunkRef((0,) * rank, address, number(b, at + 1) if filtered else size, number(b, at + 9, 4) if filtered else 0)
         elif kind == 2:
             base = number(b, at + 1)
-            yield from (ChunkRef(c, base + k * size, size) for k, c in enumerate(every))
+            grid = [-(-n // c) for n, c in zip(self.shape, self.chunks, strict=True)]
+            yield from (ChunkRef(tuple(i * c for i, c in zip(index, self.chunks, strict=True)), base + k * size, size) for k, index in enumerate(itertools.product(*map(range, grid))))
         elif kind == 3:
-            yield from self._fixed_array(number(b, at + 2), every, size)
+            yield from self._fixed_array(number(b, at + 2), size)
+        elif kind == 4:
+            yield from self._extensible_array(number(b, at + 6), size)
+        elif kind == 5:
+            for r in self.file._records(number(b, at + 7)):
+                index = struct.unpack_from(f"<{rank}Q", r, len(r) - 8 * rank)
+                filtered = len(r) > 8 + 8 * rank
+                yield ChunkRef(tuple(i * c for i, c in zip(index, self.chunks, strict=True)), number(r, 0), number(r, 8, len(r) - 12 - 8 * rank) if filtered else size, number(r, len(r) - 8 * rank - 4, 4) if filtered else 0)
         else:
             raise UnsupportedFormatError(f"chunk index of type {kind}")
 
@@ -115,19 +121,87 @@ class Dataset:
             else:
                 yield ChunkRef(struct.unpack_from(f"<{rank}Q", body, at + 8), child, number(body, at, 4), number(body, at + 4, 4))
 
-    def _fixed_array(self, address: int, every: list[tuple], size: int):
+    def _place(self, k: int) -> tuple[int, ...] | None:
+        """Coordinates of an array index's ``k``-th chunk: row by row over the largest extents, an unlimited dimension
+        slowest. None where the dataset hasn't grown to."""
+        free = [d for d, n in enumerate(self.most) if n == NOWHERE][:1]
+        order = free + [d for d in range(len(self.shape)) if d not in free]
+        index = [0] * len(order)
+        for d in reversed(order[1:]):
+            k, index[d] = divmod(k, -(-self.most[d] // self.chunks[d]))
+        index[order[0]] = k
+        coords = tuple(i * c for i, c in zip(index, self.chunks, strict=True))
+        return coords if all(c < n for c, n in zip(coords, self.shape, strict=True)) else None
+
+    def _elements(self, first: int, data: bytes, entry: int, filtered: bool, size: int):
+        """Chunks of consecutive elements from the ``first``-th on."""
+        for k in range(len(data) // entry):
+            b = data[k * entry : (k + 1) * entry]
+            if number(b, 0) != NOWHERE and (coords := self._place(first + k)) is not None:
+                yield ChunkRef(coords, number(b, 0), number(b, 8, entry - 12) if filtered else size, number(b, entry - 4, 4) if filtered else 0)
+
+    def _paged(self, address: int, n: int, page: int, entry: int, there: bytes):
+        """(first element, bytes) of the pages that ``there``, a bit for each from the highest on, says were written."""
+        for k in range(-(-n // page)):
+            if there[k // 8] & 0x80 >> k % 8:
+                yield k * page, self.file.source.read(address + k * (page * entry + 4), min(page, n - k * page) * entry)
+
+    def _fixed_array(self, address: int, size: int):
         read = self.file.source.read
         head = read(address, 28)
         if head[:4] != b"FAHD":
             raise UnsupportedFormatError("a fixed array was due")
-        filtered, entry, page_bits, n = head[5] == 1, head[6], head[7], number(head, 8)
-        if n > 1 << page_bits:
-            raise UnsupportedFormatError("a paged fixed array")
-        body = read(number(head, 16) + 14, n * entry)
-        for k, coords in enumerate(every[:n]):
-            b = body[k * entry : (k + 1) * entry]
-            if number(b, 0) != NOWHERE:
-                yield ChunkRef(coords, number(b, 0), number(b, 8, entry - 12) if filtered else size, number(b, entry - 4, 4) if filtered else 0)
+        filtered, entry, page, n, block = head[5] == 1, head[6], 1 << head[7], number(head, 8), number(head, 16)
+        if block == NOWHERE:
+            return
+        if n <= page:
+            yield from self._elements(0, read(block + 14, n * entry), entry, filtered, size)
+            return
+        there = read(block + 14, -(-(-(-n // page)) // 8))
+        for first, data in self._paged(block + 14 + len(there) + 4, n, page, entry, there):
+            yield from self._elements(first, data, entry, filtered, size)
+
+    def _extensible_array(self, address: int, size: int):
+        """An index block with the first elements, then data blocks that grow, the later ones behind secondary blocks."""
+        read = self.file.source.read
+        head = read(address, 68)
+        if head[:4] != b"EAHD":
+            raise UnsupportedFormatError("an extensible array was due")
+        filtered, (entry, bits, own, least, pointers, page_bits) = head[5] == 1, head[6:12]
+        n, block, page, offset_size = number(head, 44), number(head, 60), 1 << page_bits, -(-bits // 8)
+        if block == NOWHERE:
+            return
+        direct, first_behind = 2 * (pointers - 1), 2 * (pointers.bit_length() - 1)
+        n_behind = 1 + bits - (least.bit_length() - 1) - first_behind
+        index = read(block, 14 + own * entry + 8 * (direct + n_behind))
+        yield from self._elements(0, index[14 : 14 + min(own, n) * entry], entry, filtered, size)
+        addresses = [number(index, 14 + own * entry + 8 * k) for k in range(direct + n_behind)]
+        done, used = own, 0
+        for level in range(first_behind + n_behind):
+            if done >= n:
+                return
+            count, each = 1 << level // 2, least << (level + 1) // 2
+            n_pages = each // page if each > page else 0
+            map_size, maps = -(-n_pages // 8), b""
+            if level < first_behind:
+                blocks, used = addresses[used : used + count], used + count
+            elif (second := addresses[direct + level - first_behind]) == NOWHERE:
+                blocks = [NOWHERE] * count
+            else:
+                body = read(second, 14 + offset_size + count * (map_size + 8))
+                maps = body[14 + offset_size : 14 + offset_size + count * map_size]
+                blocks = [number(body, 14 + offset_size + count * map_size + 8 * k) for k in range(count)]
+            for k, at in enumerate(blocks):
+                if at != NOWHERE and done < n:
+                    at += 14 + offset_size
+                    if n_pages:
+                        there = maps[k * map_size : (k + 1) * map_size]
+                        parts = self._paged(at + 4, each, page, entry, there)
+                    else:
+                        parts = [(0, read(at, each * entry))]
+                    for first, data in parts:
+                        yield from self._elements(done + first, data[: max(0, n - done - first) * entry], entry, filtered, size)
+                done += each
 
     def decode_chunk(self, raw: bytes, mask: int = 0) -> np.ndarray:
         """A stored chunk through its filters in reverse; a set bit of the mask leaves one out."""
@@ -180,6 +254,12 @@ def dataspace(b: bytes) -> tuple[int, ...]:
     return struct.unpack_from(f"<{b[1]}Q", b, 4) if b[3] != 2 else (0,)
 
 
+def most_dims(b: bytes) -> tuple[int, ...]:
+    """The largest extents, ``NOWHERE`` for an unlimited one; the extents themselves if no others are stored."""
+    rank, at = b[1], 8 if b[0] == 1 else 4
+    return tuple(number(b, at + 8 * k) for k in (range(rank, 2 * rank) if b[2] & 1 else range(rank)))
+
+
 def datatype(b: bytes) -> np.dtype | str | None:
     """A numpy type; 'vlen' for variable-length text; None for what isn't read."""
     kind, flags, size = b[0] & 15, b[1], number(b, 4, 4)
@@ -349,26 +429,29 @@ class Hdf5File:
         if h[:4] != b"BTHD":
             raise UnsupportedFormatError("a version 2 B-tree was due")
         node, size, depth = number(h, 6, 4), number(h, 10, 2), number(h, 12, 2)
-        leaf_most = (node - 10) // size
+        width = lambda most: -(-most.bit_length() // 8)
+        # Most records of a node, and of a whole subtree, by level; both decide how wide the counts beside a pointer are.
+        most, below = [(node - 10) // size], [0]
+        count = width(most[0])
+        for level in range(1, depth + 1):
+            pointer = 8 + count + (width(below[-1]) if level > 1 else 0)
+            most.append((node - 10 - pointer) // (size + pointer))
+            below.append((most[-1] + 1) * (below[-1] or most[0]) + most[-1])
 
-        def walk(address: int, n: int, level: int, most: list[int]) -> list[bytes]:
+        def walk(address: int, n: int, level: int):
             data = self.source.read(address, node)
             own = [data[6 + k * size : 6 + (k + 1) * size] for k in range(n)]
             if level == 0:
-                return own
-            count, total = -(-most[level - 1].bit_length() // 8), -(-most[level - 1].bit_length() // 8) if level > 1 else 0
-            at, out = 6 + n * size, []
+                yield from own
+                return
+            at, step = 6 + n * size, 8 + count + (width(below[level - 1]) if level > 1 else 0)
             for k in range(n + 1):
-                out += walk(number(data, at), number(data, at + 8, count), level - 1, most) + own[k : k + 1]
-                at += 8 + count + total
-            return out
+                yield from walk(number(data, at), number(data, at + 8, count), level - 1)
+                yield from own[k : k + 1]
+                at += step
 
-        most = [leaf_most]
-        for _ in range(depth):
-            pointer = 8 + -(-most[-1].bit_length() // 8)
-            most.append((node - 10 - pointer) // (size + pointer))
         root, n = number(h, 16), number(h, 24, 2)
-        return walk(root, n, depth, most) if root != NOWHERE else []
+        return list(walk(root, n, depth)) if root != NOWHERE else []
 
     def links(self, address: int, prefix: str = "") -> dict[str, int]:
         """Object header addresses of all datasets, by path."""

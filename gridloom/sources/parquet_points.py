@@ -96,8 +96,8 @@ def wkb_point(geometry: Column) -> tuple[Column, Column]:
     return tuple(F.when(is_point & (F.length(geometry) >= 21), _double(number(at, 8))) for at in (5, 13))
 
 
-def place(frame: DataFrame, roles: Roles, crs: CRS = CRS()) -> DataFrame:  # noqa: B008
-    """``lat`` and ``lon`` in degrees, ``time_s`` where there is a time, and the value columns."""
+def place(frame: DataFrame, roles: Roles, crs: CRS = CRS(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """``lat`` and ``lon`` in degrees, ``time_s`` where there is a time, the value columns, and those to ``keep``."""
     if roles.geometry is None:
         x, y = F.col(roles.lon).cast("double"), F.col(roles.lat).cast("double")
     else:
@@ -119,7 +119,7 @@ def place(frame: DataFrame, roles: Roles, crs: CRS = CRS()) -> DataFrame:  # noq
             raise UnsupportedFormatError(f"geometry of {kind.simpleString()}")
     lat, lon = crs.inverse(x, y)
     extra = [] if roles.time is None else [time_seconds(frame, roles.time).alias("time_s")]
-    return frame.select(lat.alias("lat"), lon.alias("lon"), *extra, *roles.values)
+    return frame.select(lat.alias("lat"), lon.alias("lon"), *extra, *roles.values, *keep)
 
 
 def time_seconds(frame: DataFrame, name: str) -> Column:
@@ -143,6 +143,7 @@ class PointTable:
         code = None if crs is None else spark.range(1).select(epsg_code(F.lit(crs if isinstance(crs, str) else json.dumps(crs)))).first()[0]
         self.crs = CRS() if code is None else from_epsg(code)
         self.points = place(self.frame, self.roles, self.crs)
+        self.path = path
 
     def bbox(self) -> tuple[float, float, float, float]:
         r = self.points.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
@@ -154,18 +155,21 @@ class PointTable:
         frame = self.points if self.roles.time else self.points.withColumn("_none", F.lit(0))
         return points.classify(frame, time)
 
-    def select(self, dates: tuple[str, str] | None = None) -> DataFrame:
+    def select(self, dates: tuple[str, str] | None = None, points: DataFrame | None = None) -> DataFrame:
         """Points in a date range (bounds as ISO dates or instants)."""
+        points = self.points if points is None else points
         if dates is None:
-            return self.points
+            return points
         if self.roles.time is None:
             raise ExtractError("the table has no time")
         low, high = (F.to_timestamp(F.lit(d)) for d in date_bounds(*dates))
-        return self.points.where(F.timestamp_seconds("time_s").between(low, high))
+        return points.where(F.timestamp_seconds("time_s").between(low, high))
 
     def extract(self, value: str, lat: float, lon: float, dates: tuple[str, str] | None = None) -> DataFrame:
         """time_s, lat, lon, value at the nearest station; on a mesh that is the nearest cell. The last row of a time wins."""
-        rows = self.select(dates).withColumn("_at", F.monotonically_increasing_id())
+        # A row's place is its file and number there, whatever tasks the files are split into.
+        numbered = self.frame.sparkSession.read.parquet(self.path).withColumn("_at", F.struct("_metadata.file_path", "_metadata.row_index"))
+        rows = self.select(dates, place(numbered, self.roles, self.crs, ("_at",)))
         if self.roles.time is None:
             rows = rows.withColumn("time_s", F.lit(0).cast("long"))
         rows = rows.select("_at", F.col("time_s").alias("ts"), "lat", "lon", F.col(value).cast("double").alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,17 +37,13 @@ def references_from_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reference_store(references: DataFrame, base: str = "") -> MappingStore:
-    """A store over an index. Metadata and the keys' places come to the driver: as many as one dataset has chunks."""
+    """A store over an index on the driver, for small ones. Tasks open indices of any size themselves: a path that ends in
+    ``.refs`` (Parquet) or a JSON index is a grid file like others to ``grids``."""
     places = {r["key"]: r for r in references.collect()}
 
     def fetch(key: str) -> bytes:
         r = places[key]
-        if r["raw"] is not None:
-            return bytes(r["raw"])
-        if r["path"] is None:
-            raise SourceError(f"reference {key} points nowhere")
-        source = ByteSource(r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{base}{r['path']}")
-        return source.read(r["offset"], r["size"]) if r["size"] else source.all()
+        return fetch_reference(r["raw"], r["path"], r["offset"], r["size"], base, key)
 
     return MappingStore(set(places), fetch)
 
@@ -55,6 +52,53 @@ def open_references(references: DataFrame, base: str = "") -> ZarrReader:
     return ZarrReader(reference_store(references, base))
 
 
+def fetch_reference(raw: bytes | None, path: str | None, offset: int, size: int, base: str = "", key: str = "") -> bytes:
+    """The bytes that a reference stands for."""
+    if raw is not None:
+        return bytes(raw)
+    if path is None:
+        raise SourceError(f"reference {key} points nowhere")
+    source = ByteSource(path if "://" in path or path.startswith(("/", "file:")) else f"{base}{path}")
+    return source.read(offset, size) if size else source.all()
+
+
+def open_json(found: dict, base: str = "") -> ZarrReader:
+    """A reader over a JSON index that a task has at hand."""
+    refs = found["refs"]
+
+    def fetch(key: str) -> bytes:
+        r = refs[key]
+        if isinstance(r, dict):
+            r = json.dumps(r)
+        if isinstance(r, str):
+            return base64.b64decode(r[7:]) if r.startswith("base64:") else r.encode()
+        return fetch_reference(None, r[0], *(r[1:] or (0, 0)), base=base, key=key)
+
+    return ZarrReader(MappingStore(set(refs), fetch))
+
+
+def open_index(folder: str) -> ZarrReader:
+    """A reader over a Parquet index, for use inside tasks: keys and places are Arrow columns, inline bytes are read only
+    for the keys asked for."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import pyarrow.dataset as ds
+
+    public = re.sub(r"^file:/+", "/", folder)
+    table = ds.dataset(public, format="parquet")
+    places = table.to_table(columns=["key", "path", "offset", "size"]).sort_by("key").combine_chunks()
+    keys = places.column("key").combine_chunks() if isinstance(places.column("key"), pa.ChunkedArray) else places.column("key")
+    names = keys.to_numpy(zero_copy_only=False)
+    base = folder.rpartition("/")[0] + "/"
+
+    def fetch(key: str) -> bytes:
+        r = places.slice(int(np.searchsorted(names, key)), 1).to_pylist()[0]
+        raw = None if r["path"] is not None else table.to_table(columns=["raw"], filter=pc.field("key") == key).column(0)[0].as_py()
+        return fetch_reference(raw, r["path"], r["offset"] or 0, r["size"] or 0, base, key)
+
+    return ZarrReader(MappingStore(set(names.tolist()), fetch))
+
+
 class RefsV1Reader:
     """One variable as a JSON description beside a file (or text) of float32 steps, one chunk a step."""
 
