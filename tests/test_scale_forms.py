@@ -38,3 +38,23 @@ def test_ranked_subset(spark):
         wanted |= {p: k for k, (_, p) in enumerate(own) if 3 <= k <= 60}
     for time, f in (("seconds", frame), ("at", frame.selectExpr("variable", "timestamp_seconds(seconds) AS at", "start"))):
         assert {r.start: r.time_index for r in sequences.ranked_subset(f, 3, 60, time=time).collect()} == wanted
+
+
+def test_parameter_files(spark, tmp_path):
+    """The columns of the published table; ranges, reserved numbers and other tables' lines are left out."""
+    from gridloom.operators import catalog
+
+    lines = [
+        "Title_en,SubTitle_en,CodeFlag,Value,MeaningParameterDescription_en,Note_en,UnitComments_en,Status",
+        '"Code table 4.2","Product discipline 0 - Meteorological products, parameter category 191: miscellaneous",0,,"Seconds prior to initial reference time",,s,Operational',
+        '"Code table 4.2","Product discipline 3 - Space products, parameter category 0: image format",2,,"Cloud mask, with ""quotes""",,,Operational',
+        '"Code table 4.2","Product discipline 3 - Space products, parameter category 0: image format",10-191,,Reserved,,,Operational',
+        '"Code table 4.1","Product discipline 0 - Meteorological products",3,,Mass,,,Operational',
+    ]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    table = catalog.read_parameters(spark, str(tmp_path / "t.csv"))
+    assert sorted(map(tuple, table.collect())) == [(0, 191, 0, "Seconds prior to initial reference time", "s"), (3, 0, 2, 'Cloud mask, with "quotes"', "")]
+    messages = spark.createDataFrame([(0, 191, 0), (3, 0, 2), (3, 0, 5)], "discipline int, category int, number int")
+    named = {(r.discipline, r.number): r.name for r in catalog.name_parameters(messages, table).collect()}
+    assert named == {(0, 0): "Seconds prior to initial reference time", (3, 2): 'Cloud mask, with "quotes"', (3, 5): "Unknown (discipline=3, category=0, number=5)"}
+    assert len(catalog.PARAMETERS) == len({p[:3] for p in catalog.PARAMETERS}) and list(catalog.PARAMETERS) == sorted(catalog.PARAMETERS, key=lambda p: p[:3])
