@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import best_fit_packing, chat_format, iblt_fingerprints, license_scan, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
+from gridloom.llm import best_fit_packing, chat_format, iblt_fingerprints, license_scan, pipeline, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,4 +70,4 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_token_shards, op2_license_scan, op3_chat_format, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_url_filters, op8_source_mixing, op9_iblt_fingerprints, op10_simhash_dedup)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
