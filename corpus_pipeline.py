@@ -1,49 +1,7 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, mixing to target weights, packing into sequences.
-
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
-"""
+"""The corpus pipeline: its stages, how to run them, and SQL for its rows (none). The code is in ``gridloom.llm.pipeline``."""
 
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gridloom.llm import best_fit_packing, near_copies, quality_rules, source_mixing, storage
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned decision list keep."""
-    rules = quality_rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    packed = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text"))
-    return quality_rules.judge(packed, rules, "_text", "_").where("_kept").select("_doc.*")
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, likeness 0.8 or more."""
-    return near_copies.dedup(docs, similarity=0.8, width=5)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return source_mixing.emit(source_mixing.mix(docs, weights=(5.0, 2.0, 1.0), most_copies=3))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequence and place."""
-    return best_fit_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
-
-
-STAGES = [("quality", quality), ("dedup", dedup), ("mix", mix), ("pack", pack)]
-
-#: Learned rules, XXH64 and a tokenizer are beyond SQL; tests hold the stages against brute force.
-ORACLE_SQL = None
-
+from gridloom.llm.pipeline import ORACLE_SQL, STAGES, dedup, mix, pack, quality, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each one's result written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = storage.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "dedup", "mix", "pack", "quality", "run"]
