@@ -108,11 +108,15 @@ class ShardReader:
         return self.last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the shard's ``i``-th sequence."""
+        """Ids, a view, and mask of the shard's ``i``-th sequence, the mask unpacked to a byte each; see ``mask``."""
         batch, row = self.ids.get_batch(i // BATCH), i % BATCH
         ids = batch.column(0).flatten().to_numpy(zero_copy_only=True)[row * self.seq_len : (row + 1) * self.seq_len]
         return ids, batch.column(1).flatten().to_numpy(zero_copy_only=False)[row * self.seq_len : (row + 1) * self.seq_len]
 
+    def mask(self, i: int) -> pa.BooleanArray:
+        """The ``i``-th sequence's mask as a view of the file's bits."""
+        return self.ids.get_batch(i // BATCH).column(1).flatten().slice(i % BATCH * self.seq_len, self.seq_len)
+
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, as views."""
         step = BATCH * self.seq_len
