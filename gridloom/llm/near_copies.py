@@ -1,11 +1,18 @@
-"""Near copies by the likeness of their word shingles: one text of each group whose pairs are linked at ``similarity``.
+"""Near copies by SimHash and BK-trees, confirmed by the likeness of their word shingles: one text of each group whose
+pairs are linked at ``similarity``.
 
 A text's words (A-Z lower-cased) give the set of its five-word shingles, held as XXH64; texts with one set are a class.
 Two classes are linked if the Jaccard likeness of their sets is ``similarity`` at least; a group is what links reach.
 
-Candidates come from minima of ``BANDS * ROWS`` hash functions over a set: classes that agree in all minima of a band are
-joined, unconfirmed. At 0.8 a pair agrees in no band with probability (1 - 0.8 ** 5) ** 40 = 1.2e-7, above it less. What
-candidates reach is brought together once, and there all pairs are settled exactly: a pair at ``similarity`` shares one
+Candidates are links of fingerprints, found by the operator's trees (``simhash.tree_edges``). At 0.8 a bit differs with
+probability 0.15 (0.19 for four shingles of five), too often for 64 bits and a radius that leaves other texts out, so a
+fingerprint has 256 bits: XXH64 of a shingle and three mixes of it vote on them. Pairs at 0.8 differ in 39 bits in the
+mean (48), others in 128; the radius is ``RADIUS``, passed with probability 3e-11 (6e-7). Choices of equal bits, which deal
+out the operator's shards, would be too many at this radius. A fingerprint goes to ``NAMES`` shards instead, each named by
+the strongest, and its side, of ``AMONG`` random mixes of the votes, twice. By simulation a pair at 0.8 shares one but with
+probability 1.2e-7; above it both are less.
+
+What candidates reach is brought together once, and there all pairs are settled exactly: a pair at ``similarity`` shares one
 of the rarest shingles of both (prefix filter), sizes differ by no more than the similarity allows, and each pair that
 is left and not linked by others already has its sets counted.
 
@@ -23,18 +30,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.simhash import SEED, components
+from gridloom.llm.simhash import SEED, components, tree_edges
 from gridloom.llm.storage import cut, partitions
 
-BANDS, ROWS = 40, 5
-#: Numbers of one step over a text's shingles: bounds a task's memory.
-STEP = 1 << 20
-_DRAW = np.random.default_rng(SEED)
-_FACTORS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+WORDS, RADIUS = 4, 80
+NAMES, AMONG = 88, 64
+#: Shingles whose votes are counted together, and texts whose shards are named together: bound a task's memory.
+STEP, TEXTS = 1 << 12, 128
+#: Weights are 61 at most, so that those of ``SMALL`` shingles are below one vote.
+SMALL, TIE = 64, 1 << 12
+_MIXES = np.random.default_rng(SEED).standard_normal((NAMES * 2 * AMONG, WORDS * 64), np.float32)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
@@ -50,31 +57,67 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(data[s:e], SEED) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A number for each band: equal where all its minima are."""
-    if not len(own):
-        return np.zeros(BANDS, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    size = max(1, STEP // len(least))
-    for k in range(0, len(own), size):
-        least = np.minimum(least, (own[None, k : k + size] * _FACTORS[:, None] + _SHIFTS[:, None]).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).astype(np.int64)
+def votes(own: np.ndarray) -> np.ndarray:
+    """Of each bit of the fingerprint, by how many the shingles that set it outnumber the others, times ``TIE``. In small
+    sets unequal weights below that decide ties: texts of few shingles would else agree in most bits."""
+    ones, ties = np.zeros(WORDS * 64, np.int64), np.zeros(WORDS * 64, np.int64)
+    for k in range(0, len(own), STEP):
+        words = own[k : k + STEP, None] + np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = words[:, 1:]
+        mixed ^= mixed >> np.uint64(30)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(27)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint16)
+        if len(own) <= SMALL:
+            ties = (own % np.uint64(61) + np.uint64(1)).astype(np.int64) @ (2 * bits.astype(np.int64) - 1)
+    return TIE * (2 * ones - len(own)) + ties
+
+
+def fingerprints(counted: np.ndarray) -> np.ndarray:
+    """``WORDS`` words for each row of votes."""
+    return np.packbits(counted > 0, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def shards(counted: np.ndarray) -> np.ndarray:
+    """``NAMES`` numbers for each row of votes."""
+    out = np.empty((len(counted), NAMES), np.int16)
+    for k in range(0, len(counted), TEXTS):
+        mixed = (counted[k : k + TEXTS].astype(np.float32) @ _MIXES.T).reshape(-1, NAMES, 2, AMONG)
+        low, high = mixed.argmin(axis=3), mixed.argmax(axis=3)
+        below = -np.take_along_axis(mixed, low[..., None], 3)[..., 0] > np.take_along_axis(mixed, high[..., None], 3)[..., 0]
+        side = np.where(below, low, high + AMONG)
+        out[k : k + TEXTS] = side[:, :, 0] * (2 * AMONG) + side[:, :, 1]
+    return out
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, key, klass, bands): key stands for the text, klass for its set of shingles."""
+    """(doc_id, key, klass, fp, shards): key stands for the text, klass for its set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
-            klass = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).astype(np.int64)
-            flat = np.concatenate([bands(s) for s in sets]) if sets else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(klass), lists], names=["doc_id", "key", "klass", "bands"])
+            klass, counted = np.empty(batch.num_rows, np.int64), np.empty((batch.num_rows, WORDS * 64), np.int64)
+            for k, t in enumerate(batch.column(2)):
+                own = shingles(t.as_py(), width)
+                klass[k] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).astype(np.int64)
+                counted[k] = votes(own)
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                for x in (fingerprints(counted).astype(np.int64), shards(counted))
+            ]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(klass), *lists], names=["doc_id", "key", "klass", "fp", "shards"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, klass long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, klass long, fp array<long>, shards array<short>")
+
+
+def candidates(hashed: DataFrame) -> DataFrame:
+    """(u, v), v < u: classes of ``hashed`` whose fingerprints the trees link, as ``simhash.shard_edges``."""
+    words = [F.col("fp")[k].alias(f"fp{k}") for k in range(WORDS)]
+    dealt = hashed.dropDuplicates(["klass"]).select(F.posexplode("shards").alias("name", "bits"), *words, "klass")
+    return tree_edges(dealt.repartition("name", "bits").sortWithinPartitions("name", "bits", "klass"), RADIUS)
 
 
 def settle(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
@@ -134,9 +177,7 @@ def group(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
     """(doc_id, key, component) of every row; component is the same within a group and names no row."""
     exact = Fraction(str(similarity))
     hashed = cut(sketches(df, id_col, text_col, width))
-    dealt = hashed.dropDuplicates(["klass"]).select("klass", F.explode("bands").alias("band"))
-    least = F.min("klass").over(W.partitionBy("band"))
-    roots = cut(components(dealt.select(F.col("klass").alias("u"), least.alias("v"))))
+    roots = cut(components(candidates(hashed)))
     texts = hashed.groupBy("klass").agg(F.min("key").alias("key")).join(roots.withColumnRenamed("node", "klass"), "klass")
     sources = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     members = texts.join(sources, "key").dropDuplicates(["klass"]).select("root", "klass", "text")

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.storage import cut, even
 
 SEED, WIDTH = 42, 3
-#: Searches (query, node) advanced together. At most 5 times as many wait on each level of a tree.
+#: Searches (query, node) advanced together, over a fingerprint's words. On each level of a tree at most as many times as
+#: many wait as a search follows edges: 5 at radius 2.
 FRONTIER = 1 << 16
 #: Fingerprints of a shard beyond which it is dealt again.
 SHARD = 2048
@@ -77,20 +78,24 @@ def masks(radius: int, keep: int = 3, among: int = (1 << 64) - 1) -> list[int]:
 
 
 class BKTrees:
-    """A tree for each run of fingerprints, all built and searched level by level together."""
+    """A tree for each run of fingerprints (of one or more words), all built and searched level by level together."""
 
     def __init__(self, fps: np.ndarray, runs: np.ndarray):
-        self.fps = fps
+        self.fps = fps.reshape(len(fps), -1)
+        self.span, self.frontier = 64 * self.fps.shape[1] + 1, FRONTIER // self.fps.shape[1]
         rows, groups = np.arange(len(fps)), runs
         first = np.concatenate([[True], groups[1:] != groups[:-1]])
         self.roots = rows[first][np.cumsum(first) - 1] if len(rows) else rows  # of each element's run
+        self.equal = np.arange(len(fps))  # of each element, the one in its tree with its fingerprint
         rows, parents = rows[~first], self.roots[~first]
         keys, nodes = [], []
         while len(rows):
-            edge = parents * 65 + np.bitwise_count(fps[rows] ^ fps[parents])
+            distance = self.distance(rows, parents)
+            self.equal[rows[distance == 0]] = parents[distance == 0]
+            rows, edge = rows[distance > 0], (parents * self.span + distance)[distance > 0]
             order = np.argsort(edge, kind="stable")
             rows, edge = rows[order], edge[order]
-            first = np.concatenate([[True], edge[1:] != edge[:-1]])
+            first = np.concatenate([[True], edge[1:] != edge[:-1]])[: len(edge)]
             heads = rows[first]
             keys.append(edge[first])
             nodes.append(heads)
@@ -100,32 +105,44 @@ class BKTrees:
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], nodes[order]
 
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of the elements."""
+        return np.bitwise_count(self.fps[a] ^ self.fps[b]).sum(axis=1, dtype=np.int64)
+
     def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of elements of one run within the radius; each pair once, in parts."""
-        steps = np.arange(-radius, radius + 1)
+        """Pairs of elements of one run within the radius, in parts: each pair of different fingerprints once, and each
+        other element with the one that stands for its fingerprint."""
+        apart = self.equal != np.arange(len(self.equal))
+        if apart.any():
+            yield np.flatnonzero(apart), self.equal[apart]
+        asked = np.flatnonzero(~apart)
         stack: list[tuple[np.ndarray, np.ndarray]] = []
         begun = 0
-        while stack or begun < len(self.fps):
+        while stack or begun < len(asked):
             if not stack:
-                every = np.arange(begun, min(begun + FRONTIER, len(self.fps)))
+                every = asked[begun : begun + self.frontier]
                 stack, begun = [(every, self.roots[every])], begun + len(every)
             own = [stack.pop()]
-            while stack and sum(len(q) for q, _ in own) + len(stack[-1][0]) <= FRONTIER:  # small parts go on together
+            while stack and sum(len(q) for q, _ in own) + len(stack[-1][0]) <= self.frontier:  # small parts go on together
                 own.append(stack.pop())
             query, node = (np.concatenate(x) for x in zip(*own, strict=True))
-            distance = np.bitwise_count(self.fps[query] ^ self.fps[node]).astype(np.int64)
-            near = (distance <= radius) & (query > node)
+            later = node < query  # what lies below a node comes after it
+            if not later.any():
+                continue
+            query, node = query[later], node[later]
+            distance = self.distance(query, node)
+            near = distance <= radius
             if near.any():
                 yield query[near], node[near]
-            edge = distance[:, None] + steps
-            asked = edge > 0
-            key = (node[:, None] * 65 + edge)[asked]
-            query = np.repeat(query, asked.sum(axis=1))
-            at = np.searchsorted(self.keys, key)
-            hit = at < len(self.keys)
-            hit[hit] = self.keys[at[hit]] == key[hit]
-            query, node = query[hit], self.nodes[at[hit]]
-            stack += [(query[k : k + FRONTIER], node[k : k + FRONTIER]) for k in range(0, len(query), FRONTIER)]
+            low = np.searchsorted(self.keys, node * self.span + np.maximum(distance - radius, 1))
+            high = np.searchsorted(self.keys, node * self.span + np.minimum(distance + radius, self.span - 1), side="right")
+            ends = np.cumsum(high - low)
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, self.frontier)))
+            for x, y in zip(cuts, [*cuts[1:], len(ends)], strict=True):
+                n = (high - low)[x:y]
+                if n.sum():
+                    at = np.arange(n.sum()) + np.repeat(low[x:y] - (np.cumsum(n) - n), n)
+                    stack.append((np.repeat(query[x:y], n), self.nodes[at]))
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -158,15 +175,22 @@ def shard_edges(classes: DataFrame, radius: int = 2) -> DataFrame:
     dealt = dealt.join(large, ["mask", "bits"], "left").select("id", "fp", F.explode(shards).alias("s")).select("s.mask", "s.bits", "fp", "id")
     dealt = dealt.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "id")
 
-    def edges(ks: np.ndarray, bits: np.ndarray, fps: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    return tree_edges(dealt, radius)
+
+
+def tree_edges(dealt: DataFrame, radius: int) -> DataFrame:
+    """``shard_edges`` of shards that are dealt and sorted: two columns that name a shard, a fingerprint's words, an id."""
+
+    def edges(ks: np.ndarray, bits: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch | None:
         runs = np.cumsum(np.concatenate([[0], (ks[1:] != ks[:-1]) | (bits[1:] != bits[:-1])]))
         shared = np.bincount(runs)[runs] > 1
         if not shared.any():
             return None
-        fps, ids, runs = fps[shared].astype(np.uint64), ids[shared], runs[shared]
+        fps, ids, runs = np.stack(rest[:-1], axis=1)[shared].astype(np.uint64), rest[-1][shared], runs[shared]
         labels = np.arange(len(fps))  # rows are sorted by id within a run, so the least row has the least id
         for a, b in BKTrees(fps, runs).links(radius):
-            labels = unite(labels, a, b)
+            new = labels[a] != labels[b]
+            labels = unite(labels, a[new], b[new])
         moved = labels != np.arange(len(labels))
         return pa.record_batch([pa.array(ids[moved]), pa.array(ids[labels[moved]])], names=["u", "v"])
 
