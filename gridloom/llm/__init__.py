@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus components that share nothing with the gridded engine.
+"""Training-data operators: corpus components that share nothing with the gridded engine.
 
 Nothing outside this package imports it; removing the folder leaves the rest intact.
 """

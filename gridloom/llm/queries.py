@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, as named queries."""
+"""The operators over their whole tables, with production parameters, as named queries."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import best_fit_packing, chat_format, iblt_fingerprints, license_scan, pipeline, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
+from gridloom.llm import best_fit_packing, chat_format, iblt_fingerprints, license_scan, periodic_runs, pipeline, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.periodic_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_shards, op2_license_scan, op3_chat_format, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_url_filters, op8_source_mixing, op9_iblt_fingerprints, op10_simhash_dedup)
+    own = (op1_token_shards, op2_license_scan, op3_chat_format, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_url_filters, op8_source_mixing, op9_iblt_fingerprints, op10_simhash_dedup, op11_periodic_runs)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
