@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import best_fit_packing, chat_format, conversation_repair, iblt_fingerprints, license_scan, periodic_runs, pipeline, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
+from gridloom.llm import best_fit_packing, chat_format, conversation_repair, iblt_fingerprints, license_scan, periodic_runs, pipeline, private_data, quality_rules, simhash, source_mixing, token_counts, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find_runs(periodic_runs.periodic_tails(table(spark, sf_dir, "documents"))))
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.sanitise(table(spark, sf_dir, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.repair(conversation_repair.damage(conversations), every=conversations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_shards, op2_license_scan, op3_chat_format, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_url_filters, op8_source_mixing, op9_iblt_fingerprints, op10_simhash_dedup, op11_periodic_runs, op13_conversation_repair)
+    own = (op1_token_shards, op2_license_scan, op3_chat_format, op4_quality_rules, op5_best_fit_packing, op6_token_counts, op7_url_filters, op8_source_mixing, op9_iblt_fingerprints, op10_simhash_dedup, op11_periodic_runs, op12_private_data, op13_conversation_repair)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
