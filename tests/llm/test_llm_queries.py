@@ -248,39 +248,3 @@ def test_op10(docs, result):
     fps = {d: simhash(t) for d, t, _ in docs}
     groups = groups_of(fps)
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in result("op10_simhash_dedup")} == {d: (f"{fps[d]:016x}", groups[d]) for d in fps}
-
-
-def test_pipeline(spark, sf, docs, result):
-    """Every stage on its predecessor's rows."""
-    import corpus_pipeline
-
-    kept = {r["doc_id"] for r in result("op4_quality_rules") if r["kept"]}
-    left = [d for d in docs if d[0] in kept]
-    stages = dict(corpus_pipeline.STAGES)
-    frame = spark.read.parquet(f"{sf}/documents.parquet")
-    names = frame.columns
-    frame = stages["quality"](spark, frame, sf)
-    assert frame.columns == names and {r.doc_id for r in frame.select("doc_id").collect()} == kept
-    groups = groups_of({d: simhash(t) for d, t, _ in left})
-    frame = stages["dedup"](spark, frame, sf)
-    left = [d for d in left if groups[d[0]] == d[0]]
-    assert frame.columns == names and sorted(r.doc_id for r in frame.select("doc_id").collect()) == [d[0] for d in left]
-    mixed = stages["mix"](spark, frame, sf)
-    copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
-    sizes = {d: len(SPACE.findall(t)) for d, t, _ in left}
-    totals = Counter()
-    for d, _, s in left:
-        totals[s] += sizes[d]
-    wanted = water_fill(totals, (5, 2, 1), 3)
-    check_mix([{"doc_id": d, "size": sizes[d], "source_size": totals[s], "target": wanted[s], "taken": copies[d] * sizes[d]} for d, _, s in left], left)
-    rows = [r.asDict() for r in result("pipeline") and stages["pack"](spark, mixed, sf).collect()]
-    assert len(rows) == len(result("pipeline"))
-    encode, text_of = tokenizer("byte_bpe_50k.json"), {d: t for d, t, _ in left}
-    total = 0
-    pieces = Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows)
-    for d, n in copies.items():
-        ids = encode.encode(text_of[d], add_special_tokens=False).ids + [0]
-        total += n * len(ids)
-        first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
-        assert pieces[d, 0, first, crc(ids[:first])] == n
-    check_sequences(rows, total)
