@@ -62,6 +62,13 @@ class CRS:
         lats, lons = zip(*(self.inverse(x, y) for x, y in outline), strict=True)
         return min(lons), min(lats), max(lons), max(lats)
 
+    def extent(self, box: tuple[float, float, float, float], steps: int = 64) -> tuple[float, float]:
+        """Width and height, in native units, of the outline of a geographic box (minLon, minLat, maxLon, maxLat)."""
+        west, south, east, north = box
+        outline = [(lat, west + (east - west) * k / steps) for k in range(steps + 1) for lat in (south, north)] + [(south + (north - south) * k / steps, lon) for k in range(steps + 1) for lon in (west, east)]
+        xs, ys = zip(*(self.forward(lat, lon) for lat, lon in outline), strict=True)
+        return max(xs) - min(xs), max(ys) - min(ys)
+
 
 def utm(zone: int, north: bool = True) -> CRS:
     return CRS("tmerc", lon0=zone * 6 - 183.0, scale=UTM_K0, false_easting=500_000.0, false_northing=0.0 if north else 10_000_000.0)

@@ -113,10 +113,26 @@ class Dataset:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def at_pixels(self, v: Variable, box: Box, width: int, height: int) -> Dataset:
+        """The dataset, or that of the overview which suits pixels of this size."""
+        if not getattr(self._reader, "overviews", None) or "#overview=" in self.path:
+            return self
+        west, south, east, north = box
+        pixels = ((east - west) / width, (north - south) / height)
+        if v.projection().kind != "geographic":  # in metres: by the extent of the box's edges
+            across, down = v.projection().extent(box)
+            pixels = (across / width, down / height)
+        level = self._reader.overview_for(*pixels)
+        return Dataset(self.spark, f"{self.path}#overview={level}") if level else self
+
     def extract_grid(self, variable: str | None = None, box: Box | None = None, width: int = 256, height: int = 256, t: int | None = None, date: str | None = None, clamp: bool = False) -> Grid:
-        """A nearest-neighbour raster of one step over a geographic box, by default the file's extent."""
+        """A nearest-neighbour raster of one step over a geographic box, by default the file's extent. Of a file with overviews the
+        coarsest image answers whose pixels are no larger than the raster's, so that what is read follows the output."""
         v = self.variable(variable)
         box = box or v.bbox()
+        coarse = self.at_pixels(v, box, width, height)
+        if coarse is not self:
+            return coarse.extract_grid(v.name, box, width, height, t, date, clamp)
         at, _ = self.steps(v, t, t, date, None)
         cube = self.cube(v.name, (at, at))
         time = datetime.fromtimestamp(v.times[at], UTC) if v.times else None

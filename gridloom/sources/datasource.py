@@ -38,6 +38,12 @@ class GridDataSource(DataSource):
     def reader(self, schema) -> GridReader:
         return GridReader(self.options)
 
+    def writer(self, schema, overwrite: bool):
+        """Chunks of a Zarr store; see ``writers``."""
+        from gridloom.sources.writers import ZarrWriter
+
+        return ZarrWriter(self.options)
+
 
 class GridReader(DataSourceReader):
     def __init__(self, options: dict):

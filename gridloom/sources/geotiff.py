@@ -46,8 +46,8 @@ class Image:
         h, w = min(self.block_h, self.height - row * self.block_h), min(self.block_w, self.width - column * self.block_w)
         samples = 1 if self.separate else self.bands
         stored_h = self.block_h if self.tiled else h
-        if not self.counts[k]:
-            return np.zeros((h, w), self.dtype)
+        if not self.counts[k]:  # a sparse file
+            return np.full((h, w), self.nodata() or 0, self.dtype)
         data = self.reader.source.read(self.offsets[k], self.counts[k])
         codec = self.tags.get(COMPRESSION, [1])[0]
         if codec == 5:
@@ -71,7 +71,8 @@ class Image:
 
 
 class GeoTiffReader:
-    def __init__(self, source: ByteSource):
+    def __init__(self, source: ByteSource, overview: int = 0):
+        """``overview``: which image answers; 0 is the file's own, others are its overviews, finest first."""
         self.source = source
         head = source.head(16)
         self.order = {b"II": "<", b"MM": ">"}.get(head[:2])
@@ -89,7 +90,8 @@ class GeoTiffReader:
         if not self.images:
             raise SourceError("a TIFF without images")
         self.main = self.images[0]
-        self.overviews = [i for i in self.images[1:] if i.width < self.main.width and i.bands == self.main.bands]
+        self.overviews = sorted((i for i in self.images[1:] if i.width < self.main.width and i.bands == self.main.bands), key=lambda i: -i.width)
+        self.image = [self.main, *self.overviews][overview]
 
     def _directory(self, at: int) -> tuple[dict, int]:
         count_code, entry, word = ("Q", 20, "Q") if self.big else ("H", 12, "I")
@@ -161,27 +163,30 @@ class GeoTiffReader:
 
     def variables(self) -> list[Variable]:
         x0, dx, y0, dy = self.affine()
-        y, x = [y0 + (k + 0.5) * dy for k in range(self.main.height)], [x0 + (k + 0.5) * dx for k in range(self.main.width)]
-        return [Variable(n, (1, self.main.height, self.main.width), y, x, crs=self.crs(), dims=("band", "y", "x"), attrs={"band": str(b)}) for b, n in enumerate(self.names())]
+        i = self.image
+        dx, dy = dx * self.main.width / i.width, dy * self.main.height / i.height
+        y, x = [y0 + (k + 0.5) * dy for k in range(i.height)], [x0 + (k + 0.5) * dx for k in range(i.width)]
+        return [Variable(n, (1, i.height, i.width), y, x, crs=self.crs(), dims=("band", "y", "x"), attrs={"band": str(b)}) for b, n in enumerate(self.names())]
 
     def blocks(self, variable: Variable) -> list[Block]:
-        i = self.main
+        i = self.image
         return [
             Block(0, 1, r * i.block_h, min(i.block_h, i.height - r * i.block_h), c * i.block_w, min(i.block_w, i.width - c * i.block_w))
             for r in range(i.down) for c in range(i.across)
         ]
 
     def read(self, variable: Variable, block: Block) -> np.ndarray:
-        i = self.main
+        i = self.image
         out = i.block(block.y // i.block_h, block.x // i.block_w, int(variable.attrs["band"])).astype(np.float32)
         if (missing := i.nodata()) is not None:
             out[out == np.float32(missing)] = np.nan
         return out[None]
 
-    def overview_for(self, width: int, height: int) -> Image:
-        """The smallest image that has at least that size, else the main one."""
-        enough = [i for i in [*self.overviews, self.main] if i.width >= width and i.height >= height]
-        return min(enough, key=lambda i: i.width * i.height, default=self.main)
+    def overview_for(self, pixel_x: float, pixel_y: float) -> int:
+        """The coarsest image whose pixels are no larger than those asked for, as ``overview`` of a reader."""
+        _, dx, _, dy = self.affine()
+        fine = [k for k, i in enumerate([self.main, *self.overviews]) if abs(dx) * self.main.width / i.width <= pixel_x * (1 + 1e-9) and abs(dy) * self.main.height / i.height <= pixel_y * (1 + 1e-9)]
+        return max(fine, default=0)
 
 
 def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list[str] | None = None, compress: bool = False, predictor: int = 1, epsg: int = 4326, nodata: float | None = None, rows_per_strip: int = 64) -> bytes:
@@ -198,15 +203,12 @@ def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list
         block = np.ascontiguousarray(a[:, top : top + rows_per_strip].transpose(1, 2, 0)).astype(a.dtype.newbyteorder("<"))
         raw = codecs.apply_predictor(block, predictor).tobytes()
         strips.append(zlib.compress(raw) if compress else raw)
-    west, south, east, north = box
-    model = [1024, 0, 1, 2] if epsg == 4326 else [1024, 0, 1, 1]
-    keys = [1, 1, 0, 3, *model, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
     items = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{name}</Item>' for k, name in enumerate(names or []))
     tags = [
         (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [bits] * n), (COMPRESSION, 3, [8 if compress else 1]), (262, 3, [1]),
         (STRIP_OFFSETS, 4, [0] * len(strips)), (SAMPLES, 3, [n]), (ROWS_PER_STRIP, 4, [rows_per_strip]), (STRIP_COUNTS, 4, [len(s) for s in strips]),
         (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor]), (SAMPLE_FORMAT, 3, [sample_format] * n),
-        (PIXEL_SCALE, 12, [(east - west) / width, (north - south) / height, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, west, north, 0.0]), (GEO_KEYS, 3, keys),
+        *geo_tags(height, width, box, epsg),
     ]
     tags += [(GDAL_METADATA, 2, f"<GDALMetadata>{items}</GDALMetadata>\0")] if items else []
     tags += [(GDAL_NODATA, 2, f"{nodata}\0")] if nodata is not None else []
@@ -229,6 +231,62 @@ def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list
     return out + struct.pack("<I", 0) + extra + b"".join(strips)
 
 
+Tables = dict[int, tuple[int, int]]
+
+
+def geo_tags(height: int, width: int, box: tuple[float, float, float, float], epsg: int) -> list[tuple[int, int, list]]:
+    west, south, east, north = box
+    model = [1024, 0, 1, 2] if epsg == 4326 else [1024, 0, 1, 1]
+    keys = [1, 1, 0, 3, *model, 1025, 0, 1, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg]
+    return [(PIXEL_SCALE, 12, [(east - west) / width, (north - south) / height, 0.0]), (TIEPOINT, 12, [0.0, 0.0, 0.0, west, north, 0.0]), (GEO_KEYS, 3, keys)]
+
+
+def tiled_header(shapes: list[tuple[int, int]], counts: list[int], box: tuple, name: str, tile: int, predictor: int, epsg: int, big: bool) -> tuple[list[tuple[int, bytes]], Tables, int]:
+    """Pieces (place, bytes) of a one-band float32 file of an image and its overviews, of each image the places of its tables of
+    offsets and lengths, and where data begins. A table of one entry is the entry's own place in the directory."""
+    word, kind, entry, head, count = ("Q", 16, 20, 8, "Q") if big else ("I", 4, 12, 2, "H")
+    size = struct.calcsize("<" + word)
+    pieces = [(0, struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16) if big else struct.pack("<2sHI", b"II", 42, 8))]
+    at, tables, directories = len(pieces[0][1]), {}, []
+    for k, ((height, width), n) in enumerate(zip(shapes, counts, strict=True)):
+        tags = [
+            (254, 4, [int(k > 0)]), (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [32]), (COMPRESSION, 3, [8]), (262, 3, [1]), (SAMPLES, 3, [1]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor]), (TILE_WIDTH, 4, [tile]),
+            (TILE_HEIGHT, 4, [tile]), (TILE_OFFSETS, kind, n), (TILE_COUNTS, kind, n), (SAMPLE_FORMAT, 3, [3]), *(geo_tags(height, width, box, epsg) if k == 0 else []),
+            *([(GDAL_METADATA, 2, f'<GDALMetadata><Item name="DESCRIPTION" sample="0" role="description">{name}</Item></GDALMetadata>\0')] if k == 0 else []), (GDAL_NODATA, 2, "nan\0"),
+        ]
+        directories.append((at, tags))
+        at += head + entry * len(tags) + size
+    for k, (begin, tags) in enumerate(directories):
+        out, places = struct.pack("<" + count, len(tags)), []
+        for j, (tag, field, value) in enumerate(tags):
+            n = value if isinstance(value, int) else len(value)
+            own = begin + head + entry * j + 4 + size
+            if isinstance(value, int):
+                places.append(own if n == 1 else at)
+                raw, at = struct.pack("<" + word, 0 if n == 1 else at), at if n == 1 else at + n * size
+            else:
+                raw = value.encode() if field == 2 else struct.pack(f"<{n}{FIELD[field]}", *value)
+                if len(raw) > size:
+                    pieces.append((at, raw))
+                    raw, at = struct.pack("<" + word, at), at + len(raw) + len(raw) % 2
+            out += struct.pack(f"<HH{word}", tag, field, n) + raw.ljust(size, b"\0")
+        pieces.append((begin, out + struct.pack("<" + word, directories[k + 1][0] if k + 1 < len(directories) else 0)))
+        tables[k] = (places[0], places[1])
+    return pieces, tables, at
+
+
+def filled(pieces: list[tuple[int, bytes]], ones: dict[int, tuple[int, int]], tables: Tables, big: bool) -> list[tuple[int, bytes]]:
+    """``pieces`` with the entries of tables that are in a directory."""
+    out = [(at, bytearray(raw)) for at, raw in pieces]
+    for k, values in ones.items():
+        for place, value in zip(tables[k], values, strict=True):
+            raw = struct.pack("<Q" if big else "<I", value)
+            for at, own in out:
+                if at <= place < at + len(own):
+                    own[place - at : place - at + len(raw)] = raw
+    return [(at, bytes(own)) for at, own in out]
+
+
 def trim(source: ByteSource, names: list[str] | None = None, box: tuple | None = None) -> tuple[bytes, list[str]]:
     """Some bands and a box widened to whole blocks."""
     reader = GeoTiffReader(source)

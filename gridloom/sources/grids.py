@@ -31,10 +31,20 @@ CATALOG = (
 BATCH = 1 << 18
 
 
+def overview_of(path: str) -> tuple[str, int]:
+    """A path without its overview, and that."""
+    plain, mark, level = path.rpartition("#overview=")
+    return (plain, int(level)) if mark and level.isdigit() else (path, 0)
+
+
 def open_reader(source: ByteSource | str | bytes) -> tuple[str, Reader]:
-    """(format, reader) of a grid file."""
+    """(format, reader) of a grid file; ``path#overview=k`` is the k-th overview of a GeoTIFF."""
     from gridloom.sources import geotiff, grib2, hdf5, netcdf3, references, zarr
 
+    overview = 0
+    if isinstance(source, str):
+        source, overview = overview_of(source)
+
     if isinstance(source, str) and is_folder(source):  # a store of many files, or an index
         folder = source.rstrip("/")
         return ("references", references.open_index(folder)) if folder.endswith(".refs") else ("zarr", zarr.ZarrReader(zarr.FolderStore(folder)))
@@ -44,7 +54,7 @@ def open_reader(source: ByteSource | str | bytes) -> tuple[str, Reader]:
         if (found := json.loads(source.all())).get("refs") is not None:
             return "references", references.open_json(found, source.uri.rpartition("/")[0] + "/")
         return "refs", references.RefsV1Reader(source, source.uri.rpartition("/")[0] + "/")
-    makers = {"grib2": grib2.Grib2Reader, "netcdf3": netcdf3.NetCDF3Reader, "tiff": geotiff.GeoTiffReader, "zarr": lambda s: zarr.ZarrReader(zarr.ZipStore(s)), "netcdf4": hdf5.Hdf5Reader}
+    makers = {"grib2": grib2.Grib2Reader, "netcdf3": netcdf3.NetCDF3Reader, "tiff": lambda s: geotiff.GeoTiffReader(s, overview), "zarr": lambda s: zarr.ZarrReader(zarr.ZipStore(s)), "netcdf4": hdf5.Hdf5Reader}
     if kind not in makers:
         raise UnsupportedFormatError(f"{source.uri}: {kind or 'unknown format'} isn't a grid format")
     return kind, makers[kind](source)
@@ -58,7 +68,8 @@ def _opened(path: str, size: int) -> tuple[Reader, dict[str, Variable]]:
 
 def cached(path: str) -> tuple[Reader, dict[str, Variable]]:
     """A file's reader and variables, kept for the next blocks of the same task or worker."""
-    return _opened(path, 0 if is_folder(path) else ByteSource(path).size)
+    plain, _ = overview_of(path)
+    return _opened(path, 0 if is_folder(plain) else ByteSource(plain).size)
 
 
 def _paths(spark: SparkSession, paths: list[str]) -> DataFrame:
