@@ -199,9 +199,12 @@ def disclosing(found: DataFrame, df: DataFrame, support: int = SUPPORT, disclosu
     likely = stage(near.where((F.col("texts") >= support) | F.col("class").isNull()).join(entities, "entity"), "private-pairs")
     n = float(found.count())
     told = (F.col("has") < n) & (F.col("both") * n / (F.col("n") * F.col("has")) >= F.pow(n / F.col("has"), F.lit(disclosure)))  # PMI >= disclosure * IC, without logarithms
-    judged = likely.join(texts_of(df, bitmap(likely.where("class is not null").select("term").distinct()), text_col), "term").where(told).select("entity", "term", "class")
-    classes = judged.where("class is null").select("entity", F.col("term").alias("class"), F.lit(True).alias("no_use"))
-    return judged.where("class is not null").join(classes, ["entity", "class"], "left").select("entity", "term", F.when(F.col("no_use"), KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("kind"))
+    terms, classes = likely.where("class is not null"), likely.where("class is null").drop("class").withColumnRenamed("term", "class_")
+    counts = stage(texts_of(df, bitmap(terms.select("term").distinct()), text_col), "private-terms")
+    of_class = F.broadcast(counts.where(F.col("term").startswith("\0")).select(F.col("term").alias("class_"), "n"))  # four rows
+    no_use = classes.join(of_class, "class_").where(told).select("entity", F.col("class_").alias("class"), F.lit(True).alias("no_use"))
+    judged = terms.join(counts, "term").where(told).select("entity", "term", "class")
+    return judged.join(no_use, ["entity", "class"], "left").select("entity", "term", F.when(F.col("no_use"), KINDS.index("removed")).otherwise(KINDS.index("generalised")).alias("kind"))
 
 
 def sanitise(df: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
