@@ -20,7 +20,7 @@ from gridloom.functions.times import date_bounds, parse_instant
 from gridloom.operators.axes import Axis, clamp_range
 from gridloom.operators.catalog import require_variables
 from gridloom.operators.cubes import Cube
-from gridloom.sources import encoders, geotiff, grib2, grids, hdf5, netcdf3, sinks, zarr
+from gridloom.sources import encoders, geotiff, grib2, grids, hdf5, netcdf3, sinks, trims, writers, zarr
 from gridloom.sources.detect import detect_format
 from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Variable, find
@@ -113,6 +113,20 @@ class Dataset:
             out = rows if out is None else out.unionByName(rows)
         return out
 
+    def spans(self, v: Variable, box: Box, width: int, height: int, clamp: bool = False) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+        """Index ranges on y and x that a raster's pixels lie in (none: all); known from the axes alone on geographic grids."""
+        if v.projection().kind != "geographic":
+            return None, None
+        found = Cube(None, Axis(v.y), Axis(v.x), [], v.projection()).pixel_indices(box, width, height, clamp)
+        inside = [[k for k in axis if k is not None] for axis in found]
+        return tuple((min(own, default=0), max(own, default=-1)) for own in inside)
+
+    def blocks_of_grid(self, variable: str | None, box: Box, width: int, height: int, t: int = 0, clamp: bool = False) -> DataFrame:
+        """The blocks that ``extract_grid`` reads."""
+        v = self.variable(variable)
+        coarse = self.at_pixels(v, box, width, height)
+        return grids.blocks(self.spark, [coarse.path], [v.name], (t, t), *coarse.spans(coarse.variable(v.name), box, width, height, clamp))
+
     def at_pixels(self, v: Variable, box: Box, width: int, height: int) -> Dataset:
         """The dataset, or that of the overview which suits pixels of this size."""
         if not getattr(self._reader, "overviews", None) or "#overview=" in self.path:
@@ -134,7 +148,7 @@ class Dataset:
         if coarse is not self:
             return coarse.extract_grid(v.name, box, width, height, t, date, clamp)
         at, _ = self.steps(v, t, t, date, None)
-        cube = self.cube(v.name, (at, at))
+        cube = self.cube(v.name, (at, at), *self.spans(v, box, width, height, clamp))
         time = datetime.fromtimestamp(v.times[at], UTC) if v.times else None
         return Grid(cube.raster(box, width, height, at, clamp), box, width, height, v.name, v.units, time)
 
@@ -191,12 +205,32 @@ def encode_series(rows: DataFrame, fmt: str) -> bytes:
     return encoders.series(rows, sinks.resolve_format(fmt, "series").name)
 
 
-def trim(path: str, variables: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: Box | None = None) -> Trimmed:
-    """A smaller file of the same format."""
+def write_grid(grid: Grid, fmt: str, out: str, tile: int = 256) -> str:
+    """A raster of any size written by tasks, as a ``zarr`` folder or a tiled ``geotiff`` with overviews; ``out``."""
+    return writers.write_grid(grid, fmt, out, tile)
+
+
+def trim_to(spark: SparkSession, path: str, out: str, variables: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: Box | None = None) -> Trimmed:
+    """``trim`` for files of any size: tasks read and write only what is kept, and ``out`` appears when it is whole. A Zarr store
+    becomes a folder. HDF5 files are cut by ``trim``."""
+    _checked(box, t1, t2)
+    kind, reader = grids.open_reader(path)
+    if kind in ("grib2", "netcdf3") and box is not None:
+        raise TrimError(f"{kind} files can't be cut to a box")
+    warnings = trims.trim_to(spark, path, kind, out, variables, t1, t2, box)
+    return Trimmed(None, kind, warnings, {"variables_before": len(reader.variables()), "variables_after": len(grids.open_reader(out)[1].variables())})
+
+
+def _checked(box: Box | None, t1: int | None, t2: int | None) -> None:
     if box is not None and not (len(box) == 4 and box[2] > box[0] and box[3] > box[1]):
         raise TrimError("a box is (minLon, minLat, maxLon, maxLat)")
     if t1 is not None and t2 is not None and t2 < t1:
         raise TrimError("t2 is below t1")
+
+
+def trim(path: str, variables: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: Box | None = None) -> Trimmed:
+    """A smaller file of the same format, as bytes on the driver."""
+    _checked(box, t1, t2)
     source = ByteSource(path)
     kind = detect_format(source)
     if kind in ("grib2", "netcdf3") and box is not None:
@@ -219,7 +253,7 @@ def trim(path: str, variables: list[str] | None = None, t1: int | None = None, t
 
 @dataclass
 class Trimmed:
-    data: bytes
+    data: bytes | None
     format: str
     warnings: list[str]
     stats: dict[str, int]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import statistics
 from gridloom.plans import catalogue, engine
 from gridloom.plans.catalogue import CELLS, LATS, LONS, NX, NY, QUERIES, SQL
-from gridloom.sources import codecs, datasource, detect, geotiff, grib2, grids, hdf5, netcdf3, parquet_points, references, zarr
+from gridloom.sources import codecs, datasource, detect, geotiff, grib2, grids, hdf5, netcdf3, parquet_points, references, writers, zarr
 from gridloom.sources.files import ByteSource, put, scratch
 from gridloom.sources.model import Variable
 
@@ -78,6 +78,9 @@ FORMATS = {
 def written(spark: SparkSession, sf_dir: str, fmt: str) -> str:
     """The cube as a file of the format; its path."""
     make, whole, _ = FORMATS[fmt]
+    if fmt == "zarr_chunked":  # by tasks
+        axes = {n: (list(values), at) for n, (_, values, at) in AXES.items()}
+        return writers.write_zarr(catalogue.read_cells(spark, sf_dir), f"{scratch(spark)}/{fmt}", axes, ["t", "iy", "ix"], [5, 4, 8], "v", OWN, level=3)
     return put(f"{scratch(spark)}/{fmt}", make(cube(spark, sf_dir, whole)))
 
 
@@ -340,9 +343,14 @@ add("file_grid", f"{_WINDOW} SELECT r, c, value FROM w", file_grid)
 
 def trim_of(fmt: str, **cut):
     def run(spark, sf_dir):
-        whole = written(spark, sf_dir, fmt)
+        make, rounded, _ = FORMATS[fmt]
+        whole = put(f"{scratch(spark)}/{fmt}", make(cube(spark, sf_dir, rounded)))
         name = first_variable(whole)
-        small = put(f"{scratch(spark)}/trimmed", engine.trim(whole, variables=[name], **cut).data)
+        small = f"{scratch(spark)}/trimmed"
+        if fmt == "netcdf4":
+            put(small, engine.trim(whole, variables=[name], **cut).data)
+        else:
+            engine.trim_to(spark, whole, small, variables=[name], **cut)
         v = grids.open_reader(small)[1].variables()[0]
         days = np.round((np.array(v.times) - BEGIN) / 86400).astype(int).tolist()
         rows = cells_of(grids.blocks(spark, [small], [v.name]))
@@ -363,7 +371,8 @@ def file_trim_geotiff(spark, sf_dir):
     """One band of two, cut to a box that is widened to whole strips."""
     a = cube(spark, sf_dir, True)
     whole = put(f"{scratch(spark)}/two.tif", geotiff.write(np.nan_to_num(a[3:5], nan=-9999).astype("f4"), BOX, ["three", "four"], compress=True, predictor=3, nodata=-9999, rows_per_strip=2))
-    small = put(f"{scratch(spark)}/one.tif", engine.trim(whole, variables=["four"], box=(-60.0, -30.0, 60.0, 60.0)).data)
+    small = f"{scratch(spark)}/one.tif"
+    engine.trim_to(spark, whole, small, variables=["four"], box=(-60.0, -30.0, 60.0, 60.0))
     return cells_of(grids.blocks(spark, [small])).select("iy", "ix", "value")
 
 
@@ -386,8 +395,22 @@ def read_raster(spark: SparkSession, data: bytes, fmt: str) -> DataFrame:
     return cells_of(grids.blocks(spark, [path])).select(F.col("iy").alias("r"), F.col("ix").alias("c"), "value")
 
 
-for _fmt in ("json", "csv", "parquet", "geotiff", "netcdf3", "netcdf4", "zarr"):
+for _fmt in ("json", "csv", "parquet", "netcdf3", "netcdf4"):
     add(f"export_grid_{_fmt}", f"{_WINDOW} SELECT r, c, value FROM w", lambda spark, sf_dir, fmt=_fmt: read_raster(spark, engine.encode_grid(raster(spark, sf_dir), fmt), fmt))
+
+
+def by_tasks(fmt: str):
+    """A raster from a store that tasks wrote, written by tasks."""
+
+    def run(spark, sf_dir):
+        out = engine.write_grid(raster(spark, sf_dir, "zarr_chunked"), fmt, f"{scratch(spark)}/out.{fmt}", tile=16)
+        return cells_of(grids.blocks(spark, [out])).select(F.col("iy").alias("r"), F.col("ix").alias("c"), "value")
+
+    return run
+
+
+for _fmt in ("zarr", "geotiff"):
+    add(f"export_grid_{_fmt}", f"{_WINDOW} SELECT r, c, value FROM w", by_tasks(_fmt))
 add("export_grid_grib2", f"{_WINDOW} SELECT r, c, floor(value) AS value FROM w", lambda spark, sf_dir: read_raster(spark, engine.encode_grid(raster(spark, sf_dir, "netcdf3_records"), "grib2"), "grib2"))
 
 
@@ -426,6 +449,71 @@ for _fmt in ("json", "csv", "parquet", "netcdf3", "netcdf4", "zarr"):
     add(f"export_series_{_fmt}", f"{SOME} SELECT {BEGIN} + 86400 * CAST(t AS BIGINT) AS seconds, {FLOAT} AS value FROM c WHERE iy = 3 AND ix = 13", export_series_of(_fmt))
 
 
+# -- rasters that grow with the table, written by tasks
+
+WIDE = 128
+#: A row of pixels for each ``WIDE`` events, up to a multiple of 16.
+_RASTER = f"""h AS (SELECT CAST(ceil((max(event_id) + 1) / {16 * WIDE}) AS BIGINT) * 16 AS height FROM events),
+  px AS (SELECT CAST(event_id // {WIDE} AS INTEGER) AS iy, CAST(event_id % {WIDE} AS INTEGER) AS ix, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM events WHERE value IS NOT NULL)"""
+
+
+def event_raster(spark: SparkSession, sf_dir: str) -> engine.Grid:
+    """A pixel for each event, over the whole world."""
+    e = catalogue.read(spark, sf_dir, "events")
+    last = e.agg(F.max("event_id")).first()[0] or 0
+    cells = e.select(F.floor(F.col("event_id") / WIDE).cast("int").alias("r"), (F.col("event_id") % WIDE).cast("int").alias("c"), "value")
+    return engine.Grid(cells, BOX, WIDE, -(-(last + 1) // (16 * WIDE)) * 16, "value", "K")
+
+
+def raster_written(fmt: str):
+    def run(spark, sf_dir):
+        out = writers.write_grid(event_raster(spark, sf_dir), fmt, f"{scratch(spark)}/raster.{fmt}", tile=32)
+        return cells_of(grids.blocks(spark, [out])).drop("t")
+
+    return run
+
+
+for _fmt in ("zarr", "geotiff"):
+    add(f"export_raster_{_fmt}", f"WITH {_RASTER} SELECT iy, ix, value FROM px", raster_written(_fmt))
+
+
+def trim_raster_zarr(spark, sf_dir):
+    """The store of the whole raster cut to the tiles that a box meets, chunks copied as they are."""
+    whole = writers.write_grid(event_raster(spark, sf_dir), "zarr", f"{scratch(spark)}/whole.zarr", tile=32)
+    small = f"{scratch(spark)}/small.zarr"
+    engine.trim_to(spark, whole, small, box=(-80.0, -90.0, 80.0, 90.0))
+    return cells_of(grids.blocks(spark, [small])).drop("t")
+
+
+# Columns 35 to 92 lie in the box; whole tiles are 32 to 95.
+add("trim_raster_zarr", f"WITH {_RASTER} SELECT iy, CAST(ix - 32 AS INTEGER) AS ix, value FROM px WHERE ix BETWEEN 32 AND 95", trim_raster_zarr)
+
+
+def overview_request(name: str, box: tuple, width: int, parts: int, sql: str):
+    """A request coarser than the file, of ``width`` pixels and a ``parts``-th of the file's rows, with the number of blocks
+    that it reads."""
+
+    def run(spark, sf_dir):
+        grid = event_raster(spark, sf_dir)
+        data = engine.Dataset(spark, writers.write_grid(grid, "geotiff", f"{scratch(spark)}/raster.tif", tile=32))
+        size = (width, grid.height // parts)
+        n = data.blocks_of_grid(None, box, *size).count()
+        cells = data.extract_grid(None, box, *size).cells
+        return cells.where("value is not null").select("r", "c", F.round("value", 4).alias("value"), F.lit(n).alias("n_blocks"))
+
+    add(name, sql, run)
+
+
+_MEANS = "SELECT CAST(iy // 4 AS INTEGER) AS r, CAST(ix // 4 AS INTEGER) AS c, round(CAST(CAST(avg(value) AS FLOAT) AS DOUBLE), 4) AS value FROM px GROUP BY 1, 2"
+overview_request("file_overview", BOX, WIDE // 4, 4, f"WITH {_RASTER}, m AS ({_MEANS}) SELECT r, c, value, CAST(ceil(height / 4 / 32) AS BIGINT) AS n_blocks FROM m, h")
+# The north-west quarter: tiles that hold its half of the rows, of the half as fine image.
+overview_request(
+    "file_overview_window", (-180.0, 0.0, 0.0, 90.0), WIDE // 4, 4,
+    f"""WITH {_RASTER}, m AS (SELECT CAST(iy // 2 AS INTEGER) AS r, CAST(ix // 2 AS INTEGER) AS c, round(CAST(CAST(avg(value) AS FLOAT) AS DOUBLE), 4) AS value FROM px GROUP BY 1, 2)
+    SELECT r, c, value, CAST(ceil(height / 4 / 32) AS BIGINT) AS n_blocks FROM m, h WHERE r < height / 4 AND c < {WIDE // 4}""",
+)
+
+
 # -- tables of points as files
 
 

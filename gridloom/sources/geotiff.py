@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -189,26 +190,30 @@ class GeoTiffReader:
         return max(fine, default=0)
 
 
-def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list[str] | None = None, compress: bool = False, predictor: int = 1, epsg: int = 4326, nodata: float | None = None, rows_per_strip: int = 64) -> bytes:
-    """A little-endian GeoTIFF of bands (n, height, width); row 0 is the north. uint8, uint16, int16 or float32."""
-    a = np.asarray(bands)
-    a = a[None] if a.ndim == 2 else a
+def sample_kind(dtype: np.dtype) -> tuple[int, int]:
+    """(sample format, bits)."""
     kinds = {np.dtype(v): k for k, v in KINDS.items()}
-    if a.dtype.newbyteorder("=") not in kinds:
-        raise UnsupportedFormatError(f"samples of type {a.dtype}")
-    sample_format, bits = kinds[a.dtype.newbyteorder("=")]
-    n, height, width = a.shape
-    strips = []
-    for top in range(0, height, rows_per_strip):
-        block = np.ascontiguousarray(a[:, top : top + rows_per_strip].transpose(1, 2, 0)).astype(a.dtype.newbyteorder("<"))
-        raw = codecs.apply_predictor(block, predictor).tobytes()
-        strips.append(zlib.compress(raw) if compress else raw)
+    if dtype.newbyteorder("=") not in kinds:
+        raise UnsupportedFormatError(f"samples of type {dtype}")
+    return kinds[dtype.newbyteorder("=")]
+
+
+def encode_strip(bands: np.ndarray, compress: bool, predictor: int) -> bytes:
+    """Rows of bands (n, rows, width) as they are stored."""
+    block = np.ascontiguousarray(bands.transpose(1, 2, 0)).astype(bands.dtype.newbyteorder("<"))
+    raw = codecs.apply_predictor(block, predictor).tobytes()
+    return zlib.compress(raw) if compress else raw
+
+
+def strip_header(lengths: list[int], shape: tuple[int, int, int], dtype: np.dtype, box: tuple, names: list[str] | None, compress: bool, predictor: int, epsg: int, nodata: float | None, rows_per_strip: int) -> bytes:
+    """What comes before the strips of a little-endian file of (bands, height, width)."""
+    sample_format, bits = sample_kind(dtype)
+    n, height, width = shape
     items = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{name}</Item>' for k, name in enumerate(names or []))
     tags = [
         (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [bits] * n), (COMPRESSION, 3, [8 if compress else 1]), (262, 3, [1]),
-        (STRIP_OFFSETS, 4, [0] * len(strips)), (SAMPLES, 3, [n]), (ROWS_PER_STRIP, 4, [rows_per_strip]), (STRIP_COUNTS, 4, [len(s) for s in strips]),
-        (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor]), (SAMPLE_FORMAT, 3, [sample_format] * n),
-        *geo_tags(height, width, box, epsg),
+        (STRIP_OFFSETS, 4, [0] * len(lengths)), (SAMPLES, 3, [n]), (ROWS_PER_STRIP, 4, [rows_per_strip]), (STRIP_COUNTS, 4, lengths),
+        (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor]), (SAMPLE_FORMAT, 3, [sample_format] * n), *geo_tags(height, width, box, epsg),
     ]
     tags += [(GDAL_METADATA, 2, f"<GDALMetadata>{items}</GDALMetadata>\0")] if items else []
     tags += [(GDAL_NODATA, 2, f"{nodata}\0")] if nodata is not None else []
@@ -221,14 +226,25 @@ def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list
         if len(raw) > 4:
             places[tag] = at
             at += len(raw) + len(raw) % 2
-    offsets = [at + sum(len(s) for s in strips[:k]) for k in range(len(strips))]
+    offsets = (at + np.cumsum([0, *lengths[:-1]])).tolist() if lengths else []
+    if lengths and offsets[-1] + lengths[-1] > 0xFFFFFFFF:
+        raise UnsupportedFormatError("over 4 GB: write it with tiles, as a BigTIFF")
     out, extra = struct.pack("<2sHIH", b"II", 42, directory, len(tags)), b""
     for tag, kind, value in tags:
         raw = packed(kind, offsets if tag == STRIP_OFFSETS else value)
         out += struct.pack("<HHI", tag, kind, len(value))
         out += struct.pack("<I", places[tag]) if tag in places else raw.ljust(4, b"\0")
         extra += (raw + b"\0" * (len(raw) % 2)) if tag in places else b""
-    return out + struct.pack("<I", 0) + extra + b"".join(strips)
+    return out + struct.pack("<I", 0) + extra
+
+
+def write(bands: np.ndarray, box: tuple[float, float, float, float], names: list[str] | None = None, compress: bool = False, predictor: int = 1, epsg: int = 4326, nodata: float | None = None, rows_per_strip: int = 64) -> bytes:
+    """A little-endian GeoTIFF of bands (n, height, width); row 0 is the north. uint8, uint16, int16 or float32."""
+    a = np.asarray(bands)
+    a = a[None] if a.ndim == 2 else a
+    sample_kind(a.dtype)
+    strips = [encode_strip(a[:, top : top + rows_per_strip], compress, predictor) for top in range(0, a.shape[1], rows_per_strip)]
+    return strip_header([len(s) for s in strips], a.shape, a.dtype, box, names, compress, predictor, epsg, nodata, rows_per_strip) + b"".join(strips)
 
 
 Tables = dict[int, tuple[int, int]]
@@ -287,9 +303,43 @@ def filled(pieces: list[tuple[int, bytes]], ones: dict[int, tuple[int, int]], ta
     return [(at, bytes(own)) for at, own in out]
 
 
-def trim(source: ByteSource, names: list[str] | None = None, box: tuple | None = None) -> tuple[bytes, list[str]]:
-    """Some bands and a box widened to whole blocks."""
-    reader = GeoTiffReader(source)
+@dataclass
+class Cut:
+    """Some bands of a box widened to whole blocks, strip by strip; a strip is a row of blocks."""
+
+    bands: list[tuple[str, int]]
+    columns: tuple[int, int]
+    rows: tuple[int, int]
+    box: tuple[float, float, float, float]
+    rows_per_strip: int
+    compress: bool
+    predictor: int
+    epsg: int
+    nodata: float | None
+    dtype: np.dtype
+    warnings: list[str]
+
+    @property
+    def strips(self) -> int:
+        return -(-(self.rows[1] - self.rows[0]) // self.rows_per_strip)
+
+    def strip(self, reader: GeoTiffReader, k: int) -> bytes:
+        """Encoded rows of the source's blocks that a strip is made of."""
+        i, top = reader.main, self.rows[0] + k * self.rows_per_strip
+        data = np.empty((len(self.bands), min(self.rows_per_strip, self.rows[1] - top), self.columns[1] - self.columns[0]), self.dtype)
+        for n, (_, band) in enumerate(self.bands):
+            for column in range(self.columns[0] // i.block_w, -(-self.columns[1] // i.block_w)):
+                block = i.block(top // i.block_h, column, band)
+                data[n, :, column * i.block_w - self.columns[0] : column * i.block_w - self.columns[0] + block.shape[1]] = block
+        return encode_strip(data, self.compress, self.predictor)
+
+    def header(self, lengths: list[int]) -> bytes:
+        shape = (len(self.bands), self.rows[1] - self.rows[0], self.columns[1] - self.columns[0])
+        return strip_header(lengths, shape, self.dtype, self.box, [n for n, _ in self.bands], self.compress, self.predictor, self.epsg, self.nodata, self.rows_per_strip)
+
+
+def cut(reader: GeoTiffReader, names: list[str] | None = None, box: tuple | None = None) -> Cut:
+    """The plan of a trim, from the header alone."""
     if reader.big or reader.order == ">" or reader.overviews:
         raise UnsupportedFormatError("BigTIFF, big-endian files and files with overviews can't be cut")
     own, image, warnings = reader.variables(), reader.main, []
@@ -303,10 +353,16 @@ def trim(source: ByteSource, names: list[str] | None = None, box: tuple | None =
         c0, c1 = int(max(0, (west - x0) / dx // image.block_w * image.block_w)), int(min(image.width, -(-((east - x0) / dx) // image.block_w) * image.block_w))
         r0, r1 = int(max(0, (y0 - north) / -dy // image.block_h * image.block_h)), int(min(image.height, -(-((y0 - south) / -dy) // image.block_h) * image.block_h))
         warnings.append(f"widened to whole blocks: columns {c0} to {c1}, rows {r0} to {r1}")
-    data = np.empty((len(kept), r1 - r0, c1 - c0), image.dtype.newbyteorder("="))
-    for k, v in enumerate(kept):
-        for b in reader.blocks(v):
-            if r0 <= b.y < r1 and c0 <= b.x < c1:
-                data[k, b.y - r0 : b.y - r0 + b.ny, b.x - c0 : b.x - c0 + b.nx] = image.block(b.y // image.block_h, b.x // image.block_w, int(v.attrs["band"]))
-    code = reader._keys().get(3072, 4326)
-    return write(data, (x0 + c0 * dx, y0 + r1 * dy, x0 + c1 * dx, y0 + r0 * dy), [v.name for v in kept], image.tags.get(COMPRESSION, [1])[0] != 1, image.tags.get(PREDICTOR, [1])[0], int(code), image.nodata(), image.block_h), warnings
+    code = int(reader._keys().get(3072, 4326))
+    return Cut(
+        [(v.name, int(v.attrs["band"])) for v in kept], (c0, c1), (r0, r1), (x0 + c0 * dx, y0 + r1 * dy, x0 + c1 * dx, y0 + r0 * dy), image.block_h,
+        image.tags.get(COMPRESSION, [1])[0] != 1, image.tags.get(PREDICTOR, [1])[0], code, image.nodata(), image.dtype.newbyteorder("="), warnings,
+    )
+
+
+def trim(source: ByteSource, names: list[str] | None = None, box: tuple | None = None) -> tuple[bytes, list[str]]:
+    """``cut`` as bytes."""
+    reader = GeoTiffReader(source)
+    plan = cut(reader, names, box)
+    strips = [plan.strip(reader, k) for k in range(plan.strips)]
+    return plan.header([len(s) for s in strips]) + b"".join(strips), plan.warnings

@@ -343,12 +343,24 @@ def encode(values: np.ndarray, lats: list[float], lons: list[float], parameter:
     return b"GRIB\0\0" + bytes([parameter[0], 2]) + struct.pack(">Q", len(body) + 16) + body
 
 
-def trim(source: ByteSource, names: list[str] | None = None, t1: int | None = None, t2: int | None = None) -> bytes:
-    """The messages of some variables and steps (ranks by valid time within a variable), in file order, byte for byte."""
+def kept_ranges(source: ByteSource, names: list[str] | None = None, t1: int | None = None, t2: int | None = None) -> list[tuple[int, int]]:
+    """(offset, length) of the messages of some variables and steps (ranks by valid time within a variable), in file order;
+    neighbours are one range."""
     reader = Grib2Reader(source)
     kept: set[tuple[int, int]] = set()
     for v in reader.variables():
         if names is None or v.name in names:
             last = v.shape[0] - 1 if t2 is None else t2
             kept |= {(m.start, m.length) for k, m in enumerate(reader.steps[v.name]) if (t1 or 0) <= k <= last}
-    return b"".join(source.read(start, length) for start, length in sorted(kept))
+    out: list[tuple[int, int]] = []
+    for start, length in sorted(kept):
+        if out and sum(out[-1]) == start:
+            out[-1] = (out[-1][0], out[-1][1] + length)
+        else:
+            out.append((start, length))
+    return out
+
+
+def trim(source: ByteSource, names: list[str] | None = None, t1: int | None = None, t2: int | None = None) -> bytes:
+    """The kept messages, byte for byte."""
+    return b"".join(source.read(start, length) for start, length in kept_ranges(source, names, t1, t2))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -182,8 +183,21 @@ def decode(raw: np.ndarray, attrs: dict) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def write(dims: dict[str, int], variables: dict[str, tuple], attrs: dict[str, object] | None = None, record: str | None = None) -> bytes:
-    """A CDF-2 file. ``variables``: name -> (dims, array, attrs); ``record`` names the unlimited dimension."""
+@dataclass
+class Layout:
+    """Where a file's variables lie: its header, of each variable the place of its first byte and the bytes of its rows (records, or
+    all of it), what a row is padded to, and how far records are apart."""
+
+    header: bytes
+    begins: dict[str, int]
+    rows: dict[str, int]
+    padded: dict[str, int]
+    stride: int
+    size: int
+
+
+def layout(dims: dict[str, int], variables: dict[str, tuple], attrs: dict[str, object] | None = None, record: str | None = None) -> Layout:
+    """The layout of a CDF-2 file. ``variables``: name -> (dims, type such as "f4", attrs); ``record`` names the unlimited dimension."""
 
     def name(text: str) -> bytes:
         raw = text.encode()
@@ -207,40 +221,61 @@ def write(dims: dict[str, int], variables: dict[str, tuple], attrs: dict[str, ob
     order = list(dims)
     front = b"CDF\x02" + struct.pack(">I", dims[record] if record else 0)
     front += listed(DIMENSION, [name(d) + struct.pack(">I", 0 if d == record else n) for d, n in dims.items()]) + attributes(attrs)
-    stored = {}
-    for key, (own, array, _) in variables.items():
-        a = np.asarray(array)
-        kind = a.dtype.kind + str(a.dtype.itemsize)
+    rows = {}
+    for key, (own, kind, _) in variables.items():
         if kind not in CODES:
-            raise UnsupportedFormatError(f"{key}: type {a.dtype}")
-        raw_rows = [r.tobytes() for r in a.astype(">" + kind).reshape(len(a), -1)] if own and own[0] == record else [a.astype(">" + kind).tobytes()]
-        stored[key] = (own, CODES[kind], raw_rows)
-    in_records = [k for k, (own, _, _) in stored.items() if own and own[0] == record]
-    pad = lambda raw: raw if len(in_records) == 1 and record else raw + b"\0" * (-len(raw) % 4)
+            raise UnsupportedFormatError(f"{key}: type {kind}")
+        rows[key] = int(np.prod([dims[d] for d in own if d != record or own[0] != record], dtype=np.int64)) * np.dtype(kind).itemsize
+    in_records = [k for k, (own, _, _) in variables.items() if own and own[0] == record]
+    lone = len(in_records) == 1 and bool(record)  # a lone record variable isn't padded
+    padded = {k: n if lone and k in in_records else n + -n % 4 for k, n in rows.items()}
 
     def header(begins: dict[str, int]) -> bytes:
         items = []
-        for key, (own, code, rows) in stored.items():
-            size = len(rows[0]) + -len(rows[0]) % 4 if rows else 0
-            items.append(name(key) + struct.pack(f">I{len(own)}I", len(own), *(order.index(d) for d in own)) + attributes(variables[key][2]) + struct.pack(">IIQ", code, size, begins[key]))
+        for key, (own, kind, more) in variables.items():
+            size = rows[key] + -rows[key] % 4
+            size = 0 if key in in_records and not dims[record] else min(size, 0xFFFFFFFF)  # larger ones don't fit the field and are known by their shape
+            items.append(name(key) + struct.pack(f">I{len(own)}I", len(own), *(order.index(d) for d in own)) + attributes(more) + struct.pack(">IIQ", CODES[kind], size, begins[key]))
         return front + listed(VARIABLE, items)
 
-    at = len(header(dict.fromkeys(stored, 0)))
-    begins, body = {}, []
-    for key in (k for k in stored if k not in in_records):
+    at = len(header(dict.fromkeys(variables, 0)))
+    begins = {}
+    for key in (k for k in variables if k not in in_records):
         begins[key] = at
-        raw = stored[key][2][0] + b"\0" * (-len(stored[key][2][0]) % 4)
-        body.append(raw)
-        at += len(raw)
+        at += padded[key]
     for key in in_records:
         begins[key] = at
-        at += len(pad(stored[key][2][0])) if stored[key][2] else 0
-    for k in range(dims[record] if record else 0):
-        body += [pad(stored[key][2][k]) for key in in_records]
-    return header(begins) + b"".join(body)
+        at += padded[key] if dims[record] else 0
+    stride = sum(padded[k] for k in in_records)
+    return Layout(header(begins), begins, rows, padded, stride, at + stride * max(0, (dims[record] if record else 0) - 1))
 
 
-def trim(source: ByteSource, names: list[str] | None, t1: int | None, t2: int | None) -> bytes:
+def write(dims: dict[str, int], variables: dict[str, tuple], attrs: dict[str, object] | None = None, record: str | None = None) -> bytes:
+    """A CDF-2 file. ``variables``: name -> (dims, array, attrs); ``record`` names the unlimited dimension."""
+    arrays = {key: np.asarray(array) for key, (_, array, _) in variables.items()}
+    kinds = {key: a.dtype.kind + str(a.dtype.itemsize) for key, a in arrays.items()}
+    plan = layout(dims, {key: (own, kinds[key], more) for key, (own, _, more) in variables.items()}, attrs, record)
+    out = bytearray(plan.size)
+    out[: len(plan.header)] = plan.header
+    for key, a in arrays.items():
+        raw, own = a.astype(">" + kinds[key]).tobytes(), variables[key][0]
+        apart = plan.stride if own and own[0] == record else 0
+        for k in range(dims[record] if apart else 1):
+            at = plan.begins[key] + k * apart
+            out[at : at + plan.rows[key]] = raw[k * plan.rows[key] : (k + 1) * plan.rows[key]]
+    return bytes(out)
+
+
+@dataclass
+class Cut:
+    """A trim as ranges: of each kept variable where its rows lie in the source and in the new file, and how many there are."""
+
+    layout: Layout
+    #: (source place, source stride, target place, target stride, bytes, rows)
+    runs: list[tuple[int, int, int, int, int, int]]
+
+
+def cut(source: ByteSource, names: list[str] | None, t1: int | None, t2: int | None) -> Cut:
     """The file with some variables and steps only; every dimension stays, coordinates are kept."""
     reader = NetCDF3Reader(source)
     keep = set(names or [v.name for v in reader.variables()])
@@ -248,15 +283,30 @@ def trim(source: ByteSource, names: list[str] | None, t1: int | None, t2: int |
     record = next((n for n, size in reader.dims if size == 0), None)
     steps = record or next((n for n in dims if reader._role(n) == "t"), None)
     low, high = (0, 0) if steps is None else (min(max(t1 or 0, 0), dims[steps] - 1), dims[steps] - 1 if t2 is None else min(max(t2, 0), dims[steps] - 1))
-    variables = {}
+    kept = {}
     for v in reader.vars.values():
-        own = [reader.dims[d][0] for d in v["dims"]]
-        if v["code"] == 2 or (v["name"] not in keep and v["name"] not in dims):
-            continue
-        data = np.asarray(reader.raw(v))
-        if own and own[0] == steps:
-            data = data[low : max(low, high) + 1]
-        variables[v["name"]] = (own, data.astype(data.dtype.newbyteorder("=")), {k: (np.array(a, TYPES[5].lstrip(">") if isinstance(a[0], float) else "i4") if isinstance(a, list) and a else a) for k, a in v["attrs"].items()})
+        if v["code"] != 2 and (v["name"] in keep or v["name"] in dims):
+            attrs = {k: (np.array(a, TYPES[5].lstrip(">") if isinstance(a[0], float) else "i4") if isinstance(a, list) and a else a) for k, a in v["attrs"].items()}
+            kept[v["name"]] = ([reader.dims[d][0] for d in v["dims"]], np.dtype(TYPES[v["code"]]).kind + str(np.dtype(TYPES[v["code"]]).itemsize), attrs)
     if steps is not None:
         dims[steps] = max(low, high) - low + 1
-    return write(dims, variables, reader.attrs, record)
+    plan, runs = layout(dims, kept, reader.attrs, record), []
+    for name, (own, _, _) in kept.items():
+        v, size = reader.vars[name], plan.rows[name]
+        if v["record"]:
+            runs.append((v["begin"] + low * reader.record_size, reader.record_size, plan.begins[name], plan.stride, size, dims[record]))
+        else:
+            first = low * (size // dims[steps]) if own and own[0] == steps else 0
+            runs.append((v["begin"] + first, 0, plan.begins[name], 0, size, 1))
+    return Cut(plan, runs)
+
+
+def trim(source: ByteSource, names: list[str] | None, t1: int | None, t2: int | None) -> bytes:
+    """``cut`` as bytes."""
+    plan = cut(source, names, t1, t2)
+    out = bytearray(plan.layout.size)
+    out[: len(plan.layout.header)] = plan.layout.header
+    for begin, apart, target, wide, size, n in plan.runs:
+        for k in range(n):
+            out[target + k * wide : target + k * wide + size] = source.read(begin + k * apart, size)
+    return bytes(out)

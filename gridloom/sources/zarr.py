@@ -337,10 +337,13 @@ def write_zip(arrays: dict[str, tuple[np.ndarray, list[str], dict]], attrs: dict
     return out.getvalue()
 
 
-def trim(source: ByteSource, names: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: tuple | None = None) -> tuple[bytes, list[str]]:
-    """Some variables, steps and area of a zipped store, widened to whole chunks; coordinates are cut alike."""
-    reader = ZarrReader(ZipStore(source))
-    out, chunks, warnings, ranges = {}, {}, [], {}
+Kept = list[tuple["Array", list[tuple[int, int]], list[int]]]
+
+
+def cut(reader: ZarrReader, names: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: tuple | None = None) -> tuple[Kept, dict[str, tuple], list[str]]:
+    """Arrays with the ranges of chunks that are kept and their new shapes, the axes' values as they are cut, warnings: from
+    metadata and axes alone."""
+    kept, warnings, ranges = [], [], {}
     for v in reader.variables():
         if names is not None and v.name not in names:
             continue
@@ -356,18 +359,28 @@ def trim(source: ByteSource, names: list[str] | None = None, t1: int | None = No
         wide = [(lo // c * c, min(n, (hi // c + 1) * c) - 1) for (lo, hi), c, n in zip(own, a.chunks, a.shape, strict=True)]
         if wide != own:
             warnings.append(f"{v.name}: widened to whole chunks, {own} to {wide}")
-        # Only the chunks inside are read.
-        lows = [lo // c for (lo, _), c in zip(wide, a.chunks, strict=True)]
-        data = np.empty([hi - lo + 1 for lo, hi in wide], a.dtype)
-        for index in itertools.product(*(range(lo // c, hi // c + 1) for (lo, hi), c in zip(wide, a.chunks, strict=True))):
-            part = a.chunk(index)
-            data[tuple(slice((i - l) * c, (i - l) * c + m) for i, l, c, m in zip(index, lows, a.chunks, part.shape, strict=True))] = part
-        out[v.name], chunks[v.name] = (data, list(v.dims), a.attrs), a.chunks
+        kept.append((a, [(lo // c, hi // c) for (lo, hi), c in zip(wide, a.chunks, strict=True)], [hi - lo + 1 for lo, hi in wide]))
         ranges |= dict(zip(v.dims, wide, strict=True))
+    axes = {}
     for name, a in reader.arrays.items():
         if len(a.shape) == 1 and name in ranges:
             lo, hi = ranges[name]
-            out[name] = (a.whole()[lo : hi + 1], [name], a.attrs)
-    if not out:
+            axes[name] = (a.whole()[lo : hi + 1], [name], a.attrs)
+    if not kept:
         raise SourceError("nothing is left")
+    return kept, axes, warnings
+
+
+def trim(source: ByteSource, names: list[str] | None = None, t1: int | None = None, t2: int | None = None, box: tuple | None = None) -> tuple[bytes, list[str]]:
+    """Some variables, steps and area of a zipped store, widened to whole chunks; coordinates are cut alike."""
+    reader = ZarrReader(ZipStore(source))
+    kept, out, warnings = cut(reader, names, t1, t2, box)
+    chunks = {}
+    dims = {v.name: list(v.dims) for v in reader.variables()}
+    for a, ranges, shape in kept:  # only the chunks inside are read
+        data = np.empty(shape, a.dtype)
+        for index in itertools.product(*(range(lo, hi + 1) for lo, hi in ranges)):
+            part = a.chunk(index)
+            data[tuple(slice((i - lo) * c, (i - lo) * c + m) for i, (lo, _), c, m in zip(index, ranges, a.chunks, part.shape, strict=True))] = part
+        out[a.name], chunks[a.name] = (data, dims[a.name], a.attrs), a.chunks
     return write_zip({n: (x, d, {k: v for k, v in at.items() if k != "_ARRAY_DIMENSIONS"}) for n, (x, d, at) in out.items()}, chunks=chunks), warnings
