@@ -150,3 +150,12 @@ def nearest_curvilinear(cells: DataFrame, lat: float, lon: float) -> DataFrame:
 
     near = F.struct(cosine_of_angle(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)), -F.col("iy"), -F.col("ix"))
     return cells.where("lat is not null and lon is not null").agg(F.max_by(F.struct("iy", "ix", "lat", "lon"), near).alias("n")).select("n.*")
+
+
+def nearest_curvilinear_many(cells: DataFrame, targets: DataFrame, target_id: str = "query") -> DataFrame:
+    """For each target (``target_id``, lat, lon) the cell of a grid with lat and lon for each cell that lies nearest on the sphere,
+    first in row-major order at a tie: ``target_id``, iy, ix, near_lat, near_lon, metres."""
+    from gridloom.operators.nearest import nearest_many
+
+    found = nearest_many(cells.select(F.struct("iy", "ix").alias("id"), "lat", "lon"), targets, "id", target_id)
+    return found.select(target_id, "point.id.iy", "point.id.ix", F.col("point.lat").alias("near_lat"), F.col("point.lon").alias("near_lon"), F.col("distance").alias("metres"))

@@ -47,10 +47,17 @@ def squared_degrees(lat: Column, lon: Column, at: tuple[float, float]) -> Column
 def nearest(points: DataFrame, targets: list[tuple[float, float]], distance=squared_degrees, id_col: str = "event_id") -> DataFrame:
     """For each (lat, lon) target the nearest point, the smaller id at equal distance: query, distance, and all columns.
 
-    All targets share one pass and one partial aggregate; nothing is joined. Beyond ``MANY`` targets they are a list that
-    each row meets, grouped by target before anything is shuffled, so that the plan doesn't grow with them. All
-    columns are carried along: select the needed ones first.
+    All targets share one pass and one partial aggregate; nothing is joined. Beyond ``MANY`` targets, and for a table of any
+    number of them, ``nearest.nearest_many`` goes down a tree of cells; distances of one's own meet every row then. All columns
+    are carried along: select the needed ones first.
     """
+    metric = {squared_degrees: "degrees", by_haversine: "sphere"}.get(distance)
+    if len(targets) > MANY and metric:
+        from gridloom.operators.nearest import nearest_many
+
+        asked = points.sparkSession.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(targets)], "query int, lat double, lon double")
+        found = nearest_many(points, asked, id_col, metric=metric).where("point is not null")
+        return found.join(asked.select("query", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon")), "query").select("query", "at_lat", "at_lon", "point.*")
     if len(targets) > MANY:
         known = F.array(*(F.struct(F.lit(k).alias("query"), F.lit(float(at[0])).alias("at_lat"), F.lit(float(at[1])).alias("at_lon")) for k, at in enumerate(targets)))
         pairs = points.select(F.struct("*").alias("p"), F.explode(known).alias("q"))

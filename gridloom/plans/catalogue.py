@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import color, geo, projections, text, times, units
-from gridloom.operators import axes, catalog, cubes, points, sequences, statistics, subset
+from gridloom.operators import axes, catalog, cubes, nearest, points, sequences, statistics, subset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,6 +98,36 @@ def nearest_point(spark, sf_dir):
     return points.nearest(read_points(spark, sf_dir).select("event_id", "lat", "lon", "value"), TARGETS).select("query", "event_id", "lat", "lon", "value")
 
 
+#: Targets that grow with the customers: poles, the 180th meridian and all between.
+_MANY_SQL = """q AS (SELECT c_custkey, CAST((c_custkey * 37) % 1801 AS DOUBLE) / 10 - 90 AS t_lat, CAST((c_custkey * 101) % 3601 AS DOUBLE) / 10 - 180 AS t_lon FROM customer),
+  v AS (SELECT c_custkey, t_lat, t_lon, cos(radians(t_lat)) * cos(radians(t_lon)) AS tx, cos(radians(t_lat)) * sin(radians(t_lon)) AS ty, sin(radians(t_lat)) AS tz FROM q),
+  w AS (SELECT event_id, user_id, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM points),
+  d AS (SELECT c_custkey, event_id, user_id, lat, lon, round((tx - x) * (tx - x) + (ty - y) * (ty - y) + (tz - z) * (tz - z), 12) AS chord, round((t_lon - lon) * (t_lon - lon) / 129600 + (t_lat - lat) * (t_lat - lat) / 129600, 12) AS flat FROM v, w)"""
+
+
+def many_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lat, lon = ((F.col("c_custkey") * k % n).cast("double") / 10 - m for k, n, m in ((37, 1801, 90), (101, 3601, 180)))
+    return read(spark, sf_dir, "customer").select("c_custkey", lat.alias("lat"), lon.alias("lon"))
+
+
+@query(f"WITH {{points}}, {_MANY_SQL} SELECT c_custkey, arg_min(event_id, (chord, event_id)) AS event_id, round(2 * 6371000.0 * asin(least(sqrt(min(chord)) / 2, 1)), 0) AS metres FROM d GROUP BY c_custkey")
+def nearest_many(spark, sf_dir):
+    found = nearest.nearest_many(read_points(spark, sf_dir).select("event_id", "lat", "lon"), many_targets(spark, sf_dir), target_id="c_custkey")
+    return found.select("c_custkey", "point.event_id", F.round("distance", 0).alias("metres"))
+
+
+@query(f"WITH {{points}}, {_MANY_SQL} SELECT c_custkey, arg_min(event_id, (flat, event_id)) AS event_id, round(sqrt(min(flat)) * 360, 3) AS degrees FROM d GROUP BY c_custkey")
+def nearest_many_degrees(spark, sf_dir):
+    found = nearest.nearest_many(read_points(spark, sf_dir).select("event_id", "lat", "lon"), many_targets(spark, sf_dir), target_id="c_custkey", metric="degrees")
+    return found.select("c_custkey", "point.event_id", F.round("distance", 3).alias("degrees"))
+
+
+@query(f"WITH {{points}}, {_MANY_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY chord, user_id, event_id) AS k FROM d) SELECT c_custkey, user_id AS iy, event_id AS ix, lat AS near_lat, lon AS near_lon FROM k WHERE k = 1")
+def curvilinear_nearest_many(spark, sf_dir):
+    cells = read_points(spark, sf_dir).select(F.col("user_id").alias("iy"), F.col("event_id").alias("ix"), "lat", "lon")
+    return cubes.nearest_curvilinear_many(cells, many_targets(spark, sf_dir), "c_custkey").drop("metres")
+
+
 _HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1, pow(sin((radians(lat) - radians({0})) / 2), 2) + cos(radians(lat)) * cos(radians({0})) * pow(sin((radians(lon) - radians({1})) / 2), 2))))"
 
 
