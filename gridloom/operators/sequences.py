@@ -7,20 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def undo_differences(df: DataFrame, order: int, by: tuple[str, ...], at: str = "i", value: str = "value") -> DataFrame:
-    """Values from their first- or second-order differences along ``at`` within each group (a packed message, an image row).
+#: Numbers of a piece of a sequence.
+PIECE = 1 << 16
 
-    The first ``order`` rows hold values themselves.
+
+def undo_differences(df: DataFrame, order: int, by: tuple[str, ...], at: str = "i", value: str = "value", piece: int = PIECE) -> DataFrame:
+    """Values from their first- or second-order differences along the numbers ``at`` within each group (a packed message, an image
+    row). The first ``order`` rows hold values themselves.
+
+    A scan in two levels: running sums, and sums of these, are taken in pieces of ``piece`` numbers. A piece is (rows, sum, sum of
+    running sums); pieces before one another combine to (n + m, s + r, t + m * s + u), so that a window over a group's pieces, a
+    row each, tells every piece where it begins. No group is one task's. With D the sum of running sums of all rows up to the
+    n-th, first values included, the n-th value is D - 2 (n - 1) * first. Whole numbers stay whole (longs).
     """
-    line = W.partitionBy(*by).orderBy(at)
-    running = line.rowsBetween(W.unboundedPreceding, 0)
-    if order == 1:
-        return df.withColumn(value, F.sum(value).over(running))
-    # Of second differences, the running sum is the first differences; the second value becomes one first.
-    k = F.row_number().over(line)
-    second = F.when(k == 1, 0).when(k == 2, F.col(value) - F.lag(value).over(line)).otherwise(F.col(value))
-    first = df.withColumn("_d", second).withColumn("_d", F.sum("_d").over(running))
-    return first.withColumn(value, F.first(value).over(line) + F.sum("_d").over(running)).drop("_d")
+    whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
+    own = W.partitionBy(*by, "_piece").orderBy(at)
+    running = own.rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn(value, F.col(value).cast("long" if whole else "double")).withColumn("_piece", F.floor(F.col(at) / piece))
+    rows = rows.withColumn("_m", F.row_number().over(own).cast("long")).withColumn("_s", F.sum(value).over(running)).withColumn("_t", F.sum("_s").over(running))
+    before = W.partitionBy(*by).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long" if whole else "double")
+    pieces = rows.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_r"), F.sum("_s").alias("_u"), F.min_by(value, at).alias("_own"))
+    pieces = pieces.withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_s0", F.coalesce(F.sum("_r").over(before), zero))
+    pieces = pieces.withColumn("_t0", F.coalesce(F.sum(F.col("_u") + F.col("_n") * F.col("_s0")).over(before), zero)).withColumn("_first", F.first("_own").over(W.partitionBy(*by).orderBy("_piece")))
+    pieces = pieces.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate((*by, "_piece"))), "_n0", "_s0", "_t0", "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate((*by, "_piece"))]
+    n = F.col("_n0") + F.col("_m")
+    out = F.col("_s0") + F.col("_s") if order == 1 else F.col("_t0") + F.col("_m") * F.col("_s0") + F.col("_t") - 2 * (n - 1) * F.col("_first")
+    return rows.join(pieces, same).select(*(out.alias(c) if c == value else F.col(c) for c in df.columns))
 
 
 def evenly_chosen(n: int, count: int) -> list[int]:

@@ -667,6 +667,13 @@ def differencing_undo_2(spark, sf_dir):
     return sequences.undo_differences(e, 2, ("user_id",)).withColumn("value", F.col("value").cast("long"))
 
 
+@query("""SELECT event_id AS i, CAST(sum(event_id % 7 - 3) OVER (ORDER BY event_id) AS BIGINT) AS value FROM events""")
+def differencing_one_message(spark, sf_dir):
+    """All rows as one sequence, undone in pieces of 512."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), (F.col("event_id") % 7 - 3).alias("value"))
+    return sequences.undo_differences(e, 1, (), piece=512)
+
+
 @query("""WITH a AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS i, min(ts) AS c FROM events GROUP BY 1), d AS (SELECT c - lag(c) OVER (ORDER BY i) AS d FROM a)
   SELECT coalesce(bool_and(d > INTERVAL 0 SECOND), true) AS ascending, coalesce(bool_and(d < INTERVAL 0 SECOND), true) AS descending FROM d""")
 def axis_monotonic(spark, sf_dir):
