@@ -12,9 +12,9 @@ out the operator's shards, would be too many at this radius. A fingerprint goes
 the strongest, and its side, of ``AMONG`` random mixes of the votes, twice. By simulation a pair at 0.8 shares one but with
 probability 1.2e-7; above it both are less.
 
-What candidates reach is brought together once, and there all pairs are settled exactly: a pair at ``similarity`` shares one
-of the rarest shingles of both (prefix filter), sizes differ by no more than the similarity allows, and each pair that
-is left and not linked by others already has its sets counted.
+Among what candidates reach pairs are settled exactly, and no such group is brought together: a pair at ``similarity`` shares one
+of the rarest shingles of both (prefix filter), so that classes meet by shingle; pairs whose sizes allow the similarity, and that
+aren't in one group already, are proven by joins with their sets, in few rounds (``confirmed``).
 
 Edge cases: null and empty texts are one class; fewer than five words are one shingle; rows without an id stay; rows
 that share an id are told apart by their texts; other columns are kept; an empty table gives an empty one.
@@ -22,18 +22,17 @@ that share an id are told apart by their texts; other columns are kept; an empty
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.simhash import SEED, components, tree_edges
-from gridloom.llm.storage import cut, partitions
+from gridloom.llm.storage import cut, stage
 
 WORDS, RADIUS = 4, 80
 NAMES, AMONG = 88, 64
@@ -120,57 +119,95 @@ def candidates(hashed: DataFrame) -> DataFrame:
     return tree_edges(dealt.repartition("name", "bits").sortWithinPartitions("name", "bits", "klass"), RADIUS)
 
 
-def settle(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
-    """Of each set the least index of its group; all pairs are settled."""
-    labels = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    parts = np.split(place, np.cumsum(sizes)[:-1])
-    up = np.array([-(-int(n) * similarity.numerator // similarity.denominator) for n in sizes])  # shingles that a partner shares at least
-    index: dict[int, list[int]] = defaultdict(list)
-    for x in np.argsort(sizes, kind="stable").tolist():
-        own = parts[x]
-        rare = own[np.lexsort((own, count[own]))][: sizes[x] - up[x] + 1]
-        near = [index[i] for i in rare.tolist() if count[i] > 1]
-        found = np.unique(np.concatenate([np.array(c, np.int64) for c in near])) if any(near) else np.empty(0, np.int64)
-        found = found[sizes[found] >= up[x]]
-        while len(found := found[labels[found] != labels[x]]):
-            some, found = found[-16:], found[:-16]
-            for y in some.tolist():
-                if labels[y] != labels[x]:
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both * similarity.denominator >= similarity.numerator * (int(sizes[x] + sizes[y]) - both):
-                        low, high = sorted((labels[x], labels[y]))
-                        labels[labels == high] = low
-        for i in rare.tolist():
-            if count[i] > 1:
-                index[i].append(x)
-    return labels
+def sets_of(members: DataFrame, width: int) -> DataFrame:
+    """(root, klass, size, own) of ``members`` (root, klass, text): own is the sorted set of shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t.as_py(), width).astype(np.int64) for t in batch.column(2)]
+            ends = np.cumsum([0, *map(len, own)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*own, np.empty(0, np.int64)])))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int32()), lists], names=["root", "klass", "size", "own"])
 
-def confirmed(members: DataFrame, similarity: Fraction, width: int) -> DataFrame:
-    """(klass, least): of ``members`` (root, klass, text), where pairs may link only below one root."""
-    dealt = members.repartition(partitions(members.sparkSession), "root").sortWithinPartitions("root", "klass")
+    return members.select("root", "klass", "text").mapInArrow(run, "root long, klass long, size int, own array<long>")
 
-    def settled(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        labels = settle(sets, similarity)
-        return pa.record_batch([pa.array(names, pa.int64()), pa.array([names[k] for k in labels], pa.int64())], names=["klass", "least"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Roots come in order and whole; their texts are held only as sets."""
-        root, names, sets = None, [], []
-        for batch in batches:
-            for r, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if r != root and names:
-                    yield settled(names, sets)
-                    names, sets = [], []
-                root = r
-                names.append(k)
-                sets.append(shingles(t.as_py(), width))
-        if names:
-            yield settled(names, sets)
+def buckets(sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(root, shingle, klass, size, first, rank): the rarest shingles of each class that it may share with a partner, by rank among
+    all classes of its root that have it; first: of its shingles there the rarest. Of sets that are ``similarity`` alike some are the same."""
+    each = sets.select("root", "klass", "size", F.explode("own").alias("shingle"))
+    counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("root", "shingle"))).where("n > 1")
+    shared = counted.groupBy("root", "klass", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("shared"))
+    least = F.ceil(F.col("size") * similarity.numerator / similarity.denominator)  # shingles that a partner shares at least
+    alone = F.col("size") - F.size("shared")  # shingles that no other class has are the rarest
+    rare = shared.select("root", "klass", "size", F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("size") - least + 1 - alone, F.lit(0)).cast("int"))).alias("k", "s"))
+    order = Window.partitionBy("root", "shingle").orderBy("size", "klass")
+    return rare.select("root", F.col("s.shingle").alias("shingle"), "klass", "size", (F.col("k") == 0).alias("first")).withColumn("rank", F.row_number().over(order).cast("long"))
 
-    return dealt.mapInArrow(run, "klass long, least long")
+
+def proven(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
+    """(u, v, alike) of ``pairs`` (u, v), spread by pair."""
+    one, other = (sets.select(F.col("klass").alias(n), F.col("size").alias(f"n{n}"), F.col("own").alias(f"own{n}")) for n in "uv")
+    both = F.size(F.array_intersect("ownu", "ownv"))
+    return pairs.join(one, "u").join(other, "v").select("u", "v", (both * similarity.denominator >= (F.col("nu") + F.col("nv") - both) * similarity.numerator).alias("alike"))
+
+
+def confirmed(members: DataFrame, similarity: Fraction, width: int) -> DataFrame:
+    """(klass, least) of ``members`` (root, klass, text) that are not alone: pairs may link only below one root.
+
+    Classes with a rare shingle in common are pairs to prove, but not all at once: first each with the one before it at its rarest
+    shingle, then, where a shingle's classes are in several groups still, those at distances 1, 2 to 3, 4 to 7 and so on in its
+    order. What is proven contracts before the next round, and pairs that were refused aren't proven again. Rounds are as many as
+    the longest such row has binary digits.
+    """
+    folder = stage(sets_of(members, width), "near-sets")
+    sets, rows = folder, stage(buckets(folder, similarity), "near-buckets")
+    groups: DataFrame | None = None  # (node, root)
+    refused: DataFrame | None = None
+    open_ = rows.withColumn("group", F.col("klass"))
+    fits = F.col("size") * similarity.denominator >= F.col("size_v") * similarity.numerator
+    k = -1
+    while True:
+        if k < 1:
+            order = Window.partitionBy("root", "shingle").orderBy("rank")
+            near = open_.select("*", *(F.lag(c).over(order).alias(f"{c}_v") for c in ("klass", "group", "size")))
+            near = near.where(F.col("first") if k < 0 else F.lit(True)).where("size_v * {d} >= size * {n}".format(d=similarity.denominator, n=similarity.numerator))
+        else:
+            left = open_.withColumn("block", F.shiftright("rank", k))
+            right = open_.select("root", "shingle", *(F.col(c).alias(f"{c}_v") for c in ("klass", "group", "size", "rank")), F.explode(F.array(F.shiftright("rank", k) - 1, F.shiftright("rank", k) - 2)).alias("block"))
+            apart = F.col("rank_v") - F.col("rank")
+            near = left.join(right, ["root", "shingle", "block"]).where((apart >= 1 << k) & (apart < 2 << k) & fits)
+        pairs = near.where("group <> group_v").select(F.greatest("klass", "klass_v").alias("u"), F.least("klass", "klass_v").alias("v")).distinct()
+        if refused is not None:
+            pairs = pairs.join(refused, ["u", "v"], "left_anti")
+        judged = stage(proven(pairs, sets, similarity), "near-pairs")
+        no = judged.where("not alike").select("u", "v")
+        refused = no if refused is None else refused.unionByName(no)
+        alike = judged.where("alike")
+        if not alike.isEmpty():
+            groups = regrouped(groups, alike.select("u", "v"))
+            open_ = rows.join(groups.withColumnRenamed("node", "klass").withColumnRenamed("root", "group"), "klass", "left").withColumn("group", F.coalesce("group", "klass"))
+        k += 1
+        several = open_.groupBy("root", "shingle").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.max("rank").alias("long")).where(F.col("a") < F.col("b")).where(F.col("long") > (1 << max(k, 0)))
+        open_ = stage(open_.join(several.select("root", "shingle"), ["root", "shingle"], "left_semi"), "near-open")
+        if open_.isEmpty():
+            break
+    if groups is None:
+        return rows.where("false").select("klass", F.col("klass").alias("least"))
+    return groups.select(F.col("node").alias("klass"), F.col("root").alias("least"))
+
+
+def regrouped(groups: DataFrame | None, alike: DataFrame) -> DataFrame:
+    """(node, root) after joining the groups of pairs."""
+    if groups is None:
+        return cut(components(alike))
+    up = lambda n: groups.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    ends = alike.join(up("u"), "u", "left").join(up("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    found = cut(components(ends))
+    upper = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = groups.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = found.join(groups.select("node"), "node", "left_anti")
+    return cut(moved.unionByName(new))
 
 
 def group(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +218,7 @@ def group(df: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str =
     texts = hashed.groupBy("klass").agg(F.min("key").alias("key")).join(roots.withColumnRenamed("node", "klass"), "klass")
     sources = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     members = texts.join(sources, "key").dropDuplicates(["klass"]).select("root", "klass", "text")
-    found = cut(confirmed(members, exact, width))
+    found = confirmed(members, exact, width)
     return hashed.join(found, "klass", "left").select("doc_id", "key", F.coalesce("least", "klass").alias("component"))
 
 
