@@ -6,7 +6,9 @@ decoding of what is left, and DataFrame operators.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import threading
+import uuid
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -26,6 +28,8 @@ from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Variable, find
 
 Box = tuple[float, float, float, float]
+#: Rows of an axis up to which it is broadcast.
+MANY = 50_000
 
 
 @dataclass
@@ -102,13 +106,13 @@ class Dataset:
             for axis, c, chosen in ((v.y, "iy", y), (v.x, "ix", x)):
                 if chosen is None:
                     table = self.spark.createDataFrame(list(enumerate(map(float, axis))), f"{c} int, _{c} double")
-                    cells = cells.join(F.broadcast(table), c)
+                    cells = cells.join(F.broadcast(table) if len(axis) <= MANY else table, c)
                 places.append(F.col(f"_{c}") if chosen is None else F.lit(float(axis[chosen[0]])))
             py, px = places
             clat, clon = v.projection().inverse(px, py)
             # One row for each step of the axis, joined where the cells are.
             axis = self.spark.createDataFrame([(k, float(s)) for k, s in enumerate(v.times) if low <= k <= high], "t int, seconds double")
-            cells = cells.join(F.broadcast(axis), "t", "left")
+            cells = cells.join(F.broadcast(axis) if high - low < MANY else axis, "t", "left")
             rows = cells.select(F.lit(name).alias("variable"), "t", F.timestamp_seconds("seconds").alias("time"), clat.alias("lat"), clon.alias("lon"), "value")
             out = rows if out is None else out.unionByName(rows)
         return out
@@ -269,6 +273,41 @@ def cancellable(spark: SparkSession, tag: str):
         spark.removeTag(tag)
 
 
+@contextmanager
+def watched(spark: SparkSession, report: Callable[[int, int], bool | None], every: float = 0.2):
+    """Calls ``report(tasks done, tasks known)`` while jobs started inside run, and once at their end; if it returns False they are
+    stopped. Stages become known as they are planned, so that the second number grows; those that are skipped, as their output is
+    there, stay undone."""
+    tag, over = f"gridloom-{uuid.uuid4().hex}", threading.Event()
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    seen: dict[int, tuple[int, int]] = {}
+
+    def look() -> bool:
+        for stage in {s for job in context._jsc.sc().statusTracker().getJobIdsForTag(tag) if (info := tracker.getJobInfo(job)) for s in info.stageIds}:
+            if info := tracker.getStageInfo(stage):
+                seen[stage] = (info.numCompletedTasks, info.numTasks)
+        stop = report(sum(d for d, _ in seen.values()), sum(n for _, n in seen.values())) is False
+        if stop:
+            context.cancelJobsWithTag(tag)
+        return stop
+
+    def run() -> None:
+        while not over.wait(every):
+            if look():
+                return
+
+    thread = threading.Thread(target=run, daemon=True)
+    context.addJobTag(tag)
+    thread.start()
+    try:
+        yield
+    finally:
+        context.removeJobTag(tag)
+        over.set()
+        thread.join()
+        look()
+
+
 def grid_to_image(grid: Grid, ramp="viridis", vmin: float | None = None, vmax: float | None = None) -> bytes:
     """A raster as a PNG, transparent where there is no value."""
     return encoders.png(encoders.rgba(grid.to_array(), ramp, vmin, vmax))

@@ -489,6 +489,19 @@ def trim_raster_zarr(spark, sf_dir):
 add("trim_raster_zarr", f"WITH {_RASTER} SELECT iy, CAST(ix - 32 AS INTEGER) AS ix, value FROM px WHERE ix BETWEEN 32 AND 95", trim_raster_zarr)
 
 
+def file_costs(spark, sf_dir):
+    """What reading each chunk of the raster's store fetches: one request of its uncompressed bytes, none where it is missing."""
+    grid = event_raster(spark, sf_dir)
+    lats, lons = grid.centres()
+    out = writers.write_zarr(grid.cells, f"{scratch(spark)}/raw.zarr", {"lat": (lats, {"units": "degrees_north"}), "lon": (lons, {"units": "degrees_east"})}, ["r", "c"], [16, 32], level=0)
+    return grids.costs(grids.blocks(spark, [out])).select("y", "x", "cells", "requests", "bytes")
+
+
+add("file_costs", f"""WITH {_RASTER}, had AS (SELECT DISTINCT iy // 16 AS r, ix // 32 AS c FROM px), every AS (SELECT r, c FROM h, unnest(range(height // 16)) AS y(r), unnest(range({WIDE // 32})) AS x(c))
+  SELECT CAST(e.r * 16 AS INTEGER) AS y, CAST(e.c * 32 AS INTEGER) AS x, CAST(512 AS BIGINT) AS cells, CAST(CASE WHEN had.r IS NULL THEN 0 ELSE 1 END AS BIGINT) AS requests, CAST(CASE WHEN had.r IS NULL THEN 0 ELSE 2048 END AS BIGINT) AS bytes
+  FROM every e LEFT JOIN had ON had.r = e.r AND had.c = e.c""", file_costs)
+
+
 def overview_request(name: str, box: tuple, width: int, parts: int, sql: str):
     """A request coarser than the file, of ``width`` pixels and a ``parts``-th of the file's rows, with the number of blocks
     that it reads."""

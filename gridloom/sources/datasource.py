@@ -1,6 +1,6 @@
 """Grid files as a Spark data source: ``spark.read.format("grid").option("variable", ...).load(path)``.
 
-One input partition a block. Predicates on t, iy and ix prune blocks before anything is read, if
+An input partition is neighbouring blocks of ``grids.CELLS_PER_TASK`` cells at most, or one larger block. Predicates on t, iy and ix prune blocks before anything is read, if
 ``spark.sql.python.filterPushdown.enabled`` is on; without it the variable option still does.
 """
 
@@ -16,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from gridloom.sources import grids
 from gridloom.sources.model import Block
 
+#: Partitions of a variable at least, if it has as many blocks.
+LEAST_PARTS = 64
 #: Column to the block fields that bound it.
 SPANS = {"t": ("t", "nt"), "iy": ("y", "ny"), "ix": ("x", "nx")}
 
@@ -24,7 +26,7 @@ SPANS = {"t": ("t", "nt"), "iy": ("y", "ny"), "ix": ("x", "nx")}
 class BlockPartition(InputPartition):
     path: str
     variable: str
-    block: Block
+    blocks: list[Block]
 
 
 class GridDataSource(DataSource):
@@ -75,9 +77,17 @@ class GridReader(DataSourceReader):
         for v in reader.variables():
             if not v.supported or (self.names is not None and v.name not in self.names) or (self.chosen is not None and v.name != self.chosen):
                 continue
-            for b in reader.blocks(v):
-                if all(getattr(b, SPANS[c][0]) <= high and getattr(b, SPANS[c][0]) + getattr(b, SPANS[c][1]) > low for c, (low, high) in self.bounds.items()):
-                    out.append(BlockPartition(self.path, v.name, b))
+            held, cells = [], 0
+            inside = [b for b in reader.blocks(v) if all(getattr(b, SPANS[c][0]) <= high and getattr(b, SPANS[c][0]) + getattr(b, SPANS[c][1]) > low for c, (low, high) in self.bounds.items())]
+            most = max(1, min(grids.CELLS_PER_TASK, sum(b.nt * b.ny * b.nx for b in inside) // LEAST_PARTS))
+            for b in inside:
+                n = b.nt * b.ny * b.nx
+                if held and cells + n > most:
+                    out.append(BlockPartition(self.path, v.name, held))
+                    held, cells = [], 0
+                held, cells = [*held, b], cells + n
+            if held:
+                out.append(BlockPartition(self.path, v.name, held))
         return out
 
     def read(self, partition: BlockPartition) -> Iterator[pa.RecordBatch]:
@@ -85,7 +95,8 @@ class GridReader(DataSourceReader):
             return
         reader, variables = grids.cached(partition.path)
         v = variables[partition.variable]
-        yield from grids.cells(partition.path, v.name, partition.block, reader.read(v, partition.block))
+        for block in partition.blocks:
+            yield from grids.cells(partition.path, v.name, block, reader.read(v, block))
 
 
 def register(spark: SparkSession) -> None:

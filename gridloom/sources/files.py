@@ -11,6 +11,9 @@ import time
 import urllib.error
 import urllib.request
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from gridloom.errors import SourceError
 
@@ -23,6 +26,7 @@ class HttpFile:
     def __init__(self, url: str):
         self.url, self.whole = url, None
         status, headers, data = self._get("bytes=0-0")
+        self.version = headers.get("ETag") or headers.get("Last-Modified") or ""
         if status == 206 and re.search(r"/\d+$", headers.get("Content-Range", "")):
             self.length = int(headers["Content-Range"].rpartition("/")[2])
         else:
@@ -61,8 +65,64 @@ class HttpFile:
         return data
 
 
+@dataclass
+class Tally:
+    """Requests made and bytes fetched by this process so far."""
+
+    requests: int = 0
+    bytes: int = 0
+
+
+TALLY = Tally()
+
+
+class PageCache:
+    """Pages of far files, the least recently used gone first; ``capacity`` bytes at most in a process.
+
+    A file goes by its name, size and version (ETag or time of change), so that a new one is read anew. Missing pages that lie next to one another are one request, so that the many
+    short reads of a header, and neighbouring chunks, share theirs. A read of a quarter of the capacity or more passes by.
+    """
+
+    def __init__(self, capacity: int = 64 << 20, page: int = 1 << 16):
+        self.capacity, self.page, self.held = capacity, page, 0
+        self.pages: OrderedDict[tuple, bytes] = OrderedDict()
+
+    def read(self, key: tuple[str, int, str], offset: int, length: int, fetch: Callable[[int, int], bytes]) -> bytes:
+        """Bytes of the file ``key`` (name, size, version); ``fetch(offset, length)`` makes a request."""
+        if not length or length * 4 >= self.capacity:
+            return fetch(offset, length) if length else b""
+        first, last = offset // self.page, (offset + length - 1) // self.page
+        found = {}
+        for k in range(first, last + 1):
+            if (data := self.pages.get((key, k))) is not None:
+                self.pages.move_to_end((key, k))
+                found[k] = data
+        k = first
+        while k <= last:
+            end = k
+            while end <= last and end not in found:
+                end += 1
+            if end > k:
+                data = fetch(k * self.page, min(end * self.page, key[1]) - k * self.page)
+                for n in range(k, end):
+                    found[n] = data[(n - k) * self.page : (n - k + 1) * self.page]
+                    self._keep((key, n), found[n])
+            k = end + 1
+        data = b"".join(found[k] for k in range(first, last + 1))
+        return data[offset - first * self.page :][:length]
+
+    def _keep(self, name: tuple, data: bytes) -> None:
+        self.pages[name] = data
+        self.held += len(data)
+        while self.held > self.capacity:
+            self.held -= len(self.pages.popitem(last=False)[1])
+
+
+CACHE = PageCache()
+
+
 class ByteSource:
-    """Random access by (offset, length); what was asked for but isn't there is an error."""
+    """Random access by (offset, length); what was asked for but isn't there is an error. Far files are read through ``CACHE``."""
 
     def __init__(self, uri: str | bytes):
         self.uri = uri if isinstance(uri, str) else "<bytes>"
@@ -73,12 +133,15 @@ class ByteSource:
 
         public = re.sub(r"^file:/+", "/", uri)
         try:
+            self.version = ""
             if re.match("https?://", public):
                 self.file = HttpFile(public)
+                self.version = self.file.version
             else:
                 system, path = (fs.LocalFileSystem(), os.path.abspath(public)) if "://" not in public else fs.FileSystem.from_uri(uri)
                 self.file = system.open_input_file(path)
-            self.data, self.size = None, self.file.size()
+                self.version = str(system.get_file_info(path).mtime_ns) if "://" in public else ""
+            self.data, self.size, self.far = None, self.file.size(), "://" in public
         except (OSError, ValueError) as e:
             raise SourceError(f"can't open {uri}: {e}") from e
 
@@ -87,6 +150,11 @@ class ByteSource:
             raise SourceError(f"{self.uri}: bytes {offset} to {offset + length} of {self.size}")
         if self.data is not None:
             return self.data[offset : offset + length]
+        return CACHE.read((self.uri, self.size, self.version), offset, length, self._fetch) if self.far and CACHE.capacity else self._fetch(offset, length)
+
+    def _fetch(self, offset: int, length: int) -> bytes:
+        TALLY.requests += 1
+        TALLY.bytes += length
         return self.file.read_at(length, offset)
 
     def head(self, length: int) -> bytes:

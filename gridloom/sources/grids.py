@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.errors import UnsupportedFormatError
+from gridloom.sources import files
 from gridloom.sources.detect import detect_format
 from gridloom.sources.files import ByteSource, is_folder
 from gridloom.sources.model import Block, Reader, Variable
@@ -137,11 +138,7 @@ CELLS_PER_TASK = 1 << 25
 def decode(chosen: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cells of blocks: path, variable, t, iy, ix, value (null where missing). Blocks are dealt evenly first, to as many
     tasks as their cells need and no fewer than twice the cores."""
-    if partitions is None:
-        cells_of = F.col("nt").cast("long") * F.col("ny") * F.col("nx")
-        total = chosen.agg(F.sum(cells_of)).first()[0] or 0
-        partitions = max(chosen.sparkSession.sparkContext.defaultParallelism * 2, -(-total // CELLS_PER_TASK))
-    spread = chosen.repartition(partitions, "path", "variable", "t", "y", "x")
+    spread = _spread(chosen, partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +151,27 @@ def decode(chosen: DataFrame, partitions: int | None = None) -> DataFrame:
     return spread.mapInArrow(run, CELLS)
 
 
+def costs(chosen: DataFrame) -> DataFrame:
+    """(path, variable, t, y, x, cells, requests, bytes) of every block: what reading it fetches, counted where it is read. Tallies
+    are rows of a result, so that a task that runs twice counts once. What a worker's cache has, or a header that it holds, is free."""
+    types = dict(zip(("path", "variable", "t", "y", "x", "cells", "requests", "bytes"), (pa.string(), pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 3), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                reader, variables = cached(row["path"])
+                block = Block(*(row[k] for k in ("t", "nt", "y", "ny", "x", "nx", "token")))
+                requests, n = files.TALLY.requests, files.TALLY.bytes
+                values = reader.read(variables[row["variable"]], block)
+                out.append((row["path"], row["variable"], block.t, block.y, block.x, values.size, files.TALLY.requests - requests, files.TALLY.bytes - n))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
+
+    spread = chosen.repartition(chosen.sparkSession.sparkContext.defaultParallelism * 2, "path", "variable", "t", "y", "x")
+    return spread.mapInArrow(run, "path string, variable string, t int, y int, x int, cells long, requests long, bytes long")
+
+
 def decode_files(frame: DataFrame) -> DataFrame:
     """Cells of whole files (path): for small files, or a stream of them; each file is one task's."""
 
@@ -207,18 +225,27 @@ def chunk_index(spark: SparkSession, path: str, variable: str) -> DataFrame:
 def reduce_blocks(chosen: DataFrame, reducer, schema: str) -> DataFrame:
     """Bring your own reduction: ``reducer(variable, block, values)`` gives rows of ``schema`` for each block, and
     no cell leaves its task."""
-    import pandas as pd
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    names = [c.strip().split()[0] for c in schema.split(",")]
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for row in frame.to_dict("records"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
                 reader, variables = cached(row["path"])
                 variable = variables[row["variable"]]
                 block = Block(*(row[k] for k in ("t", "nt", "y", "ny", "x", "nx", "token")))
-                rows += list(reducer(variable, block, reader.read(variable, block)))
-            yield pd.DataFrame(rows, columns=names)
+                if rows := list(reducer(variable, block, reader.read(variable, block))):
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), wanted.types, strict=True)], names=wanted.names)
+
+    return _spread(chosen, None).mapInArrow(run, schema)
 
-    return chosen.mapInPandas(run, schema)
+
+def _spread(chosen: DataFrame, partitions: int | None) -> DataFrame:
+    """Blocks dealt evenly, to as many tasks as their cells need and no fewer than twice the cores."""
+    if partitions is None:
+        cells_of = F.col("nt").cast("long") * F.col("ny") * F.col("nx")
+        total = chosen.agg(F.sum(cells_of)).first()[0] or 0
+        partitions = max(chosen.sparkSession.sparkContext.defaultParallelism * 2, -(-total // CELLS_PER_TASK))
+    return chosen.repartition(partitions, "path", "variable", "t", "y", "x")

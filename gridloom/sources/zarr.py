@@ -15,7 +15,7 @@ from gridloom.errors import SourceError, UnsupportedFormatError
 from gridloom.functions.times import TimeUnits
 from gridloom.sources import codecs
 from gridloom.sources.cf import describe_axes
-from gridloom.sources.files import ByteSource
+from gridloom.sources.files import TALLY, ByteSource
 from gridloom.sources.model import Block, Variable
 
 #: Names of axes.
@@ -94,7 +94,9 @@ class FolderStore:
         if self.fs.get_file_info(path).type != fs.FileType.File:
             return None
         with self.fs.open_input_file(path) as f:
-            return f.read_at(f.size() - start if size is None else size, start)
+            n = f.size() - start if size is None else size
+            TALLY.requests, TALLY.bytes = TALLY.requests + 1, TALLY.bytes + n
+            return f.read_at(n, start)
 
 
 class MappingStore:
