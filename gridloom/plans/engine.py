@@ -210,7 +210,7 @@ def encode_series(rows: DataFrame, fmt: str) -> bytes:
 
 
 def write_grid(grid: Grid, fmt: str, out: str, tile: int = 256) -> str:
-    """A raster of any size written by tasks, as a ``zarr`` folder or a tiled ``geotiff`` with overviews; ``out``."""
+    """A raster of any size written by tasks, as a ``zarr`` folder, a tiled ``geotiff`` with overviews or ``netcdf3``; ``out``."""
     return writers.write_grid(grid, fmt, out, tile)
 
 

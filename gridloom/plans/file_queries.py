@@ -395,7 +395,7 @@ def read_raster(spark: SparkSession, data: bytes, fmt: str) -> DataFrame:
     return cells_of(grids.blocks(spark, [path])).select(F.col("iy").alias("r"), F.col("ix").alias("c"), "value")
 
 
-for _fmt in ("json", "csv", "parquet", "netcdf3", "netcdf4"):
+for _fmt in ("json", "csv", "parquet", "netcdf4"):
     add(f"export_grid_{_fmt}", f"{_WINDOW} SELECT r, c, value FROM w", lambda spark, sf_dir, fmt=_fmt: read_raster(spark, engine.encode_grid(raster(spark, sf_dir), fmt), fmt))
 
 
@@ -409,7 +409,7 @@ def by_tasks(fmt: str):
     return run
 
 
-for _fmt in ("zarr", "geotiff"):
+for _fmt in ("zarr", "geotiff", "netcdf3"):
     add(f"export_grid_{_fmt}", f"{_WINDOW} SELECT r, c, value FROM w", by_tasks(_fmt))
 add("export_grid_grib2", f"{_WINDOW} SELECT r, c, floor(value) AS value FROM w", lambda spark, sf_dir: read_raster(spark, engine.encode_grid(raster(spark, sf_dir, "netcdf3_records"), "grib2"), "grib2"))
 
@@ -473,7 +473,7 @@ def raster_written(fmt: str):
     return run
 
 
-for _fmt in ("zarr", "geotiff"):
+for _fmt in ("zarr", "geotiff", "netcdf3"):
     add(f"export_raster_{_fmt}", f"WITH {_RASTER} SELECT iy, ix, value FROM px", raster_written(_fmt))
 
 

@@ -1,4 +1,4 @@
-"""Rasters and cubes of any size as Zarr stores and tiled GeoTIFF files, written by tasks.
+"""Rasters and cubes of any size as Zarr stores, tiled GeoTIFF and NetCDF classic files, written by tasks.
 
 Cells are dealt by chunk or tile; a task puts one together at a time, encodes and writes it, so that it holds one, whatever the
 size of the whole. Nothing is seen under the final name before all of it is there. A cell without a row is missing; of rows for
@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
-from gridloom.sources import assembly, codecs, geotiff, grids
+from gridloom.sources import assembly, codecs, geotiff, grids, netcdf3
 from gridloom.sources.files import put
 
 
@@ -147,18 +147,18 @@ def _tiles(cells: DataFrame, shapes: list[tuple[int, int]], tile: int) -> DataFr
     return out
 
 
-def _encoded(tiles: DataFrame, folder: str, tile: int, predictor: int) -> DataFrame:
-    """(level, key, source, offset, length): tiles as they are in the file, in part files below ``folder``."""
+def _encoded(rows: DataFrame, folder: str, size: int, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(level, key, source, offset, length): tiles of ``size`` values as they are in the file, in part files below ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = f"{folder}/tiles-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
         system, path = assembly.system_of(part)
         rows, at, stream = [], 0, None
-        for (level, key), values in whole(batches, tile * tile):
+        for (level, key), values in whole(batches, size):
             if stream is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 stream = system.open_output_stream(path)
-            data = zlib.compress(codecs.apply_predictor(values.reshape(tile, tile, 1), predictor).tobytes())
+            data = encode(values)
             stream.write(data)
             rows.append((level, key, part, at, len(data)))
             at += len(data)
@@ -167,7 +167,11 @@ def _encoded(tiles: DataFrame, folder: str, tile: int, predictor: int) -> DataFr
             types = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["level", "key", "source", "offset", "length"])
 
-    return tiles.mapInArrow(run, "level int, key long, source string, offset long, length long")
+    return rows.mapInArrow(run, "level int, key long, source string, offset long, length long")
+
+
+def compressed(tile: int, predictor: int) -> Callable[[np.ndarray], bytes]:
+    return lambda values: zlib.compress(codecs.apply_predictor(values.reshape(tile, tile, 1), predictor).tobytes())
 
 
 def write_geotiff(cells: DataFrame, out: str, height: int, width: int, box: tuple[float, float, float, float], name: str = "value", tile: int = 256, overviews: bool = True, predictor: int = 3, epsg: int = 4326, big: bool | None = None) -> str:
@@ -181,7 +185,7 @@ def write_geotiff(cells: DataFrame, out: str, height: int, width: int, box: tupl
     counts = [-(-h // tile) * -(-w // tile) for h, w in shapes]
     folder = f"{out}.tiles-{uuid.uuid4().hex}"
     try:
-        spread(_tiles(cells, shapes, tile), list(shapes[0]), ["level", "key"]).transform(lambda t: _encoded(t, folder, tile, predictor)).write.parquet(f"{folder}/index")
+        _encoded(spread(_tiles(cells, shapes, tile), list(shapes[0]), ["level", "key"]), folder, tile * tile, compressed(tile, predictor)).write.parquet(f"{folder}/index")
         index = spark.read.parquet(f"{folder}/index")
         # Overviews, coarsest first, then the image; tiles row by row.
         starts = [sum(counts[k + 1 :]) for k in range(len(counts))]
@@ -220,13 +224,51 @@ def write_geotiff(cells: DataFrame, out: str, height: int, width: int, box: tupl
         assembly.remove(folder)
 
 
+# -- NetCDF classic
+
+#: Values of a stretch that a task puts together.
+STRETCH = 1 << 20
+
+
+def write_netcdf3(cells: DataFrame, out: str, axes: dict[str, tuple], columns: list[str], name: str = "value", own: dict | None = None, attrs: dict | None = None, stretch: int = STRETCH) -> str:
+    """``cells`` (``columns``, value) as a CDF-2 file of one float32 variable; ``axes`` as in ``write_zarr``.
+
+    The variable is one run of values in the order of its dimensions; stretches of it are dealt like tiles.
+    """
+    spark, shape = cells.sparkSession, [len(values) for values, _ in axes.values()]
+    arrays = {n: np.array(values, np.float64) for n, (values, _) in axes.items()}
+    described = {n: ([n], "f8", at) for n, (_, at) in axes.items()} | {name: (list(axes), "f4", (own or {}) | {"_FillValue": np.float32("nan")})}
+    plan = netcdf3.layout(dict(zip(axes, shape, strict=True)), described, attrs or {"Conventions": "CF-1.8"})
+    n, place, inside = int(np.prod(shape, dtype=np.int64)), F.lit(0).cast("long"), F.lit(True)
+    for column, size in zip(columns, shape, strict=True):
+        place = place * size + F.col(column)
+        inside &= F.col(column).between(0, size - 1)
+    rows = cells.where(inside & F.col("value").isNotNull()).select(place.alias("place"), F.col("value").cast("float").alias("value"))
+    rows = rows.select(F.lit(0).alias("level"), F.floor(F.col("place") / stretch).alias("key"), (F.col("place") % stretch).cast("int").alias("at"), "value")
+    count = -(-n // stretch)
+    marks = spark.range(count).select(F.lit(0).alias("level"), F.col("id").alias("key"), F.lit(stretch).alias("at"), F.lit(0.0).cast("float").alias("value"))  # stretches without values are written too
+    folder = f"{out}.stretches-{uuid.uuid4().hex}"
+    try:
+        _encoded(spread(rows.unionAll(marks), shape, ["level", "key"]), folder, stretch + 1, lambda values: values[:-1].astype(">f4").tobytes()).write.parquet(f"{folder}/index")
+        index = spark.read.parquet(f"{folder}/index")
+        target = F.lit(plan.begins[name]).cast("long") + F.col("key") * (4 * stretch)
+        pieces = index.select(target.alias("target"), F.least("length", F.lit(plan.begins[name] + 4 * n).cast("long") - target).alias("length"), "source", "offset", F.lit(None).cast("binary").alias("inline"))
+        heads = [(0, plan.header), *((plan.begins[k], a.astype(">f8").tobytes()) for k, a in arrays.items())]
+        return assembly.assemble(pieces.unionByName(assembly.inline(spark, heads)), plan.size, out)
+    finally:
+        assembly.remove(folder)
+
+
 def write_grid(grid, fmt: str, out: str, tile: int = 256) -> str:
-    """A ``Grid`` of any size as ``zarr`` or ``geotiff``, by tasks."""
+    """A ``Grid`` of any size as ``zarr``, ``geotiff`` or ``netcdf3``, by tasks."""
     if fmt == "geotiff":
         return write_geotiff(grid.cells.select(F.col("r").alias("iy"), F.col("c").alias("ix"), "value"), out, grid.height, grid.width, grid.box, grid.variable, tile)
+    lats, lons = grid.centres()
+    axes = {"lat": (lats, {"units": "degrees_north", "standard_name": "latitude"}), "lon": (lons, {"units": "degrees_east", "standard_name": "longitude"})}
+    if fmt == "netcdf3":
+        dated = {"time_coverage_start": grid.time.strftime("%Y-%m-%dT%H:%M:%SZ")} if grid.time else {}
+        return write_netcdf3(grid.cells.select("r", "c", "value"), out, axes, ["r", "c"], grid.variable, {"units": grid.units, "long_name": grid.variable}, {"Conventions": "CF-1.8", **dated})
     if fmt == "zarr":
-        lats, lons = grid.centres()
-        axes = {"lat": (lats, {"units": "degrees_north", "standard_name": "latitude"}), "lon": (lons, {"units": "degrees_east", "standard_name": "longitude"})}
         return write_zarr(grid.cells.select("r", "c", "value"), out, axes, ["r", "c"], [min(tile, grid.height), min(tile, grid.width)], grid.variable, {"units": grid.units, "long_name": grid.variable})
     raise ValueError(f"{fmt} isn't written by tasks")
 

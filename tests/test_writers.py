@@ -87,7 +87,22 @@ def test_zarr(spark, tmp_path):
     np.testing.assert_array_equal(got, a)
 
 
-@pytest.mark.parametrize("fmt", ["zarr", "geotiff"])
+def test_netcdf3(spark, tmp_path):
+    """The same bytes as the writer of whole arrays, in stretches that don't divide the rows."""
+    from gridloom.sources import netcdf3
+
+    a = np.stack([raster(20, 33, seed=k) for k in range(3)])
+    a[1] = np.nan
+    rows = [(int(t), int(y), int(x), float(a[t, y, x])) for t, y, x in zip(*np.nonzero(~np.isnan(a)), strict=True)]
+    cells = spark.createDataFrame([*rows, (0, 20, 0, 5.0)], "t int, iy int, ix int, value double").repartition(5)
+    axes = {"time": (np.arange(3.0), {"units": "days since 2024-01-01"}), "lat": (np.linspace(60, -60, 20), {"units": "degrees_north"}), "lon": (np.linspace(0, 320, 33), {"units": "degrees_east"})}
+    out = writers.write_netcdf3(cells, str(tmp_path / "out.nc"), axes, ["t", "iy", "ix"], "v", {"units": "K"}, {"title": "t"}, stretch=97)
+    own = {"units": "K", "_FillValue": np.float32("nan")}
+    wanted = netcdf3.write({"time": 3, "lat": 20, "lon": 33}, {n: ([n], np.array(v), at) for n, (v, at) in axes.items()} | {"v": (list(axes), a, own)}, {"title": "t"})
+    assert open(out, "rb").read() == wanted and os.listdir(tmp_path) == ["out.nc"]
+
+
+@pytest.mark.parametrize("fmt", ["zarr", "geotiff", "netcdf3"])
 def test_failed_task_leaves_nothing(spark, tmp_path, fmt):
     cells = spark.range(4000).select((F.col("id") / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c"), F.when(F.col("id") == 3999, F.raise_error(F.lit("broken"))).otherwise(F.col("id")).cast("double").alias("value"))
     grid = engine.Grid(cells.repartition(5), BOX, 100, 40)
