@@ -11,7 +11,7 @@ import numpy as np
 
 from gridloom.errors import SourceError, UnsupportedCRSError, UnsupportedFormatError
 from gridloom.functions.projections import CRS, from_epsg
-from gridloom.sources import codecs
+from gridloom.sources import codecs, jpeg
 from gridloom.sources.files import ByteSource
 from gridloom.sources.model import Block, Variable
 
@@ -20,6 +20,7 @@ FIELD = {1: "B", 2: "s", 3: "H", 4: "I", 5: "2I", 6: "b", 7: "B", 8: "h", 9: "i"
 #: Tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT, PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, GEO_DOUBLES, GEO_ASCII, GDAL_METADATA, GDAL_NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34264, 34735, 34736, 34737, 42112, 42113
+PHOTOMETRIC, JPEG_TABLES = 262, 347
 KINDS = {(1, 8): "u1", (1, 16): "u2", (2, 16): "i2", (3, 32): "f4"}
 
 
@@ -51,6 +52,10 @@ class Image:
             return np.full((h, w), self.nodata() or 0, self.dtype)
         data = self.reader.source.read(self.offsets[k], self.counts[k])
         codec = self.tags.get(COMPRESSION, [1])[0]
+        if codec == 7:
+            found = jpeg.decode(data, bytes(self.tags.get(JPEG_TABLES, [])) or None)
+            found = jpeg.to_rgb(found) if self.tags.get(PHOTOMETRIC, [1])[0] == 6 and found.shape[2] == 3 else found
+            return found[:h, :w, 0 if self.separate else band]
         if codec == 5:
             data = codecs.lzw(data)
         elif codec in (8, 32946):
@@ -60,7 +65,7 @@ class Image:
         elif codec == 50000:
             data = codecs.unzstd(data)
         elif codec != 1:
-            raise UnsupportedFormatError(f"TIFF compression {codec}")
+            raise UnsupportedFormatError("WebP in TIFF" if codec == 50001 else f"TIFF compression {codec}")
         need = stored_h * self.block_w * samples
         full = np.frombuffer(data, self.dtype, need).reshape(stored_h, self.block_w, samples)
         full = codecs.undo_predictor(full, self.tags.get(PREDICTOR, [1])[0], self.reader.order)
