@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.errors import ExtractError
 from gridloom.functions.geo import shift_lon
+from gridloom.sources.files import scratch
 
 
 def read_axis(axis: DataFrame, index: str, coordinate: str) -> list[float]:
@@ -89,28 +90,101 @@ def monotonic(axis: DataFrame, index: str, coordinate: str) -> DataFrame:
     return axis.select(step.alias("d")).agg(F.coalesce(F.bool_and(F.col("d") > 0), F.lit(True)).alias("ascending"), F.coalesce(F.bool_and(F.col("d") < 0), F.lit(True)).alias("descending"))
 
 
-def unique_coordinates(points: DataFrame, coordinate: str, tolerance: float = 1e-9) -> DataFrame:
+#: Distinct coordinates of a range.
+RANGE = 1 << 20
+
+
+def following(values: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each of the sorted values the place of the first one that is more than the tolerance above it."""
+    n = len(values)
+    at = np.searchsorted(values, values + tolerance - 4 * np.spacing(np.abs(values) + tolerance), "left")
+    at = np.maximum(at, np.arange(n) + 1)
+    while (short := (at < n) & (values[np.minimum(at, n - 1)] - values <= tolerance)).any():  # sums round, differences decide
+        at[short] += 1
+    return at
+
+
+def chains(values: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the sorted values that is the first to be kept of them: the value that follows it (place), the last one that is
+    kept then (place), and how many are. By doubling the steps."""
+    n = len(values)
+    after = following(values, tolerance)
+    to = np.where(after < n, after, np.arange(n))
+    count = (after < n).astype(np.int64)
+    while not np.array_equal(further := to[to], to):
+        count, to = count + count[to], further
+    return after, to, count + 1
+
+
+def unique_coordinates(points: DataFrame, coordinate: str, tolerance: float = 1e-9, most: int = RANGE) -> DataFrame:
     """Distinct coordinates in order with their index, those within ``tolerance`` of the last kept one dropped.
 
-    Whether a coordinate is kept depends on the one kept before, so the distinct values, one edge of a grid, pass in
-    order through one task, which holds no more than a batch of them.
+    Whether a coordinate is kept depends on the one kept before. Distinct values are dealt in ranges; each range turns every
+    value that it may keep first, those within the tolerance of its least and one more, into the last that it keeps then and
+    a count. Going through these rows, not the values, gives every range the value kept before it and its first index, and
+    the ranges are resolved at once. Rows are few where ranges are wider than the tolerance, and never more than the values.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, n = -np.inf, 0
+    spark = points.sparkSession
+    folder = scratch(spark)
+    distinct = points.where(F.col(coordinate).isNotNull() & ~F.isnan(coordinate)).select(F.col(coordinate).cast("double").alias("c")).distinct()
+    distinct.write.parquet(f"{folder}/distinct")
+    distinct = spark.read.parquet(f"{folder}/distinct")
+    parts = max(1, -(-distinct.count() // most))
+    distinct.repartitionByRange(parts, "c").withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/ranges")
+    ranges = spark.read.parquet(f"{folder}/ranges").repartition(parts, "part").sortWithinPartitions("part", "c")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Ranges, which are in order; one at a time is held."""
+        part, held = None, []
         for batch in batches:
-            values, kept, at = batch.column(0).to_numpy(), [], 0
+            values, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(own)) + 1
+            for x, y in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                if y > x:
+                    if own[x] != part and held:
+                        yield part, np.concatenate(held)
+                        held = []
+                    part = int(own[x])
+                    held.append(values[x:y])
+        if held:
+            yield part, np.concatenate(held)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in whole(batches):
+            _, to, count = chains(values, tolerance)
+            n = min(len(values), int(np.searchsorted(values, values[0] + tolerance + 4 * np.spacing(abs(values[0]) + tolerance), "right")) + 1)
+            starts = np.flatnonzero(np.append(np.diff(to[:n]) != 0, True) | np.append(np.diff(count[:n]) != 0, True))  # the last of those that end alike
+            yield pa.record_batch([pa.array([part] * len(starts), pa.int32()), pa.array(values[starts]), pa.array(values[to[starts]]), pa.array(count[starts])], names=["part", "start", "last", "n"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, part = -np.inf, 0, None
+        for batch in batches:
+            out = []
+            for own, start, end, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part and start - last > tolerance:
+                    out.append((own, last, n))
+                    last, n, part = end, n + count, own
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.int64()), strict=True)], names=["part", "last", "n"])
+
+    rows = ranges.select("c", "part").mapInArrow(summarise, "part int, start double, last double, n long")
+    begun = {r["part"]: (r["last"], r["n"]) for r in rows.repartition(1).sortWithinPartitions("part", "start").mapInArrow(compose, "part int, last double, n long").collect()}  # a row a range
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in whole(batches):
+            if part not in begun:
+                continue
+            last, n = begun[part]
+            after, kept = following(values, tolerance).tolist(), []
+            at = int(np.flatnonzero(values - last > tolerance)[0])
             while at < len(values):
-                if not (n or kept) or values[at] - last > tolerance:
-                    last = values[at]
-                    kept.append(last)
-                # The next to keep lies further on than the tolerance; what is nearer needs no look.
-                at = max(at + 1, int(np.searchsorted(values, last + tolerance - 4 * np.spacing(abs(last) + tolerance), "left")))
-            yield pa.record_batch([pa.array(range(n, n + len(kept)), pa.int32()), pa.array(kept, pa.float64())], names=["i", coordinate])
-            n += len(kept)
+                kept.append(at)
+                at = after[at]
+            for k in range(0, len(kept), 1 << 18):
+                own = kept[k : k + (1 << 18)]
+                yield pa.record_batch([pa.array(range(n + k, n + k + len(own)), pa.int32()), pa.array(values[own], pa.float64())], names=["i", coordinate])
 
-    distinct = points.where(F.col(coordinate).isNotNull() & ~F.isnan(coordinate)).select(F.col(coordinate).cast("double").alias("c")).distinct()
-    return distinct.repartition(1).sortWithinPartitions("c").mapInArrow(fold, f"i int, `{coordinate}` double")
+    return ranges.select("c", "part").mapInArrow(resolve, f"i int, `{coordinate}` double")
 
 
 def pixel_map(spark: SparkSession, names: tuple[str, str], indices: list[int | None]) -> DataFrame:

@@ -28,6 +28,20 @@ def test_unique_coordinates(spark):
         assert [(r.i, r.c) for r in axes.unique_coordinates(frame, "c", tolerance).orderBy("i").collect()] == list(enumerate(wanted))
 
 
+def test_unique_coordinates_across_ranges(spark):
+    """Chains that cross ranges, and a tolerance wider than a range."""
+    rng = random.Random(4)
+    values = sorted({round(rng.uniform(-30, 50), 2) for _ in range(1500)} | {60 + k * 0.3 for k in range(200)})
+    frame = spark.createDataFrame([(v,) for v in values], "c double").repartition(4)
+    for tolerance, most in ((0.3, 60), (1.7, 90), (25.0, 50), (0.0, 400), (1e6, 100)):
+        wanted = []
+        for v in values:
+            if not wanted or v - wanted[-1] > tolerance:
+                wanted.append(v)
+        assert [(r.i, r.c) for r in axes.unique_coordinates(frame, "c", tolerance, most).orderBy("i").collect()] == list(enumerate(wanted))
+    assert axes.unique_coordinates(frame.where("c > 1e9"), "c").count() == 0
+
+
 def test_ranked_subset(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab") if k % 7 else None, rng.randrange(5) * 86400 + rng.randrange(3), k) for k in range(300)]
