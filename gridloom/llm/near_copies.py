@@ -40,6 +40,8 @@ NAMES, AMONG = 88, 64
 STEP, TEXTS = 1 << 12, 128
 #: Weights are 61 at most, so that those of ``SMALL`` shingles are below one vote.
 SMALL, TIE = 64, 1 << 12
+#: Binary digits of distances that a round of proofs takes.
+DIGITS = 3
 _MIXES = np.random.default_rng(SEED).standard_normal((NAMES * 2 * AMONG, WORDS * 64), np.float32)
 
 
@@ -156,41 +158,41 @@ def confirmed(members: DataFrame, similarity: Fraction, width: int) -> DataFrame
     """(klass, least) of ``members`` (root, klass, text) that are not alone: pairs may link only below one root.
 
     Classes with a rare shingle in common are pairs to prove, but not all at once: first each with the one before it at its rarest
-    shingle, then, where a shingle's classes are in several groups still, those at distances 1, 2 to 3, 4 to 7 and so on in its
-    order. What is proven contracts before the next round, and pairs that were refused aren't proven again. Rounds are as many as
-    the longest such row has binary digits.
+    shingle, then at all of them, then, where a shingle's classes are in several groups still, those 2 to 15, 16 to 127 and so on
+    apart in its order. What is proven contracts before the next round, and pairs that were refused aren't proven again. Rounds are
+    two and one for each three binary digits of the longest such row.
     """
-    folder = stage(sets_of(members, width), "near-sets")
-    sets, rows = folder, stage(buckets(folder, similarity), "near-buckets")
+    sets = stage(sets_of(members, width), "near-sets")
+    rows = stage(buckets(sets, similarity), "near-buckets")
     groups: DataFrame | None = None  # (node, root)
-    refused: DataFrame | None = None
-    open_ = rows.withColumn("group", F.col("klass"))
-    fits = F.col("size") * similarity.denominator >= F.col("size_v") * similarity.numerator
-    k = -1
+    refused: list[DataFrame] = []
+    left, k = rows.withColumn("group", F.col("klass")), -1
+    fits = F.col("size_v") * similarity.denominator >= F.col("size") * similarity.numerator  # those before are no larger
     while True:
         if k < 1:
             order = Window.partitionBy("root", "shingle").orderBy("rank")
-            near = open_.select("*", *(F.lag(c).over(order).alias(f"{c}_v") for c in ("klass", "group", "size")))
-            near = near.where(F.col("first") if k < 0 else F.lit(True)).where("size_v * {d} >= size * {n}".format(d=similarity.denominator, n=similarity.numerator))
-        else:
-            left = open_.withColumn("block", F.shiftright("rank", k))
-            right = open_.select("root", "shingle", *(F.col(c).alias(f"{c}_v") for c in ("klass", "group", "size", "rank")), F.explode(F.array(F.shiftright("rank", k) - 1, F.shiftright("rank", k) - 2)).alias("block"))
-            apart = F.col("rank_v") - F.col("rank")
-            near = left.join(right, ["root", "shingle", "block"]).where((apart >= 1 << k) & (apart < 2 << k) & fits)
-        pairs = near.where("group <> group_v").select(F.greatest("klass", "klass_v").alias("u"), F.least("klass", "klass_v").alias("v")).distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["u", "v"], "left_anti")
+            near = left.select("*", *(F.lag(c).over(order).alias(f"{c}_v") for c in ("klass", "group", "size")))
+            near = near.where("first") if k < 0 else near
+        else:  # rows, and blocks of them that lie 1 to 8 blocks before
+            others = left.select("root", "shingle", *(F.col(c).alias(f"{c}_v") for c in ("klass", "group", "size", "rank")), F.shiftright("rank", k).alias("block"))
+            asked = left.withColumn("block", F.explode(F.sequence(F.greatest(F.shiftright("rank", k) - 2**DIGITS, F.lit(0)), F.greatest(F.shiftright("rank", k) - 1, F.lit(0)))))
+            apart = F.col("rank") - F.col("rank_v")
+            near = asked.join(others, ["root", "shingle", "block"]).where((apart >= 1 << k) & (apart < 1 << (k + DIGITS)))
+        pairs = near.where(fits & (F.col("group") != F.col("group_v"))).select(F.greatest("klass", "klass_v").alias("u"), F.least("klass", "klass_v").alias("v")).distinct()
+        for known in refused:
+            pairs = pairs.join(known, ["u", "v"], "left_anti")
         judged = stage(proven(pairs, sets, similarity), "near-pairs")
-        no = judged.where("not alike").select("u", "v")
-        refused = no if refused is None else refused.unionByName(no)
-        alike = judged.where("alike")
+        refused.append(judged.where("not alike").select("u", "v"))
+        alike = judged.where("alike").select("u", "v")
+        k = k + 1 if k < 1 else k + DIGITS
+        grown = left
         if not alike.isEmpty():
-            groups = regrouped(groups, alike.select("u", "v"))
-            open_ = rows.join(groups.withColumnRenamed("node", "klass").withColumnRenamed("root", "group"), "klass", "left").withColumn("group", F.coalesce("group", "klass"))
-        k += 1
-        several = open_.groupBy("root", "shingle").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.max("rank").alias("long")).where(F.col("a") < F.col("b")).where(F.col("long") > (1 << max(k, 0)))
-        open_ = stage(open_.join(several.select("root", "shingle"), ["root", "shingle"], "left_semi"), "near-open")
-        if open_.isEmpty():
+            groups = regrouped(groups, alike)
+        if groups is not None:
+            grown = grown.drop("group").join(groups.withColumnRenamed("node", "klass").withColumnRenamed("root", "group"), "klass", "left").withColumn("group", F.coalesce("group", "klass"))
+        several = grown.groupBy("root", "shingle").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.max("rank").alias("long")).where((F.col("a") < F.col("b")) & (F.col("long") > (1 << max(k, 0))))
+        left = stage(grown.join(several.select("root", "shingle"), ["root", "shingle"], "left_semi"), "near-open")
+        if left.isEmpty():
             break
     if groups is None:
         return rows.where("false").select("klass", F.col("klass").alias("least"))
