@@ -56,8 +56,8 @@ def packed_netcdf3(a: np.ndarray) -> bytes:
     return netcdf3.write(SIZES, AXES | {"v": (DIMS, raw, OWN | {"scale_factor": 0.5, "add_offset": 10.0, "_FillValue": np.int16(-999)})}, {"Conventions": "CF-1.6"})
 
 
-def grib_messages(a: np.ndarray) -> bytes:
-    return b"".join(grib2.encode(a[t], LATS, LONS, (0, 0, 0), BEGIN + 86400 * t) for t in range(DAYS))
+def grib_messages(a: np.ndarray, order: int = 0) -> bytes:
+    return b"".join(grib2.encode(a[t], LATS, LONS, (0, 0, 0), BEGIN + 86400 * t, order=order) for t in range(DAYS))
 
 
 BOX = (-180.0, -90.0, 180.0, 90.0)
@@ -71,6 +71,8 @@ FORMATS = {
     "zarr": (lambda a: zarr.write_zip(FLIPPED | {"v": (a, DIMS, OWN)}), False, FLOAT),
     "zarr_chunked": (lambda a: zarr.write_zip(FLIPPED | {"v": (a, DIMS, OWN)}, chunks={"v": [5, 4, 8]}, level=3), False, FLOAT),
     "grib2": (grib_messages, True, WHOLE),
+    "grib2_first_differences": (lambda a: grib_messages(a, 1), True, WHOLE),
+    "grib2_second_differences": (lambda a: grib_messages(a, 2), True, WHOLE),
     "refs_v1": (lambda a: references.write_refs_v1(Variable("v", (DAYS, NY, NX), LATS, LONS, [float(BEGIN + 86400 * t) for t in range(DAYS)], "K"), np.where(np.isnan(a), 9.9e37, a)), False, FLOAT),
 }
 

@@ -311,8 +311,32 @@ class Grib2Reader:
         return ordered(unpack(m, self.source), m)[None]
 
 
-def encode(values: np.ndarray, lats: list[float], lons: list[float], parameter: tuple[int, int, int] = (0, 255, 255), time: float = 0.0, bits: int = 24) -> bytes:
-    """One message on a regular grid in simple packing, NaN by bitmap; rows run from the first latitude on."""
+def bit_string(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits, filled up to whole bytes."""
+    return np.packbits((np.asarray(numbers, np.int64)[:, None] >> np.arange(width - 1, -1, -1)) & 1).tobytes() if width else b""
+
+
+def differenced(raw: np.ndarray, order: int, group: int = 32) -> tuple[bytes, bytes, int]:
+    """Whole numbers by complex packing of their differences in groups of ``group``: the end of section 5, the body of section 7,
+    and the width of the groups' references."""
+    order = min(order, len(raw) - 1)
+    changes = np.diff(raw, order)
+    low = int(changes.min())
+    stored = np.concatenate([np.zeros(order, np.int64), changes - low])
+    parts = [stored[k : k + group] for k in range(0, len(stored), group)]
+    refs = np.array([p.min() for p in parts])
+    widths = [int(p.max() - p.min()).bit_length() for p in parts]
+    wide, most = int(refs.max()).bit_length(), max(widths).bit_length()
+    values = "".join(f"{v:0{w}b}" for p, ref, w in zip(parts, refs, widths, strict=True) if w for v in (p - ref).tolist())
+    values += "0" * (-len(values) % 8)
+    magnitude = lambda v: ((abs(v) | 1 << 31) if v < 0 else v).to_bytes(4, "big")
+    body = b"".join(magnitude(int(v)) for v in [*raw[:order], low]) + bit_string(refs, wide) + bit_string(widths, most) + (int(values, 2).to_bytes(len(values) // 8, "big") if values else b"")
+    return struct.pack(">BBIIIBBIBIBBB", 1, 0, 0, 0, len(parts), 0, most, group, 1, len(parts[-1]), 0, order, 4), body, wide
+
+
+def encode(values: np.ndarray, lats: list[float], lons: list[float], parameter: tuple[int, int, int] = (0, 255, 255), time: float = 0.0, bits: int = 24, order: int = 0) -> bytes:
+    """One message on a regular grid, NaN by bitmap; rows run from the first latitude on. Simple packing, or that of first or second
+    differences (``order``)."""
     data = np.asarray(values, np.float64)
     present = np.isfinite(data)
     good = data[present]
@@ -323,7 +347,8 @@ def encode(values: np.ndarray, lats: list[float], lons: list[float], parameter:
     binary = math.ceil(math.log2(span / ((1 << bits) - 1))) if span > 0 else 0
     width = bits if span > 0 else 0
     raw = np.minimum(np.round((good - low) / 2.0**binary), (1 << bits) - 1).astype(np.int64)
-    packed = np.packbits((raw[:, None] >> np.arange(width - 1, -1, -1)) & 1).tobytes() if width else b""
+    complex_ = order if width and len(raw) > order else 0
+    more, packed, wide = differenced(raw, complex_) if complex_ else (b"", bit_string(raw, width), width)
     magnitude = lambda v, n: ((abs(int(v)) | (1 << (8 * n - 1))) if v < 0 else int(v)).to_bytes(n, "big")
     micro = lambda v: magnitude(round(v * 1e6), 4)
     at = datetime.fromtimestamp(time, UTC)
@@ -337,7 +362,7 @@ def encode(values: np.ndarray, lats: list[float], lons: list[float], parameter:
         + micro(lats[0]) + micro(lons[0]) + b"\x30" + micro(lats[-1]) + micro(lons[-1]) + struct.pack(">II", round(step(lons) * 1e6), round(step(lats) * 1e6)) + bytes([mode]),
     )
     s4 = section(4, struct.pack(">HHBBBBBHBBI", 0, 0, parameter[1], parameter[2], 2, 255, 255, 0, 0, 1, 0) + struct.pack(">BBIBBI", 1, 0, 0, 255, 255, 0xFFFFFFFF))
-    s5 = section(5, struct.pack(">IHf", good.size, 0, low) + magnitude(binary, 2) + magnitude(0, 2) + bytes([width, 0]))
+    s5 = section(5, struct.pack(">IHf", good.size, 3 if complex_ else 0, low) + magnitude(binary, 2) + magnitude(0, 2) + bytes([wide, 0]) + more)
     s6 = section(6, b"\xff") if present.all() else section(6, b"\0" + np.packbits(present.ravel()).tobytes())
     body = s1 + s3 + s4 + s5 + s6 + section(7, packed) + b"7777"
     return b"GRIB\0\0" + bytes([parameter[0], 2]) + struct.pack(">Q", len(body) + 16) + body

@@ -222,6 +222,29 @@ def test_grib_complex(order):
     assert grib2.complex_integers(data, s5, len(values), 10).tolist() == values
 
 
+@pytest.mark.parametrize("order", [1, 2])
+def test_grib_differences_round_trip(order):
+    """Smooth and rough fields, gaps, one value, two values; smaller than simple packing where the field is smooth."""
+    rng = np.random.default_rng(3)
+    y, x = np.mgrid[:40, :60]
+    lats, lons = np.linspace(60, 20, 40).tolist(), np.linspace(0, 59, 60).tolist()
+    smooth = np.round(900 + 50 * np.sin(x / 9) + 40 * np.cos(y / 7))
+    rough, holes = rng.integers(-500, 70_000, (40, 60)).astype(float), smooth.copy()
+    holes[rng.random(holes.shape) < 0.3] = np.nan
+    two = np.full((40, 60), np.nan)
+    two[3, 4], two[9, 9] = 5, 700
+    for field in (smooth, rough, holes, two, two * 0 + 4):
+        data = grib2.encode(field, lats, lons, order=order)
+        _, reader = grids.open_reader(data)
+        v = reader.variables()[0]
+        np.testing.assert_array_equal(reader.read(v, reader.blocks(v)[0])[0], field.astype("f4"))
+    noise = smooth + rng.random(smooth.shape)
+    _, reader = grids.open_reader(grib2.encode(noise, lats, lons, order=order))
+    v = reader.variables()[0]
+    np.testing.assert_allclose(reader.read(v, reader.blocks(v)[0])[0], noise, atol=1e-4)
+    assert len(grib2.encode(smooth, lats, lons, bits=12, order=order)) < len(grib2.encode(smooth, lats, lons, bits=12))
+
+
 def test_grib_bitmap_and_levels():
     data = CUBE[0].copy()
     data[1, 2] = np.nan
