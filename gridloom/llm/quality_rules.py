@@ -7,7 +7,7 @@ and becomes an ordered chain of Spark conditional expressions.
 
 Edge cases: a null or empty text has no words and all counts 0, so the base rule rejects it; labels that are null,
 or of documents that aren't there, are ignored; a document labelled both ways counts as good; without labels the
-list is empty and the base rules decide alone; repeated rows are judged alike; other columns are ignored.
+list is empty and the base rules decide alone; repeated rows are judged alike; other columns are kept, and names that would be overwritten refused.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ FIT_ROWS = 8_000
 #: Statistics that conditions may use; shares are of words or of characters in words.
 FEATURES = ("symbol_rate", "upper_rate", "bang_rate", "repeat_share", "dup_line_share", "word_length", "pipe_rate", "n_words")
 
+#: Columns that ``statistics`` and ``judge`` add, after the prefix.
+ADDED = (
+    *FEATURES, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_pipes", "base_failed", "rule", "kept",
+)
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for each row, also where ``body`` uses it inside a lambda."""
@@ -61,6 +66,8 @@ def statistics(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     The counts come out of a generator of one row, which a later filter on them can't be pushed through: each is
     computed once a text, however often it is used. One pass leaves the characters that are counted, others count in these.
     """
+    if clash := {c.lower() for c in df.columns} & {f"{prefix}{n}".lower() for n in (*ADDED, *(f"_quality_{k}" for k in "wlmn"))}:
+        raise ValueError(f"columns {sorted(clash)} would be overwritten: choose another prefix, or carry the rest of a row as a struct")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     marks = F.regexp_replace(text, r"[^\x20\x09-\x0D#*$%&|<>!\p{Lu}]+", "")
