@@ -18,7 +18,7 @@ UNIT_SECONDS = {
 }
 #: Calendars and their names.
 CALENDARS = {"": "standard", "standard": "standard", "gregorian": "standard", "proleptic_gregorian": "standard", "noleap": "noleap", "365_day": "noleap", "365": "noleap", "360_day": "360_day", "360": "360_day"}
-#: Days before each month of a year without a leap day.
+#: Days before each month of a year without a leap day.
 MONTH_STARTS = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
 
 _UNITS = re.compile(
@@ -71,14 +71,17 @@ def decode_timestamp(value: Column, units: str) -> Column:
 
 
 def decode_iso(value: Column, units: str, calendar: str | None = "standard") -> Column:
-    """ISO-8601 text of a time value, whole seconds. In the other calendars the day may be one that doesn't exist."""
+    """ISO-8601 text of a time value, to the nearest millisecond, without trailing zeros. In the other calendars the day may be one
+    that doesn't exist."""
     kind = calendar_of(calendar)
     if kind == "standard":
-        return iso(F.timestamp_seconds(F.floor(decode_seconds(value, units))))
+        milli = F.round(decode_seconds(value, units) * 1000).cast("long")
+        return F.concat(F.date_format(F.timestamp_seconds(F.floor(milli / 1000)), "yyyy-MM-dd'T'HH:mm:ss"), _fraction(milli))
     u = TimeUnits.parse(units)
     length = 365 if kind == "noleap" else 360
     before = MONTH_STARTS[u.month - 1] if kind == "noleap" else (u.month - 1) * 30
-    total = F.floor(value.cast("double") * u.scale + ((before + u.day - 1) * 86400 + u.seconds)).cast("long")
+    milli = F.round((value.cast("double") * u.scale + ((before + u.day - 1) * 86400 + u.seconds)) * 1000).cast("long")
+    total = F.floor(milli / 1000).cast("long")
     days, clock = F.floor(total / 86400).cast("long"), F.pmod(total, F.lit(86400))
     year, of_year = F.floor(days / length).cast("long") + u.year, F.pmod(days, F.lit(length))
     if kind == "noleap":
@@ -87,7 +90,12 @@ def decode_iso(value: Column, units: str, calendar: str | None = "standard") ->
     else:
         month, day = F.floor(of_year / 30) + 1, of_year % 30 + 1
     parts = (year, month, day, F.floor(clock / 3600), F.floor(clock % 3600 / 60), clock % 60)
-    return F.format_string("%d-%02d-%02dT%02d:%02d:%02dZ", *(p.cast("long") for p in parts))
+    return F.concat(F.format_string("%d-%02d-%02dT%02d:%02d:%02d", *(p.cast("long") for p in parts)), _fraction(milli))
+
+
+def _fraction(milli: Column) -> Column:
+    part = F.pmod(milli, F.lit(1000))
+    return F.when(part == 0, "Z").otherwise(F.concat(F.lit("."), F.rtrim(F.lpad(part.cast("string"), 3, "0"), F.lit("0")), F.lit("Z")))
 
 
 def iso(ts: Column) -> Column:

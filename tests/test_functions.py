@@ -170,3 +170,11 @@ def test_entry_without_training_operators():
     code = "import sys, importlib.util as u; real = u.find_spec; u.find_spec = lambda n, *a: None if n == 'gridloom.llm' else real(n, *a); import __spark_entry__ as e; assert len(e.queries()) == len(e.oracle_sql()) > 80; assert not any('llm' in m for m in sys.modules)"
     root = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_fractions_of_seconds(spark):
+    frame = spark.createDataFrame([(0.0,), (0.5,), (1.25,), (59.9996,), (2.001,), (-0.25,)], "v double")
+    for calendar in ("standard", "noleap", "360_day"):
+        got = [r[0] for r in frame.select(times.decode_iso(F.col("v"), "seconds since 2001-01-01 00:00:00", calendar)).collect()]
+        last = {"standard": "2000-12-31", "noleap": "2000-12-31", "360_day": "2000-12-30"}[calendar]
+        assert got == ["2001-01-01T00:00:00Z", "2001-01-01T00:00:00.5Z", "2001-01-01T00:00:01.25Z", "2001-01-01T00:01:00Z", "2001-01-01T00:00:02.001Z", f"{last}T23:59:59.75Z"]
