@@ -2,21 +2,20 @@
 
 Documents become pieces of at most ``capacity`` ids; only longer documents are cut, from their end, so that the
 first piece may be shorter. Pieces over half the capacity open a sequence each. All others are placed in
-bulk-synchronous rounds over one table of pieces without a place and gaps of open sequences:
-
-* The table is ordered by size, pieces before gaps of the same size. A sweep upwards lets every gap take the largest
-  piece below it that no smaller gap has taken, as brackets close. Nothing is swept in one task: with ``rank`` (the place
-  among rows of the same kind and size) and the counts of sizes, each row's depth of nesting follows, and a piece and
-  the gap behind it at one depth belong together. Conflicts are thus settled by rank, and each gap takes one piece a round.
-* Gaps shrink by what they took. Those too small for the smallest piece left are retired.
-* Once all pieces left are at most ``capacity / 16``, or a twentieth of the first ones, every second sweep is one over
-  running sums instead: pieces and gaps lie end to end in order of size, and a piece goes to the gap that it wholly
-  lies in, so that a gap takes many.
-* When no gap has room, as many sequences open as the pieces left need at least, and it goes on.
-
-Rounds follow from the pieces that a sequence holds, not from their number. Ranks come from a two-level count (salted
-groups, then sums of group counts), a depth has at most two rows of a size, and tables of sizes have at most
-``capacity`` rows, so no length is one task's; only such sizes and sums of them come to the driver.
+bulk-synchronous rounds over pieces without a place and gaps of open sequences:
+
+* Both are in order of size, and rows of one size in order of rank: pieces are ranked once, in two levels (salted
+  groups, then sums of group counts), so that no size is one task's. A sweep upwards lets every gap take the largest
+  piece below it that no smaller gap has taken, as brackets close. Rows of one size differ in rank alone, so a sweep is
+  settled for runs of ranks: gaps of a room, from one rank to another, take pieces of a size, from one rank to another.
+* Gaps are a table. Its tasks find the run of each gap by room and rank, which gives the piece it takes, its new room and
+  its rank among gaps of that room: conflicts are settled by rank, each gap takes one piece a round, nothing is shuffled.
+* One pass over the table carries its gaps through as many rounds as ``RUNS`` runs allow; the counts of rooms for the
+  next pass come from the table. When no gap has room, as many sequences open as the pieces left need at least, and it
+  goes on; gaps from before are at an end, since the smallest piece left only grows.
+* At last pieces meet their places by size and rank, in a join.
+
+Runs and counts have at most two rows of a size, whatever the number of documents; only they come to the driver.
 
 Edge cases: a null or empty text is a document of its end id alone; repeated rows are separate documents; null ids
 pack like others; ties in length go by salt, id and contents; an empty table gives no pieces; other columns are ignored.
@@ -26,16 +25,17 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut, even, range_of
+from gridloom.llm.storage import cut, even
 from gridloom.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -119,7 +119,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
-#: Rows of the rounds' table for each task.
+#: Rows of a table of pieces or gaps for each task.
 TASK_ROWS = 100_000
 
 
@@ -139,57 +139,79 @@ def ranked(rows: DataFrame, tasks: int) -> DataFrame:
 
 #: Rows of the rounds' table: pieces without a place (their key and length), gaps (their sequence and room), and places.
 PIECE, GAP, PLACE = 0, 1, 2
-STATE = ("kind", "id", "size", "sequence", "offset")
+#: Runs of ranks that one pass over the gaps takes along, 40 bytes each.
+RUNS = 200_000
+CARRIED = "kind int, sequence long, size int, rank long, offset long"
+#: A room and a rank as one number.
+RANKS = 1 << 48
+
+#: Of a round, by ascending (room, rank): room * RANKS + first rank, size taken (0: none), rank of the first piece taken,
+#: room afterwards, rank of the first gap among those of that room.
+Round = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def matches(pieces: dict[int, int], rooms: dict[int, int]) -> tuple[Round, dict[int, int], dict[int, int]]:
+    """One sweep over counts by size: its runs, and the counts of pieces and rooms afterwards. Pieces go from the highest rank."""
+    left, after, runs = dict(pieces), defaultdict(int), []
+    stack: list[int] = []
+    for size in sorted(pieces.keys() | rooms.keys()):
+        if left.get(size):
+            stack.append(size)
+        at, n = 0, rooms.get(size, 0)
+        while at < n:
+            taken = stack[-1] if stack else 0
+            k = min(n - at, left[taken]) if taken else n - at
+            if taken:
+                left[taken] -= k
+                if not left[taken]:
+                    stack.pop()
+            runs.append((size * RANKS + at, taken, left.get(taken, 0), size - taken, after[size - taken]))
+            after[size - taken] += k
+            at += k
+    columns = np.array(runs, np.int64).reshape(-1, 5).T
+    return tuple(columns), {size: n for size, n in left.items() if n}, dict(after)
+
+
+def carry(gaps: DataFrame, rounds: list[Round], capacity: int) -> DataFrame:
+    """``CARRIED`` rows of ``gaps`` (sequence, room, rank) after ``rounds``: places with size and rank of the piece, and the gaps."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, room, rank = (np.asarray(c).astype(np.int64) for c in batch.columns)
+            parts = []
+            for starts, taken, first, becomes, base in rounds:
+                key = room * RANKS + rank
+                found = np.searchsorted(starts, key, side="right") - 1
+                within, took = key - starts[found], taken[found]
+                on = took > 0
+                parts.append((np.full(on.sum(), PLACE), sequence[on], took[on], (first[found] + within)[on], capacity - room[on]))
+                room, rank = becomes[found], base[found] + within
+            parts.append((np.full(len(room), GAP), sequence, room, rank, capacity - room))
+            columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "sequence", "size", "rank", "offset"])
 
-def state_row(kind: int, id_of: Column, size: Column, sequence: Column | None = None, offset: Column | None = None) -> Column:
-    values = (F.lit(kind), id_of.cast("long"), size.cast("int"), (sequence if sequence is not None else F.lit(None)).cast("long"), (offset if offset is not None else F.lit(None)).cast("long"))
-    return F.struct(*(v.alias(n) for v, n in zip(values, STATE, strict=True)))
+    return gaps.select("sequence", "room", "rank").mapInArrow(run, CARRIED)
+
+
+def sizes(rows: DataFrame, size: str) -> dict[int, int]:
+    """How many rows have each size: at most ``capacity`` numbers."""
+    return {r[0]: r[1] for r in rows.groupBy(size).agg(F.count(F.lit(1))).collect()}
 
 
 def sweep(rows: DataFrame, capacity: int, tasks: int = 1) -> DataFrame:
-    """One round of successor sweeps over pieces and gaps, by ``tasks`` tasks a stage: what its rows need, since
-    shuffles of more would leave more files than rows."""
-    counts = rows.groupBy("size").agg(F.count(F.when(F.col("kind") == PIECE, 1)).alias("pieces"), F.count(F.when(F.col("kind") == GAP, 1)).alias("gaps")).coalesce(1)
-    upwards = W.orderBy("size").rowsBetween(W.unboundedPreceding, 0)  # over at most ``capacity`` rows
-    counts = counts.withColumn("sum", F.sum(F.col("pieces") - F.col("gaps")).over(upwards)).withColumn("least", F.min("sum").over(upwards))
-    counts = counts.withColumn("depth", F.col("sum") - F.least(F.lit(0), "least"))  # of brackets still open behind a size
-    counts = counts.select("size", "pieces", F.lag("depth", 1, 0).over(W.orderBy("size")).alias("below"))
-    deep = ranked(rows, tasks).join(F.broadcast(counts), "size").withColumn(
-        "depth", F.when(F.col("kind") == PIECE, F.col("below") + F.col("rank") + 1).otherwise(F.col("below") + F.col("pieces") - F.col("rank"))
-    ).coalesce(tasks)
-    # At each depth pieces and gaps take turns; gaps at no depth find nothing, and each is a group of its own.
-    alone = F.when(F.col("depth") < 1, F.col("id"))
-    turns = W.partitionBy(F.greatest("depth", F.lit(0)), alone).orderBy("size", "kind")
-    met = deep.select("kind", "id", "size", F.lead("id").over(turns).isNotNull().alias("goes"), F.lag("id").over(turns).alias("got"), F.lag("size").over(turns).alias("took"))
-    size, taken = F.col("size"), F.col("got").isNotNull()
-    after = F.array(state_row(GAP, F.col("id"), size - F.col("took")), state_row(PLACE, F.col("got"), F.col("took"), F.col("id"), capacity - size))
-    return met.where((F.col("kind") == GAP) | ~F.col("goes")).select(
-        F.explode(F.when(F.col("kind") == PIECE, F.array(state_row(PIECE, F.col("id"), size))).when(taken, after).otherwise(F.array(state_row(GAP, F.col("id"), size)))).alias("s")
-    ).select("s.*").coalesce(tasks)
-
-
-def fill(rows: DataFrame, capacity: int, longest: int, tasks: int = 1) -> DataFrame:
-    """One round of sweeps over running sums, for gaps of room for the ``longest`` piece."""
-    rows = rows.where((F.col("kind") == PIECE) | (F.col("size") >= longest))
-    counts = {kind: sorted((r["size"], r["n"]) for r in rows.where(F.col("kind") == kind).groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()) for kind in (PIECE, GAP)}
-    bases = {kind: np.cumsum([0] + [size * n for size, n in own]).tolist() for kind, own in counts.items()}  # where each size begins
-    order = ranked(rows, tasks).coalesce(tasks)
-    starts = F.create_map(*[F.lit(x).cast("long") for (size, _), base in zip(counts[PIECE], bases[PIECE], strict=False) for x in (size, base)])
-    at = (F.element_at(starts, F.col("size").cast("long")) + F.col("rank") * F.col("size")).alias("at")
-    pieces = order.where(F.col("kind") == PIECE).select("id", "size", at).withColumn("class", range_of(F.col("at"), bases[GAP]))
-    rooms = F.array(*[F.lit(size) for size, _ in counts[GAP]]).cast("array<int>")
-    base = F.array(*map(F.lit, bases[GAP])).cast("array<long>")
-    pieces = pieces.withColumn("room", F.get(rooms, F.col("class") - 1)).withColumn("into", F.col("at") - F.get(base, F.col("class") - 1))
-    pieces = pieces.withColumn("nth", F.floor(F.col("into") / F.col("room"))).withColumn("fits", F.coalesce(F.col("into") % F.col("room") + F.col("size") <= F.col("room"), F.lit(False)))
-    gaps = order.where(F.col("kind") == GAP).select(F.col("id").alias("sequence"), F.col("size").alias("room"), F.col("rank").alias("nth"))
-    found = pieces.where("fits").select("id", "size", "at", "room", "nth").join(gaps, ["room", "nth"]).coalesce(tasks)
-    behind = F.sum("size").over(W.partitionBy("sequence").orderBy("at"))  # at most ``capacity`` rows
-    placed = found.select(state_row(PLACE, F.col("id"), F.col("size"), F.col("sequence"), capacity - F.col("room") + behind - F.col("size")).alias("s"))
-    left = gaps.join(found.groupBy("sequence").agg(F.sum("size").alias("took")).coalesce(tasks), "sequence", "left")
-    return placed.unionAll(pieces.where("not fits").select(state_row(PIECE, F.col("id"), F.col("size")))).unionAll(
-        left.select(state_row(GAP, F.col("sequence"), F.col("room") - F.coalesce("took", F.lit(0))))
-    ).select("s.*").coalesce(tasks)
+    """One round over ``rows`` (kind, id, size) of pieces and gaps: (kind, id, size, sequence, offset), where places have
+    the id of their piece, and gaps and pieces are what is left."""
+    order = ranked(rows, tasks)
+    pieces, gaps = order.where(F.col("kind") == PIECE), order.where(F.col("kind") == GAP)
+    own, left, _ = matches(sizes(pieces, "size"), sizes(gaps, "size"))
+    carried = carry(gaps.withColumnsRenamed({"id": "sequence", "size": "room"}), [own], capacity)
+    placed = pieces.select("id", "size", "rank").join(carried.where(F.col("kind") == PLACE), ["size", "rank"], "left")
+    kind = F.when(F.col("sequence").isNull(), PIECE).otherwise(PLACE)
+    nothing = F.lit(None).cast("long")
+    return placed.select(kind.alias("kind"), "id", "size", "sequence", "offset").unionAll(
+        carried.where(F.col("kind") == GAP).select("kind", F.col("sequence").alias("id"), "size", nothing, nothing)
+    )
 
 
 def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -197,31 +219,31 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     spark = pieces.sparkSession
     columns = pieces.columns
     pieces = cut(even(pieces)).withColumn("_key", F.monotonically_increasing_id())  # rows stay as they were cut
-    key, length = F.col("_key"), F.col("length")
-    opens = length * 2 > capacity
-    begun = pieces.select(F.explode(F.when(opens, F.array(state_row(PLACE, key, length, key, F.lit(0)), state_row(GAP, key, capacity - length))).otherwise(F.array(state_row(PIECE, key, length)))).alias("s"))
-    state = begun.select("s.*")
-    placed = [state.where(F.col("kind") == PLACE)]
-    made, filled, first = 0, False, None
-    while True:
-        open_pieces, gaps = state.where(F.col("kind") == PIECE), state.where(F.col("kind") == GAP)
-        size, room = F.when(F.col("kind") == PIECE, F.col("size")), F.when(F.col("kind") == GAP, F.col("size"))
-        left = state.agg(F.count(size).alias("n"), F.count(room).alias("gaps"), F.min(size).alias("least"), F.max(size).alias("most"), F.sum(size).alias("total"), F.max(room).alias("room")).first()
-        first = first or left
-        if not left.n:
-            break
-        widest, n_gaps = left.room or 0, left.gaps
-        if widest < left.least:
-            n_gaps, widest = -(-left.total // capacity), capacity
-            gaps = spark.range(n_gaps, numPartitions=1 + n_gaps // TASK_ROWS).select(state_row(GAP, -F.col("id") - 1 - made, F.lit(capacity)).alias("s")).select("s.*")
-            made += n_gaps
-        tasks = 1 + (left.n + n_gaps) // TASK_ROWS
-        rows = open_pieces.unionAll(gaps.where(F.col("size") >= left.least)).select("kind", "id", "size").coalesce(tasks)
-        few = left.most * 16 <= capacity or left.n * 20 <= first.n
-        filled = not filled and few and widest >= left.most
-        state = cut(fill(rows, capacity, left.most, tasks) if filled else sweep(rows, capacity, tasks))
-        placed.append(state.where(F.col("kind") == PLACE))
-    places = reduce(DataFrame.unionAll, placed).select(F.col("id").alias("_key"), F.col("sequence").alias("sequence_id"), "offset").coalesce(1 + (first.n + first.gaps) // TASK_ROWS)
+    keys = pieces.select(F.lit(PIECE).alias("kind"), F.col("_key").alias("id"), F.col("length").cast("int").alias("size"))
+    tasks = 1 + keys.count() // TASK_ROWS
+    order = cut(ranked(keys, tasks).select(F.col("id").alias("_key"), "size", "rank"))
+    left = sizes(order, "size")
+    alone = order.where(F.col("size") * 2 > capacity)
+    gaps = alone.select(F.col("_key").alias("sequence"), (capacity - F.col("size")).alias("room"), "rank")  # of a room as of a size
+    rooms = {capacity - size: left.pop(size) for size in list(left) if size * 2 > capacity}
+    placed = [alone.select("size", "rank", F.col("_key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    made = 0
+    while left:
+        if max(rooms, default=0) < min(left):
+            n = -(-sum(size * n for size, n in left.items()) // capacity)
+            gaps = spark.range(n, numPartitions=1 + n // TASK_ROWS).select((-F.col("id") - 1 - made).alias("sequence"), F.lit(capacity).alias("room"), F.col("id").alias("rank"))
+            made, rooms = made + n, {capacity: n}
+        least = min(left)
+        gaps, rooms = gaps.where(F.col("room") >= least), {room: n for room, n in rooms.items() if room >= least}
+        rounds: list[Round] = []
+        while left and max(rooms) >= min(left) and sum(len(r[0]) for r in rounds) < RUNS:
+            own, left, rooms = matches(left, rooms)
+            rounds.append(own)
+        state = cut(carry(gaps, rounds, capacity))
+        placed.append(state.where(F.col("kind") == PLACE).select("size", "rank", F.col("sequence").alias("sequence_id"), "offset"))
+        gaps = state.where(F.col("kind") == GAP).select("sequence", F.col("size").alias("room"), "rank")
+        rooms = sizes(gaps, "room")
+    places = order.join(reduce(DataFrame.unionAll, placed), ["size", "rank"]).select("_key", "sequence_id", "offset")
     return pieces.join(places, "_key").select(*columns, "sequence_id", "offset")
 
 
