@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm.storage import cut, even
+from gridloom.llm.storage import cut, even, partitions
 from gridloom.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -220,8 +220,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     columns = pieces.columns
     pieces = cut(even(pieces)).withColumn("_key", F.monotonically_increasing_id())  # rows stay as they were cut
     keys = pieces.select(F.lit(PIECE).alias("kind"), F.col("_key").alias("id"), F.col("length").cast("int").alias("size"))
-    tasks = 1 + keys.count() // TASK_ROWS
-    order = cut(ranked(keys, tasks).select(F.col("id").alias("_key"), "size", "rank"))
+    salts = max(partitions(spark), 1 + keys.count() // TASK_ROWS)
+    order = cut(ranked(keys, salts).select(F.col("id").alias("_key"), "size", "rank"))
     left = sizes(order, "size")
     alone = order.where(F.col("size") * 2 > capacity)
     gaps = alone.select(F.col("_key").alias("sequence"), (capacity - F.col("size")).alias("room"), "rank")  # of a room as of a size
