@@ -22,7 +22,6 @@ that share an id are told apart by their texts; other columns are kept; an empty
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -39,6 +38,8 @@ WORDS, RADIUS = 4, 80
 NAMES, AMONG = 88, 64
 #: Shingles whose votes are counted together, and texts whose shards are named together: bound a task's memory.
 STEP, TEXTS = 1 << 12, 128
+#: Shingles of other sets that one set is compared with at a time.
+CELLS = 1 << 20
 #: Weights are 61 at most, so that those of ``SMALL`` shingles are below one vote.
 SMALL, TIE = 64, 1 << 12
 _MIXES = np.random.default_rng(SEED).standard_normal((NAMES * 2 * AMONG, WORDS * 64), np.float32)
@@ -121,30 +122,43 @@ def candidates(hashed: DataFrame) -> DataFrame:
 
 
 def settle(sets: list[np.ndarray], similarity: Fraction) -> np.ndarray:
-    """Of each set the least index of its group; all pairs are settled."""
+    """Of each set the least index of its group; all pairs are settled. Sets go by size; what shares a rare shingle with one
+    and is not in its group yet is counted, ``CELLS`` shingles at a time."""
     labels = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
     _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     parts = np.split(place, np.cumsum(sizes)[:-1])
     up = np.array([-(-int(n) * similarity.numerator // similarity.denominator) for n in sizes])  # shingles that a partner shares at least
-    index: dict[int, list[int]] = defaultdict(list)
-    for x in np.argsort(sizes, kind="stable").tolist():
+    order = np.argsort(sizes, kind="stable")
+    rare = []
+    for x in order.tolist():
         own = parts[x]
-        rare = own[np.lexsort((own, count[own]))][: sizes[x] - up[x] + 1]
-        near = [index[i] for i in rare.tolist() if count[i] > 1]
-        found = np.unique(np.concatenate([np.array(c, np.int64) for c in near])) if any(near) else np.empty(0, np.int64)
+        few = own[np.lexsort((own, count[own]))][: sizes[x] - up[x] + 1]
+        rare.append(few[count[few] > 1])
+    keys = np.concatenate(rare)
+    holders = np.repeat(np.arange(len(sets)), [len(r) for r in rare])[np.argsort(keys, kind="stable")]  # of each rare shingle, by size
+    begin = np.searchsorted(np.sort(keys), np.arange(len(count)))
+    earlier = np.zeros(len(count), np.int64)
+    own, near = np.zeros(len(count), np.int32), np.zeros(len(sets), bool)
+    for at, x in enumerate(order.tolist()):
+        few = rare[at]
+        for b, n in zip(begin[few].tolist(), earlier[few].tolist(), strict=True):
+            near[holders[b : b + n]] = True
+        earlier[few] += 1
+        found = order[np.flatnonzero(near)]
+        near[:] = False
         found = found[sizes[found] >= up[x]]
+        own[parts[x]] = 1
+        step = 16
         while len(found := found[labels[found] != labels[x]]):
-            some, found = found[-16:], found[:-16]
-            for y in some.tolist():
+            some, found = found[-step:], found[:-step]
+            both = np.add.reduceat(own[np.concatenate([parts[y] for y in some.tolist()])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for y in some[both * similarity.denominator >= similarity.numerator * (sizes[x] + sizes[some] - both)].tolist():
                 if labels[y] != labels[x]:
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both * similarity.denominator >= similarity.numerator * (int(sizes[x] + sizes[y]) - both):
-                        low, high = sorted((labels[x], labels[y]))
-                        labels[labels == high] = low
-        for i in rare.tolist():
-            if count[i] > 1:
-                index[i].append(x)
+                    low, high = sorted((labels[x], labels[y]))
+                    labels[labels == high] = low
+            step = max(1, min(2 * step, CELLS // int(sizes[x])))
+        own[parts[x]] = 0
     return labels
 
 
