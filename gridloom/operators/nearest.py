@@ -3,8 +3,9 @@
 Positions lie in a cube (the unit sphere inside it, or degrees as a plane), which is cut into cells, each cell of more than ``LEAF``
 positions into smaller ones again. A cell knows how many positions it has and one of them. Targets go down the tree level by level,
 joined by the cell that they look into: of the cells below, those are left whose nearest corner is no farther than the best
-position known. What is left at the end, a few leaves, is joined with their positions. On the sphere there is no edge, so that
-poles and the 180th meridian are places like others.
+position known. Of the few leaves left at the end, the one with that position is searched first; leaves and positions farther than
+what it holds are dropped before any row is sorted, so that a target meets a few positions, not ``LEAF`` of each leaf. On the sphere
+there is no edge, so that poles and the 180th meridian are places like others.
 
 No row meets every other: a level's join brings at most ``4 ** (2 * STEP)`` cells to a pair of target and cell, and bounds keep the
 pairs of a target few. Positions that are equal are one before anything else. Each level is written to the shared folder, so that a
@@ -70,6 +71,11 @@ def to_box(level: int, number: Column, at: list[Column]) -> Column:
     return out
 
 
+def within(distance: Column, reach: Column) -> Column:
+    """Whether a squared distance may agree with ``reach`` when both are rounded."""
+    return distance <= reach * (1 + 1e-9) + 2 * 10.0**-DECIMALS
+
+
 def tree(positions: DataFrame, folder: str) -> list[tuple[int, DataFrame]]:
     """(level, cells) from the coarsest on: parent, cell, leaf, and one position (x, y, z); on each level only below cells that are
     no leaves."""
@@ -108,19 +114,25 @@ def nearest_many(points: DataFrame, targets: DataFrame, id_col: str = "event_id"
 
     at, best = [F.col(n) for n in ("tx", "ty", "tz")], Window.partitionBy("target")
     asked = targets.where(there).select(F.col(target_id).alias("target"), *(c.alias(f"t{n}") for c, n in zip(place(lat, lon), "xyz", strict=True)))
-    held = asked.select("*", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("level"), F.lit(False).alias("leaf"), F.lit(float("inf")).alias("reach"), F.lit(0.0).alias("near"))
+    held = asked.select("*", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("level"), F.lit(False).alias("leaf"), F.lit(float("inf")).alias("reach"), F.lit(0.0).alias("near"), F.lit(0.0).alias("own"))
     for level, cells in levels:
-        below = held.where("not leaf").withColumnRenamed("cell", "parent").drop("leaf", "level", "near").join(cells, "parent")
-        below = below.select("target", "tx", "ty", "tz", "cell", F.lit(level).alias("level"), "leaf", F.least("reach", squared(at, [F.col(f"some.{n}") for n in "xyz"])).alias("reach"), to_box(level, F.col("cell"), at).alias("near"))
+        below = held.where("not leaf").withColumnRenamed("cell", "parent").drop("leaf", "level", "near", "own").join(cells, "parent")
+        own = squared(at, [F.col(f"some.{n}") for n in "xyz"])
+        below = below.select("target", "tx", "ty", "tz", "cell", F.lit(level).alias("level"), "leaf", F.least("reach", own).alias("reach"), to_box(level, F.col("cell"), at).alias("near"), own.alias("own"))
         every = below.unionByName(held.where("leaf")).withColumn("reach", F.min("reach").over(best))
-        every.where(F.col("near") <= F.col("reach") * (1 + 1e-9) + 2 * 10.0**-DECIMALS).write.parquet(f"{folder}/held-{level}")
+        every.where(within(F.col("near"), F.col("reach"))).write.parquet(f"{folder}/held-{level}")
         held = spark.read.parquet(f"{folder}/held-{level}")
         if held.where("not leaf").isEmpty():
             break
     used = [level for level, _ in levels]
     keyed = known.select("x", "y", "z", "point", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), cell(k)) for k in used))).alias("key")).select("x", "y", "z", "point", "key.*")
-    pairs = held.select("target", "tx", "ty", "tz", "level", "cell").join(keyed, ["level", "cell"])
-    d = F.round(squared(at, [F.col(n) for n in "xyz"]), DECIMALS)
+    here = squared(at, [F.col(n) for n in "xyz"])
+    first = held.where("own <= reach").select("target", "tx", "ty", "tz", "level", "cell").join(keyed.drop("point"), ["level", "cell"])
+    first.groupBy(F.col("target").alias("whose")).agg(F.min(here).alias("bound")).write.parquet(f"{folder}/bounds")
+    bounds = spark.read.parquet(f"{folder}/bounds")
+    near = held.select("target", "tx", "ty", "tz", "level", "cell", "near").join(bounds, F.col("target").eqNullSafe(F.col("whose"))).where(within(F.col("near"), F.col("bound")))
+    pairs = near.drop("near", "whose").join(keyed, ["level", "cell"]).where(within(here, F.col("bound")))
+    d = F.round(here, DECIMALS)
     found = pairs.groupBy("target").agg(F.min_by(F.struct(d.alias("d"), "point"), F.struct(d, F.col(f"point.{id_col}"))).alias("b"))
     chord = F.sqrt("b.d")
     length = F.when(chord.isNotNull(), 2 * RADIUS * F.asin(F.least(chord / 2, F.lit(1.0)))) if metric == "sphere" else chord * 360.0

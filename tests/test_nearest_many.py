@@ -72,3 +72,25 @@ def test_many_literal_targets(spark):
     got = points.nearest(p, [t[1:] for t in targets])
     assert got.columns == ["query", "at_lat", "at_lon", "event_id", "lat", "lon"]
     assert {r["query"]: r.event_id for r in got.collect()} == brute(rows, targets, "degrees")
+
+
+def joined_rows(plan):
+    """Rows that each join of an executed plan gave."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return joined_rows(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return joined_rows(plan.plan())
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in plan.nodeName() else []
+    return own + [n for k in range(plan.children().size()) for n in joined_rows(plan.children().apply(k))]
+
+
+def test_few_positions_reach_the_sort(spark):
+    """A target meets the positions that may be its nearest, not all of its leaves: rows for the last aggregate are sorted."""
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(3000)]
+    targets = [(k, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(200)]
+    for metric in nearest.METRICS:
+        found = nearest.nearest_many(*frames(spark, rows, targets), metric=metric)
+        assert {r["query"]: r.point.event_id for r in found.collect()} == brute(rows, targets, metric)
+        joined = joined_rows(found._jdf.queryExecution().executedPlan())
+        assert max(joined) <= 10 * len(targets), joined
