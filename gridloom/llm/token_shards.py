@@ -138,8 +138,8 @@ def write_shards(df: DataFrame, tokenizer: str, end_id: int, folder: str, seq_le
         end = int(end_id).to_bytes(to_ids.width, "little")
         out = ShardWriter(folder, shard, context.taskAttemptId(), seq_len, to_ids.width)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(doc_id, to_ids.encode(text.as_py()) + end)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), to_ids.encode_column(batch.column(1)), strict=True):
+                out.add(doc_id, ids + end)
         names = out.close()
         yield pa.RecordBatch.from_pylist([dict(shard=shard, n_docs=out.n_docs, n_tokens=out.n_tokens, seq_len=seq_len, width=to_ids.width, ids_path=names[0], docs_path=names[1])], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("seq_len", pa.int32()), ("width", pa.int32()), ("ids_path", pa.string()), ("docs_path", pa.string())]))
 
